@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality_rules, secret_scan, unigram
-from .shared import held_out
+from . import language, mixing, ppm, quality_rules, secret_scan, simhash, suffix_dedup, topk, unigram, warc
+from .shared import held_out, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,33 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", "held_out", "language.lang_pred", "language.score")
 
 
+#: What the query mixes: shares of domains and languages, all sources of a language alike; each document up to four times.
+MIX = mixing.Mix(weights={"domain": {"web": 5, "books": 3, "code": 2}, "lang": {"en": 4, "fr": 2, "de": 2, "es": 1}}, budget=(1, 1), epochs=4)
+DOMAIN = "case when right(source, 1) in ('0', '1', '2', '3') then 'web' when right(source, 1) in ('4', '5', '6') then 'books' else 'code' end"
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", F.expr(DOMAIN))
+    return mixing.mixed(docs, MIX)
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    archives = written(warc.write_archives(warc.with_revisits(pages)), "archives")
+    number = lambda c: F.when(F.col(c) != "null", F.col(c).cast(kind)).alias(c)
+    return warc.read_archives(archives).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), "problem")
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ppm.score(docs, ~held_out("doc_id", 7)).select("doc_id", held_out("doc_id", 7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether decoding them gives the text back."""
     docs = unigram.tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -40,6 +67,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", *quality_rules.COUNTS, failed.alias("base_failed"), (~failed & (F.col("p_good") >= 0.5)).alias("kept"), "p_good")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language, op7_sentencepiece, op8_quality_rules)}
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language, op3_mixing, op4_warc, op5_topk, op6_ppm, op7_sentencepiece, op8_quality_rules, op9_simhash, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
