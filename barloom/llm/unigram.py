@@ -42,7 +42,7 @@ class Codec:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Lists of piece ids; null for null, empty for empty texts."""
-        out = [self._encode(part) for part in slices(plain(texts), 16 << 20)]
+        out = [self._encode(part) for part in slices(plain(texts), 6 << 20)]
         lists = pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
         if texts.null_count:
             lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=texts.is_null())
@@ -77,22 +77,30 @@ class Codec:
 
     def decode(self, lists: pa.Array) -> pa.Array:
         """Texts of lists of ids. Control pieces and numbers that are no ids give nothing; bytes that are no UTF-8 give U+FFFD."""
-        flat = lists.flatten()
-        ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
-        lengths = np.array([len(p) for p in self.pieces] + [0])
+        ends = np.concatenate([[0], np.cumsum([x or 0 for x in lists.value_lengths().to_pylist()])])
+        out, at = [], 0
+        while at < len(lists):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), "right")) - 1)
+            out += self._decode(lists.slice(at, to - at))
+            at = to
+        return pa.array(out, pa.string())
+
+    def _decode(self, lists: pa.Array) -> list[str | None]:
+        ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        lengths = np.array([len(p) for p in self.pieces] + [0], np.int32)
         ids = np.where((ids >= 0) & (ids < len(self.pieces)), ids, len(self.pieces))
         data, ends = ragged(np.frombuffer(b"".join(self.pieces), np.uint8), (np.cumsum(lengths) - lengths)[ids], lengths[ids])
-        sizes = np.asarray([0] + [x or 0 for x in lists.value_lengths().to_pylist()])
-        at = ends[np.cumsum(sizes)]
-        valid = lists.is_valid().to_pylist()
+        at = ends[np.concatenate([[0], np.cumsum([x or 0 for x in lists.value_lengths().to_pylist()])])].tolist()
         blob = data.tobytes()
-        return pa.array([blob[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), valid, strict=True)], pa.string())
+        return [blob[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of values laid end to end, and the offsets of the runs."""
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    return values[np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])], ends
+    ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    take = np.repeat(starts - ends[:-1], counts)
+    take += np.arange(ends[-1])
+    return values[take], ends
 
 
 def encode(text: str | Column, path: str = P.VOCABULARY) -> Column:
