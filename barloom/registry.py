@@ -1,6 +1,5 @@
 """All queries by name, and their oracles."""
 
-from __future__ import annotations
+from .plans.queries import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -1 +1 @@
-
+"""Sources and sinks of candles, predictions, artifacts and configuration."""
