@@ -86,7 +86,7 @@ def cell_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
         rows = np.concatenate([rows, np.repeat(seen, filled[seen])])
         kept = np.arange(k)[None, :] < filled[seen][:, None]
         found, scores = np.concatenate([found, top_id[seen][kept]]), np.concatenate([scores, top[seen][kept]])
-        by = np.lexsort((found, -scores.astype(float) if np.abs(scores.astype(float)).max(initial=0) < 2**53 else np.array([-int(s) for s in scores], object).argsort(kind="stable").argsort(kind="stable"), rows))
+        by = np.lexsort((found, ~scores, rows))  # ~ turns longs around without leaving their range
         rows, found, scores = rows[by], found[by], scores[by]
         first = np.searchsorted(rows, np.arange(n))
         place = np.arange(len(rows)) - first[rows]

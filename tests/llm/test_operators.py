@@ -1,0 +1,347 @@
+"""Operators of the llm folder against brute force, on small tables with awkward rows."""
+
+import base64
+import collections
+import hashlib
+import itertools
+import math
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from barloom.llm import language, mixing, pieces, ppm, quality_rules, secret_scan, simhash, suffix_dedup, topk, unigram, warc, windows, words
+from barloom.llm.shared import held_out
+
+KEY = "aB3dE5fG7hI9jK1lM2nO4pQ6"
+TEXTS = [
+    "The quick brown fox\njumps over the lazy dog. " * 3, None, "", " \n\t ", "a", "éàü ñandú größe 漢字 ▁x   \x00 end", "x" * 5000, "word " * 3000, f"password: {KEY} and token='{KEY}'", f"AKIA{'Z9' * 8} {'0f' * 20}",
+    "same text twice", "same text twice", "﻿BOM   three   spaces\r\n", f"key {KEY} here",
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ("en", "fr", None)[i % 3], "s0", len(t or ""), 1.0, 7) for i, t in enumerate(TEXTS)] + [(None, "no id", "en", None, None, None, None)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def brute_base(text):
+    found = []
+    for kind, pattern, group, least in (("assign", r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32)):
+        found += [(kind, *m.span()) for m in re.finditer(pattern, text) if len(m[group]) >= least]
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_secrets(spark, docs, empty):
+    got = {r["doc_id"]: [tuple(s) for s in r["secret_spans"]] for r in secret_scan.scan_secrets(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        assert [s for s in got[i] if not s[0].startswith("entropy")] == brute_base(t or "")
+    assert [s[0] for s in got[8]] == ["assign", "assign"] and [s[0] for s in got[9]] == ["access", "hex"]
+    assert got[13] == [("entropy_base64", 4, 28)] and got[6] == []
+    masked = {r["doc_id"]: r["m"] for r in docs.select("doc_id", secret_scan.redacted("text").alias("m")).collect()}
+    assert masked[13] == "key [SECRET] here" and masked[1] is None and masked[2] == "" and KEY not in masked[8]
+    assert secret_scan.scan_secrets(empty).count() == 0
+
+
+def test_entropy_by_hand():
+    kind = secret_scan.CLASSES[1]
+    log = [0.0] + [n * math.log2(n) for n in range(1, 30)]
+    rng = np.random.default_rng(0)
+    text = "".join(rng.choice(list("aB3dE5fG7hI9jK1lM2nO4pQ6aaaaaa"), 300))
+    hit = np.zeros(300, bool)
+    for i in range(300 - kind.window + 1):
+        w = text[i : i + kind.window]
+        n = collections.Counter(w)
+        entropy = -sum(c / len(w) * math.log2(c / len(w)) for c in n.values())
+        if entropy >= kind.bits - 1e-9 and all(set(s) & set(w) for s in kind.needs):
+            hit[i : i + kind.window] = True
+    mine = np.zeros(300, bool)
+    for a, b in secret_scan.windows_over(text, kind, log):
+        mine[a:b] = True
+    assert (mine == hit).all() and hit.any()
+    scanner = secret_scan.Scanner()
+    assert scanner.spans("id 123e4567-e89b-12d3-a456-426614174000 EXAMPLEaB3dE5fG7hI9jK1lM2nO4p") == []
+
+
+def segmentations(word, index, byte_ids):
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        if word[:n] in index:
+            yield from ((index[word[:n]], *rest) for rest in segmentations(word[n:], index, byte_ids))
+    if word:
+        yield from ((byte_ids[word[0]], *rest) for rest in segmentations(word[1:], index, byte_ids))
+
+
+def test_lattice_by_enumeration():
+    v, tree = pieces.vocabulary(), pieces.trie()
+    index, byte_ids = {p: i for i, p in enumerate(v.pieces) if p}, np.array(v.byte_ids)
+    widths = np.array([len(p) or 1 for p in v.pieces])
+    chance = np.random.default_rng(0).random((len(v.pieces), 2))
+    chance /= chance.sum(0)
+    some = ["▁the", "▁tion", "▁é", "▁öü", "▁▁a", "q"]
+    data, offsets = words.raw(pa.array(some))
+    found = pieces.lattice(tree, byte_ids, data, offsets)
+    total, counts = pieces.totals(found, chance, widths), np.zeros_like(chance)
+    ids, ends = pieces.best(found, np.log(chance[:, 0]), -30.0)
+    for k, w in enumerate(some):
+        all_of = [(g, np.prod([chance[i] for i in g], axis=0)) for g in segmentations(w.encode(), index, v.byte_ids)]
+        z = sum(p for _, p in all_of)
+        np.testing.assert_allclose(total[k], np.log(z), rtol=1e-10)
+        for g, p in all_of:
+            for i in g:
+                counts[i] += p / z
+        value = lambda g: sum(-30.0 if i in v.byte_ids else math.log(chance[i, 0]) for i in g)
+        assert abs(value(ids[ends[k] : ends[k + 1]].tolist()) - max(value(g) for g, _ in all_of)) < 1e-9
+    np.testing.assert_allclose(pieces.expected(found, chance, widths, np.ones((len(some), 2))), counts, atol=1e-12)
+    data, offsets = words.raw(pa.array(["▁" + "漢" * 400, "▁a"]))
+    long = pieces.lattice(tree, byte_ids, data, offsets)
+    assert np.isfinite(pieces.totals(long, chance, widths)).all()
+
+
+def test_language(spark, docs, empty, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("h", held_out("doc_id", 4))
+    model = language.learn(d.where("not h"))
+    got = language.identify(d.where("h"), model).select("lang", "language.*").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got) and all(0 <= r["score"] <= 1 for r in got)
+    odd = {r["doc_id"]: r["language"]["lang_pred"] for r in language.identify(docs, model).collect()}
+    assert odd[1] == odd[2] == odd[3] == "und" and odd[0] in model.langs
+    nothing = language.learn(empty)
+    assert {r["language"]["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_held_out(docs):
+    for r in docs.select("doc_id", held_out("doc_id", 7).alias("h")).collect():
+        assert r["h"] == (zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 7 == 2)
+
+
+def test_pieces_round_trip(docs, empty):
+    t = unigram.tokenized(docs).withColumn("back", unigram.decode("piece_ids")).collect()
+    for r in t:
+        assert r["back"] == r["text"]
+    assert unigram.tokenized(empty).count() == 0
+    codec = unigram.Codec.load()
+    assert codec.decode(pa.array([[-5, 0, 10**6, codec.byte_ids[0xFF]], [], None])).to_pylist() == ["�", "", None]
+
+
+def test_quality(spark, docs, empty):
+    got = {r["doc_id"]: r for r in quality_rules.judged(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        rep = {j for k, x in enumerate(zip(w, w[1:], w[2:])) if tri[x] > 1 for j in (k, k + 1, k + 2)}
+        lines, dup = set(), 0
+        for line in (t or "").split("\n"):
+            if line.strip(" \t\n\v\f\r"):
+                dup += line in lines
+                lines.add(line)
+        r = got[i]
+        assert (r["n_words"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), len(rep), dup), i
+        assert r["word_chars"] == sum(len(x.decode()) for x in w) and r["n_symbols"] == sum(c in "#*$%&|<>" for c in t or "")
+    assert quality_rules.judged(empty).count() == 0
+    good = quality_rules.fit({"ggg": 80, "bbb": 20, "gg-": 10, "b--": 1}, 3)
+    assert good["ggg"] > 0.9 > 0.1 > good["bbb"]
+
+
+def test_ppm_is_a_distribution():
+    rng = np.random.default_rng(0)
+    some = pa.array([bytes(rng.integers(97, 101, rng.integers(1, 6)).astype(np.uint8)) for _ in range(50)] + [b""], pa.binary())
+    grams, _ = ppm.word_grams(some, 3)
+    part, counts = np.unique(grams, return_counts=True)
+    low = {}
+    for g, n in zip(part.tolist(), counts.tolist()):
+        low.setdefault(g >> 8 & 255, collections.Counter())[g & 255] += n
+        low.setdefault(-1, collections.Counter())[g & 255] += n
+    for context in (b"abc", b"   ", b"zza", b"zzz"):
+        base = int.from_bytes(context, "big") << 8
+        tail = part[(part >> 8 & 0xFFFF) == (base >> 8 & 0xFFFF)]
+        n = counts[(part >> 8 & 0xFFFF) == (base >> 8 & 0xFFFF)]
+        p = 10 ** ppm.predicted(base + np.arange(256), tail, n, low, 3)
+        assert abs(p.sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("chunk", [60, 12 << 20])
+def test_ppm_scores(docs, empty, chunk):
+    got = {r["doc_id"]: r for r in ppm.score(docs, ~held_out("doc_id", 7), chunk_bytes=chunk).collect()}
+    lower = lambda t: re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", lower(t))
+    rows = [*enumerate(TEXTS), (None, "no id")]
+    learn = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    c = collections.Counter(w for t in learn for w in [*split(t), b""])
+    n, v = sum(c.values()), len(c)
+    for i, t in rows:
+        tokens = [*split(t), b""]
+        assert got[i]["n_tokens"] == len(tokens) and got[i]["n_known"] == sum(c[w] > 0 for w in tokens) and got[i]["train_tokens"] == n
+        assert abs(got[i]["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens)) < 1e-6
+        assert got[i]["score"] < 0 and math.isfinite(got[i]["score"])
+    assert ppm.score(empty, F.lit(True)).count() == 0
+
+
+def fingerprint(text, k=3):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(max(1, len(w) - k + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def closure(fp):
+    label = list(range(len(fp)))
+    for a, b in itertools.combinations(range(len(fp)), 2):
+        if bin(fp[a] ^ fp[b]).count("1") <= 3:
+            x, y = label[a], label[b]
+            label = [min(x, y) if z in (x, y) else z for z in label]
+    return label
+
+
+def test_simhash(docs, empty):
+    got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    fp = [fingerprint(t) for t in TEXTS]
+    assert [got[i]["fp"] % 2**64 for i in range(len(TEXTS))] == fp
+    fp.append(fingerprint("no id"))
+    want = closure(fp)
+    assert [got[i]["component"] for i in range(len(TEXTS))] == want[:-1] and got[None]["component"] is None
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("tile", [8, 64, 4096])
+def test_links_of_random_fingerprints(spark, tile):
+    """Chains, dense clusters and a band value that all share, in cells of one tile and of many."""
+    rng = np.random.default_rng(tile)
+    fp = [int(x) for x in rng.integers(0, 2**48, 150)]
+    for i in range(150):
+        x = fp[rng.integers(0, len(fp))]
+        for b in rng.integers(0, 64, rng.integers(1, 6)).tolist():
+            x ^= 1 << b
+        fp.append(x)
+    fp = sorted(set(fp))
+    signed = [x - 2**64 if x >= 2**63 else x for x in fp]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(nodes, tile=tile)).collect()}
+    label, want = [roots.get(x, x) for x in signed], closure(fp)
+    pairs = lambda z: {(z.index(x), i) for i, x in enumerate(z)}
+    assert pairs(label) == pairs(want)
+
+
+def brute_repeats(texts, w=200):
+    all_of = [(t or "").encode() for t in texts]
+    n = collections.Counter(b[i : i + w] for b in all_of for i in range(len(b) - w + 1))
+    out = []
+    for b in all_of:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - w + 1):
+            if n[b[i : i + w]] > 1:
+                gone[i : i + w] = True
+        out.append((len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return out
+
+
+@pytest.mark.parametrize("chunk,shard", [(16 << 20, 2048), (700, 1), (3000, 3)])
+def test_repeats(spark, empty, chunk, shard):
+    rng = np.random.default_rng(chunk)
+    text = lambda n: "".join(rng.choice(list("abcdefghé \n"), n))
+    shared = text(400)
+    texts = [text(300) + shared + text(200), text(50) + shared + text(90), shared[:230], shared[100:330] + text(250), text(900), None, "", "z" * 700, text(100) * 4, text(199)]
+    texts += [texts[4], *(text(150) + shared[60:320] + text(150) for _ in range(6)), text(120) + texts[8][30:260] + text(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs, chunk_bytes=chunk, shard=shard).collect()}
+    for i, want in enumerate(brute_repeats(texts)):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want, i
+    assert suffix_dedup.without_repeats(empty).count() == 0
+
+
+def test_window_classes():
+    rng = np.random.default_rng(0)
+    parts = [rng.integers(97, 99, n).astype(np.uint8) for n in (300, 250, 120, 400)]
+    parts.append(parts[0][20:280])
+    data, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    for w in (200, 64, 77):
+        at, rank = suffix_dedup.window_classes(data, offsets, w)
+        seen = {int(p): data[p : p + w].tobytes() for p in at}
+        assert len(seen) == sum(max(0, len(p) - w + 1) for p in parts)
+        order = [seen[int(p)] for p in at[np.argsort(rank, kind="stable")]]
+        assert order == sorted(order) and len(set(rank.tolist())) == len(set(order))
+    h = windows.gram_hashes(data)
+    assert (windows.sliding_least(h, 137) == np.array([h[i : i + 137].min() for i in range(len(h) - 136)])).all()
+
+
+def test_warc(spark):
+    rows = [(3, "http://a/é b", "same"), (1, None, "same"), (2, "u", None), (4, "u", ""), (5, "u\r\nX: y", "<p>é</p>" * 50), (None, "n", "same")]
+    rows += [(10 + i, "u", f"<html>{'page ' * i}</html>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_bytes", F.lit(0))
+    records = warc.with_revisits(pages)
+    got = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(records)).collect()}
+    assert len(got) == len(rows) and not any(r["problem"] for r in got.values())
+    assert got["1"]["record_type"] == "response" and got["3"]["refers_to"] == "1" and got["null"]["refers_to"] == "1" and got["4"]["refers_to"] == "2"
+    for page_id, _, html in rows:
+        b = (html or "").encode()
+        r = got["null" if page_id is None else str(page_id)]
+        assert r["payload_bytes"] == len(b) and r["payload_digest"] == base64.b32encode(hashlib.sha1(b).digest()).decode() and (r["payload"] is None or bytes(r["payload"]) == b)
+    assert warc.read_archives(warc.write_archives(warc.with_revisits(pages.limit(0)))).count() == 0
+
+
+def test_damaged_archives(spark):
+    r = [warc.record(str(i), "u", b"x" * i * 50, i * 50, hashlib.sha1(b"x" * i * 50).digest(), None) for i in range(60)]
+    head, compressor = warc.pack(r)
+    assert head[:4] == (0x184D2A5D).to_bytes(4, "little")
+    frames = [compressor.compress(x) for x in r]
+    assert [warc.parsed(x)["page_id"] for x in warc.unpacked(head + b"".join(frames))] == [str(i) for i in range(60)]
+    cut = list(warc.unpacked(head + frames[0] + frames[1][:-3]))
+    assert isinstance(cut[-1], ValueError) and len(cut) == 2
+    assert isinstance(list(warc.unpacked(b"GIF89a...."))[0], ValueError) and list(warc.unpacked(b"")) == []
+    assert warc.parsed(r[3].replace(b"Content-Length: 150\r\n", b"Content-Length: 150\r\n", 1))["problem"] is None
+    assert warc.parsed(r[3][:-5])["problem"] == "bad Content-Length" and warc.parsed(b"WARC/0.9\r\n\r\n")["problem"] == "bad head"
+    assert "digest" in warc.parsed(r[3].replace(b"xxx", b"yyy", 1))["problem"] and warc.parsed(r[3].replace(b"WARC-Date", b"WARC-Dote"))["problem"] == "no WARC-Date"
+    bad = spark.createDataFrame([(b"junk",), (None,)], "content binary")
+    assert [x["problem"] is not None for x in warc.read_archives(bad).collect()] == [True]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e13])
+def test_topk(spark, scale):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (600, 24)) * scale * rng.exponential(1, (600, 1))
+    x[100:140] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (650, [1.0, None]), (700, [float("nan")]), (750, []), (None, [1.0] * 24), (800, [2.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in topk.top_products(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    clip = lambda n: max(-(2**63), min(2**63 - 1, n))
+    whole = {i: [clip(math.floor(256 * y)) for y in v] for i, v in rows if i is not None and v is not None and all(y is not None and math.isfinite(y) for y in v)}
+    assert sorted(got) == [q for q in sorted(whole) if q % 50 == 0]
+    for q, found in got.items():
+        want = sorted(((-clip(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q))[:5]
+        assert found == [(i, -s) for s, i in want], q
+    assert topk.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_mixing(spark, docs, empty):
+    mix = mixing.Mix(levels=("lang", "source"), weights={"lang": {"en": 3, "de": 0}}, budget=(1, 2), epochs=2)
+    rng = np.random.default_rng(1)
+    rows = [(i % 90, "w " * int(rng.integers(0, 30)), ["en", "fr", "de", None][int(rng.integers(0, 4))], f"s{rng.integers(0, 3)}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed(df, mix).toPandas()
+    total = got.n_tokens.sum()
+    leaf = got.groupby(["lang", "source"])[["n_tokens", "tokens_taken"]].sum()
+    assert (got.tokens_taken <= 2 * got.n_tokens).all() and (leaf.loc["de"].tokens_taken == 0).all()
+    by = leaf.groupby("lang").sum()
+    share = total // 2 * 3 // 5
+    en, fr = by.loc["en"], by.loc["fr"]
+    assert abs(en.tokens_taken - min(share, 2 * en.n_tokens)) <= 8 or en.tokens_taken == 2 * en.n_tokens
+    assert total // 2 - 60 <= got.tokens_taken.sum() <= total // 2 and fr.tokens_taken <= 2 * fr.n_tokens
+    again = mixing.mixed(df.repartition(5), mix).toPandas()
+    key = ["doc_id", "lang", "source", "n_tokens", "tokens_taken"]
+    assert again[key].sort_values(key).reset_index(drop=True).equals(got[key].sort_values(key).reset_index(drop=True))
+    assert mixing.mixed(empty, mix).count() == 0 and mixing.mixed(docs, mix).count() == len(TEXTS) + 1
