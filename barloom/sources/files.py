@@ -75,14 +75,14 @@ def mock_candles(spark: SparkSession, n: int = 100, ticker: str = "SBER", timefr
     """Random-walk candles from 2024-01-01, made on the driver: fixtures of bounded size, the same for the same seed."""
     import pandas as pd
 
-    rng = np.random.default_rng(seed)
+    draw = np.random.RandomState(seed)
     step = pd.Timedelta(days=1) if timeframe == "1D" else pd.Timedelta(hours=1)
-    begin = pd.Timestamp("2024-01-01") + step * np.arange(n)
-    open_ = start * np.cumprod(1 + rng.normal(0, volatility, n))
-    close = open_ * (1 + rng.normal(0, volatility, n))
-    high = np.maximum(open_, close) + rng.uniform(0, volatility, n) * open_
-    low = np.minimum(open_, close) - rng.uniform(0, volatility, n) * open_
-    volume = 1e6 * rng.lognormal(0, 0.5, n)
+    begin = pd.date_range("2024-01-01", periods=n, freq=step)
+    moves, above, below, size = draw.normal(0, volatility, n), draw.uniform(0, volatility, n), draw.uniform(0, volatility, n), draw.lognormal(0, 0.5, n)
+    open_ = start * np.cumprod(1 + moves)
+    close = open_ * (1 + moves)
+    high, low = np.maximum(open_, close) + above * open_, np.minimum(open_, close) - below * open_
+    volume = 1e6 * size
     rows = zip(begin.to_pydatetime(), (begin + step).to_pydatetime(), open_, high, low, close, volume, close * volume, strict=True)
     return spark.createDataFrame([(ticker, timeframe, b, e, float(o), float(h), float(lo), float(c), float(v), float(x), "mock") for b, e, o, h, lo, c, v, x in rows], CANDLES)
 
