@@ -45,7 +45,7 @@ class LanguageModel:
         @F.arrow_udf(PREDICTED)
         def score(texts: pa.Array) -> pa.Array:
             names, values = [], []
-            for part in slices(plain(texts), 16 << 20):
+            for part in slices(plain(texts), 6 << 20):
                 words, offsets = split(part)
                 distinct, which = coded(words)
                 table = np.zeros((len(distinct), len(langs)))
@@ -64,7 +64,7 @@ class LanguageModel:
                     values.append(np.zeros(len(part)))
             return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(values or [np.zeros(0)]))], ["lang_pred", "score"])
 
-        return score(text)
+        return score.asNondeterministic()(text)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 2000, rounds: int = 2, path: str = P.VOCABULARY) -> LanguageModel:

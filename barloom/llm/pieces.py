@@ -262,7 +262,7 @@ def best(found: Lattice, score: np.ndarray, byte_score: float) -> tuple[np.ndarr
     return ids[order], np.concatenate([[0], np.cumsum(np.bincount(words, minlength=n))])
 
 
-def in_buckets(data: np.ndarray, offsets: np.ndarray, most_cells: int = 1 << 20):
+def in_buckets(data: np.ndarray, offsets: np.ndarray, most_cells: int = 1 << 18):
     """(numbers of words, their bytes, their offsets) in groups of like length, so that padding stays small."""
     lengths = np.diff(offsets)
     order = np.argsort(lengths, kind="stable")

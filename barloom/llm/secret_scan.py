@@ -129,7 +129,7 @@ def secret_spans(text: str | Column, classes: tuple[CharClass, ...] = CLASSES, a
             out += [[{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(next(rows))] if hit else [] for hit in maybe]
         return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
 
-    return scan(text)
+    return scan.asNondeterministic()(text)
 
 
 def redacted(text: str | Column, mask: str = "[SECRET]") -> Column:
@@ -152,7 +152,7 @@ def redacted(text: str | Column, mask: str = "[SECRET]") -> Column:
         valid = texts.is_valid().to_pylist()
         return pa.array([s if v else None for s, v in zip(out, valid, strict=True)], pa.string())
 
-    return redact(text)
+    return redact.asNondeterministic()(text)
 
 
 def scan_secrets(df: DataFrame, text: str = "text", into: str = "secret_spans") -> DataFrame:

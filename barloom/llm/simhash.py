@@ -54,7 +54,7 @@ def fingerprint(text: str | Column, shingle: int = SHINGLE) -> Column:
         lowered = pc.ascii_lower(plain(texts)).cast(pa.binary())
         return pa.array(np.array([text_bits(x.as_py(), shingle) for x in lowered], np.uint64).view(np.int64))
 
-    return bits(text)
+    return bits.asNondeterministic()(text)
 
 
 def joined_up(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:

@@ -111,7 +111,7 @@ def encode(text: str | Column, path: str = P.VOCABULARY) -> Column:
     def ids(texts: pa.Array) -> pa.Array:
         return codec.encode(texts)
 
-    return ids(text)
+    return ids.asNondeterministic()(text)
 
 
 def decode(ids: str | Column, path: str = P.VOCABULARY) -> Column:
@@ -122,7 +122,7 @@ def decode(ids: str | Column, path: str = P.VOCABULARY) -> Column:
     def texts(lists: pa.Array) -> pa.Array:
         return codec.decode(lists)
 
-    return texts(ids)
+    return texts.asNondeterministic()(ids)
 
 
 def tokenized(docs: DataFrame, text: str = "text", into: str = "piece_ids", path: str = P.VOCABULARY) -> DataFrame:

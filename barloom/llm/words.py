@@ -1,4 +1,8 @@
-"""Words of texts, an Arrow batch at a time. A word is a run of bytes other than 0x20 and 0x09 to 0x0D."""
+"""Words of texts, an Arrow batch at a time. A word is a run of bytes other than 0x20 and 0x09 to 0x0D.
+
+The functions that scan texts are declared as not deterministic, though they are: else Spark would copy them into each filter
+and column that uses their result, and scan the texts once for each.
+"""
 
 from __future__ import annotations
 
