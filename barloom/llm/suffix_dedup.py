@@ -244,7 +244,7 @@ def cleaned(parts: DataFrame, ranges: DataFrame, window: int, id: str) -> DataFr
     return parts.groupBy("chunk").cogroup(ranges.select("chunk", "h", "r", "first", "last").groupBy("chunk")).applyInArrow(clean, out_schema)
 
 
-def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = 16 << 20, shard: int = SHARD) -> DataFrame:
+def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = 4 << 20, shard: int = SHARD) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of each row: its UTF-8 bytes without those covered by a window that also starts
     anywhere else, in this text or another. Windows are judged on the input. A null text counts as empty.
     """
