@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from .. import streaming as ST
 from ..operators import clean as C
 from ..operators import decide as Q
 from ..operators import evaluate as E
@@ -19,7 +20,7 @@ from ..operators import labels as L
 from ..operators import models as M
 from ..operators import split as S
 from ..operators import windows as V
-from ..session import PRICES, SERIES
+from ..session import PRICES, SERIES, scratch
 from ..sources import blocks as B
 from ..sources.files import bars_daily, bars_hourly, union_by_name
 from . import train as T
@@ -583,6 +584,62 @@ def q_lenient_float(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in ("1.5", " -2e3 ", "3.25abc", "abc", "", None)], "text string").select("text", X.lenient_double("text").alias("number"))
 
 
+@query(f"""WITH {BARS} SELECT {SQL_IDS}, {rr('least(1.0, greatest(-1.0, (close - open) / 10))', 6, 'clamped')}, {rr('CASE WHEN high - low > 0 THEN (close - open) / (high - low) ELSE 0 END', 6, 'guarded')},
+ {rr('CASE WHEN abs(high - low) < 1e-8 THEN 1e-8 ELSE high - low END', 8, 'nonzero')}, CAST(sign(hour("begin") % 4 - 2) AS INT) AS sign4, CASE WHEN hour("begin") % 5 > 2 THEN 'buy' WHEN hour("begin") % 5 < 2 THEN 'sell' ELSE 'hold' END AS action5, CAST(greatest(0, least(2, hour("begin") % 7 - 2)) AS INT) AS clipped FROM bars""")
+def q_number_functions(spark: SparkSession, d: str) -> DataFrame:
+    h, move, span = F.hour("begin"), F.col("close") - F.col("open"), F.col("high") - F.col("low")
+    return bars_hourly(spark, d).select(*IDS, r(X.clamp(move / 10, -1.0, 1.0), 6, "clamped"), r(X.guarded_ratio(move, span), 6, "guarded"), r(X.nonzero(span), 8, "nonzero"), X.class_sign(h % 4, 4).alias("sign4"), X.class_action(h % 5, 5).alias("action5"), X.clipped_token(h % 7 - 2, 3).cast("int").alias("clipped"))
+
+
+@query("""SELECT * FROM (VALUES (' buy ', 'BUY', 0.0, 1, 'x'), ('Sell', 'SELL', 0.0, 0, 'oops'), ('bullish', 'HOLD', 1.0, -1, '{"a": 1}'), ('BEARISH ', 'HOLD', -1.0, 1, 'y'), ('', 'HOLD', 0.0, 0, NULL)) t(text, action, direction, news, message)""")
+def q_text_functions(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(" buy ", "Profits BEAT", "", '{"detail": "x", "error": "z"}'), ("Sell", "nothing", None, " oops "), ("bullish", "trading halt", "", '{"a": 1}'), ("BEARISH ", None, "рост и суд", '{"detail": "", "error": "y"}'), ("", "", "", None)]
+    df = spark.createDataFrame(rows, "text string, title string, summary string, body string")
+    return df.select("text", X.known_action("text").alias("action"), X.direction_of("text").alias("direction"), X.keyword_class(F.col("title"), F.col("summary")).alias("news"), X.error_message("body").alias("message"))
+
+
+@query(f"""WITH {BARS}, a AS (SELECT {SQL_IDS}, [(hour("begin") % 3)::DOUBLE, 1.0, (hour("begin") % 4)::DOUBLE] AS p, list_transform(range(0, 8), lambda i: (i * hour("begin")) % 5) AS t FROM bars)
+ SELECT {SQL_IDS}, CAST(list_position(p, list_max(p)) - 1 AS INT) AS argmax, list_max(p) AS top, array_to_string(list_transform(list_filter(range(1, 9), lambda i: list_position(t, t[CAST(i AS INT)]) = i), lambda i: t[CAST(i AS INT)])[1:5], ',') AS five FROM a""")
+def q_array_functions(spark: SparkSession, d: str) -> DataFrame:
+    h = F.hour("begin")
+    p = F.array((h % 3).cast("double"), F.lit(1.0), (h % 4).cast("double"))
+    t = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (i * h) % 5)
+    df = bars_hourly(spark, d).select(*IDS, p.alias("p"), t.alias("t"))
+    return df.select(*IDS, X.argmax("p").alias("argmax"), X.top_probability("p").alias("top"), F.array_join(X.first_five(X.unique("t")).cast("array<string>"), ",").alias("five"))
+
+
+@query(f"""WITH {BARS} SELECT ticker, timeframe, concat(ticker, '_', timeframe, '_', strftime(min("begin"), '%Y%m%dT%H%M'), '_', strftime(max("begin"), '%Y%m%dT%H%M')) AS name FROM bars GROUP BY ticker, timeframe""")
+def q_batch_names(spark: SparkSession, d: str) -> DataFrame:
+    ends = bars_hourly(spark, d).groupBy(*SERIES).agg(F.min("begin").alias("a"), F.max("begin").alias("z"))
+    return ends.select(*SERIES, F.concat_ws("_", *SERIES, X.batch_stamp("a"), X.batch_stamp("z")).alias("name"))
+
+
+@query(f"""WITH {BARS} SELECT strftime("begin", '%Y-%m-%d') AS day, count(DISTINCT ticker) AS tickers, count(DISTINCT timeframe) AS timeframes FROM bars WHERE hour("begin") < 2 GROUP BY 1 HAVING count(DISTINCT ticker) > 1""")
+def q_mixed_batches(spark: SparkSession, d: str) -> DataFrame:
+    return C.mixed_batches(bars_hourly(spark, d).where(F.hour("begin") < 2).withColumn("day", F.date_format("begin", "yyyy-MM-dd")), ("day",))
+
+
+@query(f"""{ROWS}, w0 AS (SELECT list(return_1) OVER fr AS xs, token, n FROM wn WINDOW fr AS (PARTITION BY ticker, timeframe, split ORDER BY "begin" ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW)), p AS (SELECT unnest(range(0, {LENGTH})) AS place, unnest(xs) AS x FROM w0 WHERE n = {LENGTH} AND token <> -1),
+ m AS (SELECT place, coalesce(median(x), 0) AS med FROM p GROUP BY place) SELECT CAST(place AS INT) AS place, {rr('any_value(med)', 6, 'median')}, {rr('avg(coalesce(x, med))', 6, 'mean')}, {rr('stddev_pop(coalesce(x, med))', 6, 'deviation')} FROM p JOIN m USING (place) GROUP BY place""")
+def q_scaler_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Medians, means and deviations by place, as models scale their windows."""
+    s = M.Scaler.fit(V.tabular_windows(tokens(spark, d), LENGTH, ["return_1"], T.SPLIT_KEYS), LENGTH)
+    rows = [(i, *x) for i, x in enumerate(zip(s.median, s.mean, s.deviation, strict=True))]
+    return spark.createDataFrame(rows, "place int, median double, mean double, deviation double").select("place", r("median"), r("mean"), r("deviation"))
+
+
+@query(f"""WITH {BARS} SELECT ticker, "begin", "end", open, high, low, close, volume FROM bars WHERE "end" <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def q_stream_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of the events as a stream: those that the watermark has closed by the end of the input."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    ticks = spark.readStream.schema(schema).parquet(f"{d}/events*.parquet").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"))
+    out = scratch(spark, "bars")
+    bars = ST.bar_stream(ticks)
+    bars.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(bars.schema).parquet(f"{out}/data")
+    return found.select("ticker", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("begin", "end")], *PRICES, "volume")
+
+
 # Results of models --------------------------------------------------------------------------------------------------
 
 

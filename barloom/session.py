@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
@@ -17,6 +20,15 @@ CANDLES = T.StructType(
 )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared one, removed when the application ends; a temporary one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barloom-")
+    path = f"{root.rstrip('/')}/barloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def session(name: str = "barloom", **settings: str) -> SparkSession:
     """A session in UTC with adaptive execution; nanosecond Parquet timestamps come as numbers, which the readers convert."""
     base = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.legacy.parquet.nanosAsLong": "true"}
