@@ -67,7 +67,7 @@ class Rule:
 #: A rule that says bad is sure of it; most say good of what shows no trace of the fault, and abstain in between.
 RULES = (
     Rule("length", "false", "n_words < 20"),
-    Rule("word_length", "false", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
+    Rule("word_length", "false", "word_chars < 2 * n_words or word_chars > 100 * n_words"),
     Rule("symbols", "n_symbols = 0", "10 * n_symbols > n_words"),
     Rule("symbol_chars", "200 * n_symbols <= word_chars", "100 * n_symbols > 2 * word_chars"),
     Rule("repeats", "100 * n_repeat_words <= 10 * n_words", "100 * n_repeat_words > 40 * n_words"),
