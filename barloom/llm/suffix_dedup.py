@@ -4,8 +4,8 @@ Only strings that share their smallest hash can be equal, so the texts are cut i
 (windows.runs). Runs that occur twice or more as a whole are settled by their digests. Of the others, those whose smallest
 hash occurs elsewhere are brought together by that hash in shards of bounded size; each shard has a suffix array, refined in
 numpy by doubling, in which equal windows are neighbours. A hash with more runs than a shard holds has many shards: each hands
-on one digest per distinct window, and what two shards have in common is merged by sorting; texts look their runs up by
-binary search.
+on its distinct windows, packed by buckets of their digests, and what two shards have in common is found bucket by bucket, by
+binary search; so do texts look their runs up.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from . import windows as X
 from .shared import chunk_count, chunk_of, written
 from .words import plain, raw, slices
 
-WINDOW, SHARD = 200, 2048
+WINDOW, SHARD, BUCKETS = 200, 1024, 1 << 14
+#: A distinct window of a shard: digest, run, and its place in the run, or -1 if the shard has settled it.
+ENTRY = np.dtype([("d", "S16"), ("r", "<i8"), ("place", "<i4")])
 
 
 def refined(rank: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -166,10 +168,10 @@ def shipped(parts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 def matched(regions: DataFrame, window: int) -> DataFrame:
-    """(h, r, first, last, digest): ranges of repeated windows by their offsets in their run, with a null digest; and for hashes of
-    more than one shard each class of windows once, with its digest, in which first < 0 says that the shard has settled it.
+    """(h, r, first, last) of ranges of repeated windows by their offsets in their run; and for hashes of more than one shard
+    (h, bucket, packed): the shard's distinct windows as packed entries, dealt over as many buckets as there are shards.
     """
-    schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("digest", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("bucket", pa.int32()), ("packed", pa.binary())])
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         h, r, shards, regions = zip(*rows, strict=True)
@@ -181,15 +183,23 @@ def matched(regions: DataFrame, window: int) -> DataFrame:
         hit = np.flatnonzero(again)
         cut = np.flatnonzero((np.diff(own[hit], prepend=-1) != 0) | (np.diff(place[hit], prepend=-9) != 1))
         ends = np.append(cut[1:], len(hit)) - 1 if len(cut) else cut
-        h, r = np.array(h, np.int64), np.array(r, np.int64)
+        h, r, shards = np.array(h, np.int64), np.array(r, np.int64), np.array(shards, np.int64)
         which = own[hit[cut]]
-        columns = [h[which], r[which], place[hit[cut]], place[hit[ends]], [None] * len(which)]
-        split = np.array(shards) > 1
-        if split.any():
-            more = np.flatnonzero(leads & split[own])
+        none = [None] * len(which)
+        out = [[*h[which].tolist()], [*r[which].tolist()], [*place[hit[cut]].tolist()], [*place[hit[ends]].tolist()], none, [*none]]
+        more = np.flatnonzero(leads & (shards[own] > 1))
+        if len(more):
+            entries = np.zeros(len(more), ENTRY)
             digests = [hashlib.blake2b(blob[a : a + window], digest_size=16).digest() for a in at[more].tolist()]
-            columns = [np.concatenate([columns[0], h[own[more]]]), np.concatenate([columns[1], r[own[more]]]), np.concatenate([columns[2], np.where(again[more], -1, place[more])]), np.concatenate([columns[3], place[more]]), columns[4] + digests]
-        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, schema, strict=True)], schema=schema)
+            entries["d"], entries["r"], entries["place"] = digests, r[own[more]], np.where(again[more], -1, place[more])
+            bucket = np.frombuffer(b"".join(digests), "<u8")[::2] % np.minimum(shards[own[more]], BUCKETS).astype(np.uint64)
+            order = np.lexsort((bucket, h[own[more]]))
+            keys = np.stack([h[own[more]][order], bucket[order].astype(np.int64)])
+            starts = np.flatnonzero(np.append(True, (np.diff(keys) != 0).any(0)))
+            for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+                for column, x in zip(out, (int(keys[0, a]), None, None, None, int(keys[1, a]), entries[order[a:b]].tobytes()), strict=True):
+                    column.append(x)
+        return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, schema, strict=True)], schema=schema)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, held, last = [], 0, None
@@ -206,7 +216,24 @@ def matched(regions: DataFrame, window: int) -> DataFrame:
 
     n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = regions.repartition(n, "h", "shard").sortWithinPartitions("h", "shard")
-    return dealt.select("h", "shard", "r", "shards", "region").mapInArrow(match, "h long, r long, first int, last int, digest binary")
+    return dealt.select("h", "shard", "r", "shards", "region").mapInArrow(match, "h long, r long, first int, last int, bucket int, packed binary")
+
+
+def merged(packed: DataFrame) -> DataFrame:
+    """(h, r, first, last): windows that are single in their shard and occur in another of the same hash. All shards' entries of a
+    bucket are sorted, and each open one looks for its equals by binary search.
+    """
+    schema = pa.schema([("h", pa.int64()), ("r", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        entries = np.concatenate([np.frombuffer(x, ENTRY) for x in rows.column("packed").to_pylist()])
+        ordered = np.sort(entries["d"])
+        single = entries[entries["place"] >= 0]
+        found = single[np.searchsorted(ordered, single["d"], "right") - np.searchsorted(ordered, single["d"], "left") > 1]
+        h = np.full(len(found), rows.column("h")[0].as_py(), np.int64)
+        return pa.table([h, found["r"], found["place"], found["place"]], schema=schema)
+
+    return packed.groupBy("h", "bucket").applyInArrow(merge, "h long, r long, first int, last int")
 
 
 def cleaned(parts: DataFrame, ranges: DataFrame, window: int, id: str) -> DataFrame:
@@ -259,9 +286,8 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     wanted = written(wanted.select("chunk", "h", "r", "n", "shard", "shards"), "wanted")
     regions = shipped(parts, wanted, window).join(hashes, "h")
     found = written(matched(regions, window), "matched")
-    common = found.where("digest is not null").groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
-    merged = found.where("digest is not null and first >= 0").join(common, "digest").select("h", "r", "first", F.col("first").alias("last"))
-    partly = found.where("digest is null").select("h", "r", "first", "last").unionByName(merged)
+    across = merged(found.where("packed is not null").select("h", "bucket", "packed"))
+    partly = found.where("packed is null").select("h", "r", "first", "last").unionByName(across)
     once = wanted.where("n = 1").select("h", "r", "chunk")
     partly = partly.join(once, ["h", "r"]).select("chunk", "h", "r", "first", "last")
     twice = runs.where("n > 1").select("h", "r")
