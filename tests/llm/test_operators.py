@@ -171,6 +171,19 @@ def test_ppm_is_a_distribution():
         assert abs(p.sum() - 1) < 1e-9
 
 
+def test_ppm_adapts():
+    """A text's own words against a count by hand; the blend sums to one over all words."""
+    which, offsets = np.array([0, 1, 0, 0, 2, 1, 1, 0]), np.array([0, 4, 4, 8])
+    before, same = ppm.times_before(which, offsets)
+    assert before.tolist() == [0, 1, 2, 3, 0, 1, 2, 3] and same.tolist() == [0, 0, 1, 2, 0, 0, 1, 0]
+    assert [x.tolist() for x in ppm.times_before(which[:0], np.zeros(3, np.int64))] == [[], []]
+    learned = np.log10([0.5, 0.3, 0.2])
+    assert abs((10 ** ppm.blended(learned, np.full(3, 7), np.array([4, 0, 3]))).sum() - 1) < 1e-12
+    whole = 10 ** ppm.with_whole(np.log10([0.25, 0.25, 0.5]), np.array([3, 1, 0]), 4, 1)
+    assert abs(whole.sum() - 1) < 1e-12 and whole[0] > whole[1] > whole[2] > 0 and ppm.with_whole(learned, np.zeros(3, int), 0, 0) is learned
+    assert np.isfinite(ppm.blended(np.array([-5000.0]), np.array([9]), np.array([1]))).all()
+
+
 @pytest.mark.parametrize("chunk", [60, 12 << 20])
 def test_ppm_scores(docs, empty, chunk):
     got = {r["doc_id"]: r for r in ppm.score(docs, ~held_out("doc_id", 7), chunk_bytes=chunk).collect()}
