@@ -1,14 +1,14 @@
 """Code length of texts by prediction by partial matching over bytes, learned from the corpus.
 
 A text is its words, each ended by a space, and a line feed at the end; letters A-Z are lowered. A byte is predicted from at
-most `order` bytes before it in its word, the space before the word included. The trie of contexts is kept as counts of grams
+most `order` bytes before it in its text, across the spaces between words. The trie of contexts is kept as counts of grams
 (context and byte) and dealt by the context's last two bytes, so that a context and all its suffixes of two bytes or more are
 in one task; those of one byte and none are at most 256 * 256 counts and go everywhere. Escapes are estimated by method D
 (half a count of each distinct symbol goes to the escape) and symbols of longer contexts are excluded.
 
-The longest contexts reach back to the start of a word. Along them a word seen in training has its share of all, and the escape
-from them to those of order bytes is the share of words seen once; both ways to a word count (blending). Each text also teaches
-its own, adaptive trie of the whole words before: it is blended with what was learned, by an escape that falls from one towards
+Beside the bytes, a word seen in training has its share of all, and the escape from whole words to bytes is the share of words seen
+once; both ways to a word count (blending). This knows nothing of order, so a text's words are predicted by it and by the bytes
+alone, weighted by how well each did on the words just before (switching). Each text also teaches its own, adaptive trie of the whole words before: it is blended with what was learned, by an escape that falls from one towards
 a half as the text goes on. All sum to one over words, and so does the blend.
 """
 
@@ -30,6 +30,10 @@ from .words import coded, plain, raw, slices, split, sums
 ORDER, SPACE, END = 4, 0x20, 0x0A
 #: The escape from a text's own words after n of them: 1 - n / (2 * (n + SETTLES)).
 SETTLES = 300
+#: Bytes of texts whose grams are laid out at once.
+SLICE = 2 << 20
+#: How many words before a word decide between whole words and bytes, and the least weight of either.
+RECENT, LEAST_WEIGHT = 32, 0.01
 
 
 def lowered(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -37,22 +41,35 @@ def lowered(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words, offsets
 
 
+def with_ends(which: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words with that of the end after each text's, and the offsets of the texts in them."""
+    return np.insert(which, offsets[1:], end), offsets + np.arange(len(offsets))
+
+
 def word_grams(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Grams (context and byte in one number, the byte lowest) of the words laid end to end, and offsets by word. The empty word
-    stands for the end of a text.
+    stands for the end of a text; the contexts of a text's first bytes are filled up with spaces.
     """
     data, offsets = raw(words.cast(pa.binary()))
     lengths = np.diff(offsets)
-    size = lengths + order + 1
-    ends = np.concatenate([[0], np.cumsum(size)])
-    stream = np.full(ends[-1], SPACE, np.uint8)
-    stream[np.repeat(ends[:-1] + order - offsets[:-1], lengths) + np.arange(len(data))] = data
-    stream[ends[1:][lengths == 0] - 1] = END
+    first = np.concatenate([[True], lengths[:-1] == 0]) if len(lengths) else np.zeros(0, bool)
+    ends = np.cumsum(lengths + 1 + order * first)
+    stream = np.full(ends[-1] if len(ends) else 0, SPACE, np.uint8)
+    stream[np.repeat(ends - 1 - lengths - offsets[:-1], lengths) + np.arange(len(data))] = data
+    stream[ends[lengths == 0] - 1] = END
     gram = np.zeros(max(0, len(stream) - order), np.int64)
     for i in range(order + 1):
-        gram = (gram << 8) | stream[i : len(stream) - order + i]
-    starts = np.repeat(ends[:-1] - np.concatenate([[0], np.cumsum(lengths + 1)])[:-1], lengths + 1)
-    return gram[starts + np.arange(len(starts))], np.concatenate([[0], np.cumsum(lengths + 1)])
+        gram <<= 8
+        gram |= stream[i : len(stream) - order + i]
+    to = np.concatenate([[0], np.cumsum(lengths + 1)])
+    return gram[np.repeat(ends - order - to[1:], lengths + 1) + np.arange(to[-1])], to
+
+
+def text_grams(texts: pa.Array, order: int) -> np.ndarray:
+    """Grams of whole texts."""
+    words, offsets = lowered(texts)
+    at, _ = with_ends(np.arange(len(words)), offsets, len(words))
+    return word_grams(pa.concat_arrays([words.cast(pa.binary()), pa.array([b""], pa.binary())]).take(pa.array(at)), order)[0]
 
 
 def predicted(needed: np.ndarray, grams: np.ndarray, counts: np.ndarray, low: dict[int, dict[int, int]], order: int) -> np.ndarray:
@@ -112,6 +129,15 @@ def with_whole(escaped: np.ndarray, count: np.ndarray, n: int, once: int) -> np.
     return out
 
 
+def switched(whole: np.ndarray, by_bytes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """log10 probability of the words of texts by whole words and by bytes alone, in the weights of the text's RECENT words before."""
+    lead = np.concatenate([[0.0], np.cumsum(whole - by_bytes)])
+    at = np.arange(len(whole))
+    lead = lead[at] - lead[np.maximum(at - RECENT, np.repeat(offsets[:-1], np.diff(offsets)))]
+    weight = np.clip(1 / (1 + 10 ** np.clip(lead, -9, 9)), LEAST_WEIGHT, 1 - LEAST_WEIGHT)
+    return np.logaddexp(whole * math.log(10) + np.log(1 - weight), by_bytes * math.log(10) + np.log(weight)) / math.log(10)
+
+
 def blended(learned: np.ndarray, before: np.ndarray, same: np.ndarray) -> np.ndarray:
     """log10 probability of words by what was learned and by the words before in their text."""
     own = before / (2 * (before + SETTLES))
@@ -144,12 +170,10 @@ def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, offsets = word_grams(batch.column("word"), order)
-            n = np.repeat(batch.column("n").to_numpy(zero_copy_only=False), np.diff(offsets))
-            part, which = np.unique(grams, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.bincount(which, n, len(part)).astype(np.int64) if len(part) else part)], ["gram", "n"])
+            for texts in slices(plain(batch.column("text")), SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(text_grams(texts, order), return_counts=True)], ["gram", "n"])
 
-    grams = counts.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = rows.where("learns").select("text").mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     grams = written(grams.withColumn("tail", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")), "grams")
     low: dict[int, dict[int, int]] = {}
     for r in grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("g")).agg(F.sum("n").alias("n")).collect():
@@ -160,9 +184,10 @@ def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text
     parts = rows.select(id, "text", chunk_of(n_chunks, id, "text").alias("chunk"))
 
     def need(texts: pa.Table) -> pa.Table:
-        words, _ = lowered(plain(texts.column("text")))
+        column = plain(texts.column("text"))
+        words, _ = lowered(column)
         distinct = pa.concat_arrays([words.unique().cast(pa.binary()), pa.array([b""], pa.binary())])
-        own = np.unique(word_grams(distinct, order)[0])
+        own = np.unique(np.concatenate([np.unique(text_grams(part, order)) for part in slices(column, SLICE)]))
         chunk = texts.column("chunk")[0].as_py()
         nulls = lambda n, t: pa.nulls(n, t)
         return pa.table([pa.array([chunk] * (len(distinct) + len(own)), pa.int32()), pa.concat_arrays([distinct, nulls(len(own), pa.binary())]), pa.concat_arrays([nulls(len(distinct), pa.int64()), pa.array(own)])], names=["chunk", "word", "gram"])
@@ -192,24 +217,21 @@ def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text
         of_word = own.column("x").combine_chunks().to_numpy(zero_copy_only=False)
         n_tokens, n_known, base, total = [], [], [], []
 
-        def facts_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            """Counts and log10 probabilities of distinct words."""
-            at = pc.index_in(words, own.column("word").combine_chunks())
-            count = np.where(at.is_valid().to_numpy(zero_copy_only=False), np.append(of_word, 0)[at.fill_null(len(of_word)).to_numpy(zero_copy_only=False)], 0)
-            grams, offsets = word_grams(words, order)
-            return count, with_whole(sums(p[np.searchsorted(gram, grams)], offsets), count, train_tokens, once)
-
-        end_count, end_p = (x[0] for x in facts_of(pa.array([b""], pa.binary())))
-        for part in slices(plain(texts.column("text")), 4 << 20):
+        for part in slices(plain(texts.column("text")), SLICE):
             words, offsets = lowered(part)
             distinct, which = coded(words)
-            count, chance = facts_of(distinct.cast(pa.binary()))
-            n = np.diff(offsets) + 1
+            distinct = pa.concat_arrays([distinct.cast(pa.binary()), pa.array([b""], pa.binary())])
+            which, offsets = with_ends(which, offsets, len(distinct) - 1)
+            at = pc.index_in(distinct, own.column("word").combine_chunks())
+            count = np.where(at.is_valid().to_numpy(zero_copy_only=False), np.append(of_word, 0)[at.fill_null(len(of_word)).to_numpy(zero_copy_only=False)], 0)[which]
+            needed, to = word_grams(distinct.take(pa.array(which)), order)
+            by_bytes = sums(p[np.searchsorted(gram, needed)], to)
+            learned = switched(with_whole(by_bytes, count, train_tokens, once), by_bytes, offsets)
+            n = np.diff(offsets)
             n_tokens.append(n)
-            n_known.append(sums((count > 0).astype(np.int64)[which], offsets) + (end_count > 0))
-            base.append(sums(np.log10(count + 1)[which], offsets) + math.log10(end_count + 1) - n * math.log10(train_tokens + distinct_tokens + 1))
-            end = blended(np.full(len(n), end_p), n - 1, np.zeros(len(n), np.int64))
-            total.append(sums(blended(chance[which], *times_before(which, offsets)), offsets) + end)
+            n_known.append(sums((count > 0).astype(np.int64), offsets))
+            base.append(sums(np.log10(count + 1), offsets) - n * math.log10(train_tokens + distinct_tokens + 1))
+            total.append(sums(blended(learned, *times_before(which, offsets)), offsets))
         return pa.table([texts.column(id), *[pa.array(np.concatenate(x)) for x in (n_tokens, n_known, base, total)]], names=names)
 
     names = [id, "n_tokens", "n_known", "base_score", "score"]

@@ -358,3 +358,17 @@ def test_mixing(spark, docs, empty):
     key = ["doc_id", "lang", "source", "n_tokens", "tokens_taken"]
     assert again[key].sort_values(key).reset_index(drop=True).equals(got[key].sort_values(key).reset_index(drop=True))
     assert mixing.mixed(empty, mix).count() == 0 and mixing.mixed(docs, mix).count() == len(TEXTS) + 1
+
+
+def test_ppm_contexts_cross_spaces(spark):
+    """A text in the order that was learned scores better than its own words shuffled."""
+    rng = np.random.default_rng(0)
+    cycle = ["".join(w) for w in rng.choice(list("abcdefgh"), (12, 5))]
+    rows = [(i, " ".join(cycle * 20), True) for i in range(20)] + [(100, " ".join(cycle * 5), False), (101, " ".join(rng.permutation(cycle * 5)), False)]
+    got = {r["doc_id"]: r for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string, learns boolean"), F.col("learns")).collect()}
+    assert abs(got[100]["base_score"] - got[101]["base_score"]) < 1e-9 and got[100]["score"] > got[101]["score"] + 10
+    grams, to = ppm.word_grams(pa.array([b"ab", b"c", b"", b"d", b""], pa.binary()), 3)
+    assert [int(g).to_bytes(4, "big") for g in grams] == [b"   a", b"  ab", b" ab ", b"ab c", b"b c ", b" c \n", b"   d", b"  d ", b" d \n"] and to.tolist() == [0, 3, 5, 6, 8, 9]
+    weights = 10 ** ppm.switched(np.log10([0.5, 0.2]), np.log10([0.1, 0.6]), np.array([0, 2]))
+    other = 10 ** ppm.switched(np.log10([0.5, 0.8]), np.log10([0.1, 0.4]), np.array([0, 2]))
+    assert abs(weights[0] - 0.3) < 1e-12 and abs(weights[1] + other[1] - 1) < 1e-12
