@@ -43,12 +43,26 @@ CLASSES = (
     CharClass("entropy_hex", DIGITS + "abcdefABCDEF", 24, 3.2, (DIGITS, "abcdefABCDEF")),
     CharClass("entropy_base64", DIGITS + LOWER + UPPER + "+/_=-", 20, 3.8, (DIGITS, LOWER, UPPER)),
 )
-#: Candidates in which one of these is found are not reported by the entropy windows.
+#: Windows that touch one of these are not reported.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"(?i)example|placeholder|changeme|xxxx|0123456789|abcdefgh",
     r"(.)\1{7}",
 )
+#: A word of at most so many letters and digits counts as a placeholder whole if a part of it is allowed.
+PLACEHOLDER = 40
+WORD = re.compile("[A-Za-z0-9]+")
+
+
+def free(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of start to end that no taken span covers."""
+    parts = []
+    for a, b in sorted(taken):
+        if a < end and b > start:
+            if a > start:
+                parts.append((start, a))
+            start = b
+    return [*parts, (start, end)] if start < end else parts
 
 
 def windows_over(text: str, kind: CharClass, log: list[float]) -> list[tuple[int, int]]:
@@ -95,20 +109,34 @@ class Scanner:
         self.rank = {k: i for i, k in enumerate([*(b[0] for b in BASE), *(c.name for c in classes)])}
         self.hint = ASSIGN_HINT + "|[A-Za-z0-9+/_=-]{%d}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}" % min(c.window for c in classes)
 
+    def excused(self, run: str) -> list[tuple[int, int]]:
+        """Where a candidate string is on the allow-list, with the short words there."""
+        hits = sorted(m.span() for a in self.allowed for m in a.finditer(run))
+        if not hits:
+            return []
+        out, k, reach = list(hits), 0, 0
+        for word in WORD.finditer(run):
+            while k < len(hits) and hits[k][0] < word.end():
+                reach = max(reach, hits[k][1])
+                k += 1
+            if reach > word.start() and word.end() - word.start() <= PLACEHOLDER:
+                out.append(word.span())
+        return out
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found = [(kind, m.start(), m.end()) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
         base = sorted((s, e) for _, s, e in found)
         for m in self.candidate.finditer(text):
-            if any(a.search(m[0]) for a in self.allowed):
-                continue
             taken = [x for x in base if x[0] < m.end() and x[1] > m.start()] if base else []
+            taken += [(s + m.start(), e + m.start()) for s, e in self.excused(m[0])]
             for kind in self.classes:
+                own = []
                 for run in self.runs[kind.name].finditer(m[0]):
-                    for s, e in windows_over(run[0], kind, self.log):
-                        s, e = s + m.start() + run.start(), e + m.start() + run.start()
-                        if not any(a < e and s < b for a, b in taken):
-                            found.append((kind.name, s, e))
-                            taken.append((s, e))
+                    for start, end in free(m.start() + run.start(), m.start() + run.end(), taken):
+                        if end - start >= kind.window:
+                            own += [(s + start, e + start) for s, e in windows_over(text[start:end], kind, self.log)]
+                found += [(kind.name, s, e) for s, e in own]
+                taken += own
         return sorted(found, key=lambda x: (x[1], self.rank[x[0]], x[2]))
 
 
@@ -116,7 +144,7 @@ def secret_spans(text: str | Column, classes: tuple[CharClass, ...] = CLASSES, a
     """Spans of secrets in a text, as an array of (kind, start, end) by start, then kind; code points, end exclusive.
 
     Base patterns come first and stay; a window that meets the entropy of its character class is added where it overlaps
-    no span yet and its candidate string is not on the allow-list. A null text counts as empty and has no spans.
+    no span yet and nothing on the allow-list, whatever else its candidate string holds. A null text counts as empty and has no spans.
     """
 
     @F.arrow_udf(SPAN)
