@@ -120,7 +120,7 @@ def research(spark: SparkSession, candles: DataFrame, specs: list[Spec], least_t
 
 def grid(full: bool = True) -> list[Spec]:
     """Three numbers of classes, horizons and lengths by six models; logistic regression is left out of the longest windows."""
-    models = [Spec("majority"), Spec("markov", order=1), Spec("markov", order=2), Spec("logistic"), Spec("boosted", depth=3, rate=0.04), Spec("boosted", depth=4, rate=0.025)]
+    models = [Spec("majority"), Spec("markov", order=1), Spec("markov", order=2), Spec("logistic"), Spec("boosted", rounds=160, depth=3, rate=0.04), Spec("boosted", rounds=220, depth=4, rate=0.025)]
     shapes = [(k, h, n) for k in (3, 5, 7) for h in (1, 3, 6) for n in (16, 32, 64)] if full else [(3, 1, 16)]
     return [Spec(m.model, k, h, n, m.order, m.rounds, m.depth, m.rate) for k, h, n in shapes for m in models if not (m.model == "logistic" and n == 64)]
 

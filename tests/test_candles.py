@@ -181,3 +181,8 @@ def test_training(spark, candles, tmp_path):
         T.train(candles.limit(20), T.Spec())
     board = E.leaderboard(T.research(spark, candles, [T.Spec("majority", length=4), T.Spec("markov", length=4), T.Spec("rnn", length=4)], 60)).collect()
     assert len(board) == 2 and len(T.grid()) == 153
+
+
+def test_grid_rounds():
+    """The boosted cells have the reference grid's rounds, depths and rates."""
+    assert {(s.rounds, s.depth, s.rate) for s in T.grid() if s.model == "boosted"} == {(160, 3, 0.04), (220, 4, 0.025)}
