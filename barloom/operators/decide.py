@@ -66,9 +66,10 @@ def heuristic_signal(df: DataFrame, cfg: DecisionConfig = DecisionConfig()) -> D
     df = df.withColumn("_news", classes)
     count = lambda k: F.size(F.filter("_news", lambda c: c == k))
     on = lambda c, x: F.when(c, F.lit(x)).otherwise(zero)
-    news = lambda k, x: F.aggregate(F.filter("_news", lambda c: c == k), zero, lambda a, _: a + F.lit(x))
-    bullish = on(low, RSI_WEIGHT) + on(macd > 0, MACD_WEIGHT) + on(trend > 0, EMA_WEIGHT) + on(at_support, LEVEL_WEIGHT) + news(1, GOOD_NEWS)
-    bearish = on(high, RSI_WEIGHT) + on(macd < 0, MACD_WEIGHT) + on(trend < 0, EMA_WEIGHT) + on(at_resistance, LEVEL_WEIGHT) + news(-1, BAD_NEWS)
+    # Weights are added one by one in this order: on a threshold, the rounding of doubles decides.
+    with_news = lambda total, k, x: F.aggregate(F.filter("_news", lambda c: c == k), total, lambda a, _: a + F.lit(x))
+    bullish = with_news(on(low, RSI_WEIGHT) + on(macd > 0, MACD_WEIGHT) + on(trend > 0, EMA_WEIGHT) + on(at_support, LEVEL_WEIGHT), 1, GOOD_NEWS)
+    bearish = with_news(on(high, RSI_WEIGHT) + on(macd < 0, MACD_WEIGHT) + on(trend < 0, EMA_WEIGHT) + on(at_resistance, LEVEL_WEIGHT), -1, BAD_NEWS)
     says = lambda c, k, *x: F.when(c, F.format_string(FACTORS[k], *x) if x else F.lit(FACTORS[k]))
     spike = F.col("volume_ratio") >= 2.5
     factors = _known(F.array(says(low, "rsi_low", rsi), says(high, "rsi_high", rsi), says(macd > 0, "macd_up"), says(macd < 0, "macd_down"), says(trend > 0, "ema_up"), says(trend < 0, "ema_down"), says(spike, "volume", F.col("volume_ratio")), says(at_support, "support"), says(at_resistance, "resistance")))

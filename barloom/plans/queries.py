@@ -499,11 +499,11 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 ASK = f"""{IND}, rq AS (SELECT {SQL_IDS}, hour("begin") AS h, close, low, high, 10.0 + hour("begin") * 3.5 AS rsi, coalesce(return_1, 0) AS ml, coalesce(return_3, 0) AS ms, -ema_20_distance AS e20, -ema_50_distance AS e50, coalesce(volume_ratio, 1) AS vr,
  CASE WHEN hour("begin") % 11 <> 10 THEN (hour("begin") % 10) / 9.0 END AS confidence, {', '.join(f'((hour("begin") + {k * k}) % 5 + 1)::DOUBLE AS w{k}' for k in range(K))}, (hour("begin") % 5) * 20.0 - 20.0 AS position, (hour("begin") % 4) * 0.31::DOUBLE AS exposure, (hour("begin") % 8) * -200.0 AS day_pnl FROM ind),
-d0 AS (SELECT *, (w2 - w0) / (w0 + w1 + w2) AS direction, CASE WHEN close <> 0 THEN list_max(list_filter([low, low * 0.9, high * 1.1], lambda x: x <= close)) END AS support, CASE WHEN close <> 0 THEN list_min(list_filter([high, high * 1.2], lambda x: x >= close)) END AS resistance FROM rq),
-d1 AS (SELECT *, (CASE WHEN rsi < 35 THEN 0.35 ELSE 0 END + CASE WHEN ml > ms THEN 0.25 ELSE 0 END + CASE WHEN e20 > e50 THEN 0.25 ELSE 0 END + CASE WHEN close <= support * 1.01 THEN 0.15 ELSE 0 END + CASE WHEN h % 6 = 0 THEN 0.2 ELSE 0 END)::DOUBLE AS bull,
- (CASE WHEN rsi > 65 THEN 0.35 ELSE 0 END + CASE WHEN ml < ms THEN 0.25 ELSE 0 END + CASE WHEN e20 < e50 THEN 0.25 ELSE 0 END + CASE WHEN close >= resistance * 0.99 THEN 0.15 ELSE 0 END + CASE WHEN h % 6 = 1 THEN 0.25 ELSE 0 END)::DOUBLE AS bear,
+d0 AS (SELECT *, w2 / (w0 + w1 + w2) - w0 / (w0 + w1 + w2) AS direction, CASE WHEN close <> 0 THEN list_max(list_filter([low, low * 0.9, high * 1.1], lambda x: x <= close)) END AS support, CASE WHEN close <> 0 THEN list_min(list_filter([high, high * 1.2], lambda x: x >= close)) END AS resistance FROM rq),
+d1 AS (SELECT *, CASE WHEN rsi < 35 THEN 0.35::DOUBLE ELSE 0::DOUBLE END + CASE WHEN ml > ms THEN 0.25::DOUBLE ELSE 0::DOUBLE END + CASE WHEN e20 > e50 THEN 0.25::DOUBLE ELSE 0::DOUBLE END + CASE WHEN close <= support * 1.01::DOUBLE THEN 0.15::DOUBLE ELSE 0::DOUBLE END + CASE WHEN h % 6 = 0 THEN 0.2::DOUBLE ELSE 0::DOUBLE END AS bull,
+ CASE WHEN rsi > 65 THEN 0.35::DOUBLE ELSE 0::DOUBLE END + CASE WHEN ml < ms THEN 0.25::DOUBLE ELSE 0::DOUBLE END + CASE WHEN e20 < e50 THEN 0.25::DOUBLE ELSE 0::DOUBLE END + CASE WHEN close >= resistance * 0.99::DOUBLE THEN 0.15::DOUBLE ELSE 0::DOUBLE END + CASE WHEN h % 6 = 1 THEN 0.25::DOUBLE ELSE 0::DOUBLE END AS bear,
  concat_ws(',', CASE WHEN rsi < 20 OR rsi > 80 THEN 'extreme_rsi' END, CASE WHEN vr >= 2.5 THEN 'volume_spike' END, CASE WHEN h % 6 = 1 THEN 'negative_news' END, CASE WHEN exposure >= 0.9 THEN 'high_portfolio_exposure' END) AS flags FROM d0),
-d2 AS (SELECT *, bull - bear AS diff, CASE WHEN round(bull - bear, 9) > 0.15 THEN 'bullish' WHEN round(bull - bear, 9) < -0.15 THEN 'bearish' ELSE 'neutral' END AS side, least(1.0, abs(bull - bear)) AS strength FROM d1)"""
+d2 AS (SELECT *, bull - bear AS diff, CASE WHEN bull - bear > 0.15::DOUBLE THEN 'bullish' WHEN bull - bear < -0.15::DOUBLE THEN 'bearish' ELSE 'neutral' END AS side, least(1.0::DOUBLE, abs(bull - bear)) AS strength FROM d1)"""
 
 
 @query(f"{ASK} SELECT {SQL_IDS}, {rr('direction', 6, 'algo_direction')} FROM d0")
@@ -517,47 +517,42 @@ def q_nearest_levels(spark: SparkSession, d: str) -> DataFrame:
     return requests(spark, d).select(*IDS, r(X.nearest("support_levels", c, True), 6, "support"), r(X.nearest("resistance_levels", c, False), 6, "resistance"))
 
 
-@query(f"{ASK} SELECT {SQL_IDS}, side AS llm_direction, {rr('strength', 6, 'llm_strength')}, {rr('''CASE WHEN side = 'neutral' THEN least(0.3, 0.2 + 0.3 * greatest(bull, bear) + 0.3 * strength) ELSE least(1.0, 0.2 + 0.3 * greatest(bull, bear) + 0.3 * strength) END''', 6, 'llm_confidence')}, flags AS risk_flags FROM d2 WHERE abs(abs(diff) - 0.15) > 1e-9")
+@query(f"{ASK} SELECT {SQL_IDS}, side AS llm_direction, {rr('strength', 6, 'llm_strength')}, {rr('''CASE WHEN side = 'neutral' THEN least(0.3::DOUBLE, 0.2::DOUBLE + 0.3::DOUBLE * greatest(bull, bear) + 0.3::DOUBLE * strength) ELSE least(1.0::DOUBLE, 0.2::DOUBLE + 0.3::DOUBLE * greatest(bull, bear) + 0.3::DOUBLE * strength) END''', 6, 'llm_confidence')}, flags AS risk_flags FROM d2")
 def q_heuristic_score(spark: SparkSession, d: str) -> DataFrame:
-    s = Q.heuristic_signal(requests(spark, d)).where(F.abs(F.col("llm_strength") - 0.15) > 1e-9)
+    s = Q.heuristic_signal(requests(spark, d))
     return s.select(*IDS, "llm_direction", r("llm_strength"), r("llm_confidence"), F.array_join("risk_flags", ",").alias("risk_flags"))
 
 
-SCORED = f"""{ASK}, d3 AS (SELECT *, CASE WHEN confidence IS NULL THEN 0.0 ELSE confidence END AS ac, CASE WHEN confidence IS NULL THEN 0.0 ELSE direction END AS ad, CASE WHEN side = 'neutral' THEN least(0.3, 0.2 + 0.3 * greatest(bull, bear) + 0.3 * strength) ELSE least(1.0, 0.2 + 0.3 * greatest(bull, bear) + 0.3 * strength) END AS lc FROM d2 WHERE abs(abs(diff) - 0.15) > 1e-9),
+SCORED = f"""{ASK}, d3 AS (SELECT *, CASE WHEN confidence IS NULL THEN 0.0 ELSE confidence END AS ac, CASE WHEN confidence IS NULL THEN 0.0 ELSE direction END AS ad, CASE WHEN side = 'neutral' THEN least(0.3::DOUBLE, 0.2::DOUBLE + 0.3::DOUBLE * greatest(bull, bear) + 0.3::DOUBLE * strength) ELSE least(1.0::DOUBLE, 0.2::DOUBLE + 0.3::DOUBLE * greatest(bull, bear) + 0.3::DOUBLE * strength) END AS lc FROM d2),
 d4 AS (SELECT *, 0.6::DOUBLE * ad * ac + 0.4::DOUBLE * CASE side WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END * strength * lc AS score, least(ac, greatest(lc, 0.2)) AS dc FROM d3),
-d5 AS (SELECT *, CASE WHEN flags <> '' THEN 'HOLD' WHEN score >= 0.25 THEN 'BUY' WHEN score <= -0.25 THEN 'SELL' ELSE 'HOLD' END AS act FROM d4),
+d5 AS (SELECT *, CASE WHEN flags <> '' THEN 'HOLD' WHEN score >= 0.25::DOUBLE THEN 'BUY' WHEN score <= -0.25::DOUBLE THEN 'SELL' ELSE 'HOLD' END AS act FROM d4),
 d6 AS (SELECT *, CASE WHEN act = 'HOLD' THEN 0 WHEN act = 'BUY' THEN least(100.0 * dc, greatest(100.0 - abs(position), 0)) WHEN position <= 0 THEN 0 ELSE least(100.0 * dc, position) END AS size FROM d5),
 d7 AS (SELECT *, CASE WHEN act = 'HOLD' THEN '' ELSE concat_ws('; ', CASE WHEN day_pnl <= -1000 THEN 'daily loss limit exceeded' END, CASE WHEN abs(exposure) >= 0.8 THEN 'portfolio exposure limit exceeded' END, CASE WHEN act = 'SELL' AND position <= 0 THEN 'short selling is disabled' END, CASE WHEN size = 0 THEN 'no available position size after limits' END) END AS reasons FROM d6)"""
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Decisions on all requests but those at the very edge of a threshold, where rounding decides."""
-    return Q.evaluate_decisions(requests(spark, d))
-
-
 def steps(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of all requests. On a threshold the order of additions in doubles decides, which is the same in the SQL."""
     df = requests(spark, d)
     failed = F.col("confidence").isNull()
     df = df.withColumns(Q.model_signal()).withColumns({"algo_direction": F.when(failed, 0.0).otherwise(F.col("algo_direction")), "algo_confidence": F.when(failed, 0.0).otherwise(F.col("algo_confidence"))})
-    return Q.weighted_score(Q.heuristic_signal(df)).where(F.abs(F.col("llm_strength") - 0.15) > 1e-9)
+    return Q.weighted_score(Q.heuristic_signal(df))
 
 
-@query(f"{SCORED} SELECT {SQL_IDS}, {rr('score')}, act AS action, {rr('dc', 6, 'decision_confidence')} FROM d5 WHERE abs(abs(score) - 0.25) > 1e-9")
+@query(f"{SCORED} SELECT {SQL_IDS}, {rr('score')}, act AS action, {rr('dc', 6, 'decision_confidence')} FROM d5")
 def q_aggregate_score(spark: SparkSession, d: str) -> DataFrame:
-    return steps(spark, d).where(F.abs(F.abs("score") - 0.25) > 1e-9).select(*IDS, r("score"), "action", r("decision_confidence"))
+    return steps(spark, d).select(*IDS, r("score"), "action", r("decision_confidence"))
 
 
-@query(f"{SCORED} SELECT {SQL_IDS}, act AS action, {rr('size', 6, 'recommended_size')}, {rr('''CASE act WHEN 'BUY' THEN position + size WHEN 'SELL' THEN position - size ELSE position END''', 6, 'resulting_position')}, reasons AS blocking_reasons, reasons = '' AS approved FROM d7 WHERE abs(abs(score) - 0.25) > 1e-9")
+@query(f"{SCORED} SELECT {SQL_IDS}, act AS action, {rr('size', 6, 'recommended_size')}, {rr('''CASE act WHEN 'BUY' THEN position + size WHEN 'SELL' THEN position - size ELSE position END''', 6, 'resulting_position')}, reasons AS blocking_reasons, reasons = '' AS approved FROM d7")
 def q_risk_assess(spark: SparkSession, d: str) -> DataFrame:
-    a = Q.risk(steps(spark, d)).where(F.abs(F.abs("score") - 0.25) > 1e-9)
+    a = Q.risk(steps(spark, d))
     return a.select(*IDS, "action", r("recommended_size"), r("resulting_position"), F.array_join("blocking_reasons", "; ").alias("blocking_reasons"), "approved")
 
 
 @query(f"""{SCORED} SELECT {SQL_IDS}, CASE WHEN confidence IS NULL OR (act <> 'HOLD' AND reasons <> '') THEN 'HOLD' ELSE act END AS action, round(CASE WHEN confidence IS NULL THEN 0 ELSE score END, 6) + 0.0 AS score,
- CASE WHEN confidence IS NULL THEN 'ml_unavailable_fallback' WHEN act <> 'HOLD' AND reasons <> '' THEN 'risk_manager_block' WHEN flags <> '' THEN 'llm_risk_flag_override' WHEN act = 'BUY' THEN 'score above buy threshold' WHEN act = 'SELL' THEN 'score below sell threshold' ELSE 'score inside hold band' END AS reason FROM d7 WHERE abs(abs(score) - 0.25) > 1e-9""")
+ CASE WHEN confidence IS NULL THEN 'ml_unavailable_fallback' WHEN act <> 'HOLD' AND reasons <> '' THEN 'risk_manager_block' WHEN flags <> '' THEN 'llm_risk_flag_override' WHEN act = 'BUY' THEN 'score above buy threshold' WHEN act = 'SELL' THEN 'score below sell threshold' ELSE 'score inside hold band' END AS reason FROM d7""")
 def q_decision_eval(spark: SparkSession, d: str) -> DataFrame:
-    edge = steps(spark, d).where(F.abs(F.abs("score") - 0.25) > 1e-9).select(*IDS)
-    return scored(spark, d).join(edge, list(IDS)).select(*IDS, "action", r("score"), "reason")
+    return Q.evaluate_decisions(requests(spark, d)).select(*IDS, "action", r("score"), "reason")
 
 
 # Blocks, texts, numbers ---------------------------------------------------------------------------------------------
@@ -614,9 +609,9 @@ def q_batch_names(spark: SparkSession, d: str) -> DataFrame:
     return ends.select(*SERIES, F.concat_ws("_", *SERIES, X.batch_stamp("a"), X.batch_stamp("z")).alias("name"))
 
 
-@query(f"""WITH {BARS} SELECT strftime("begin", '%Y-%m-%d') AS day, count(DISTINCT ticker) AS tickers, count(DISTINCT timeframe) AS timeframes FROM bars WHERE hour("begin") < 2 GROUP BY 1 HAVING count(DISTINCT ticker) > 1""")
+@query(f"""WITH {BARS} SELECT strftime("begin", '%Y-%m-%d') AS day, count(DISTINCT ticker) AS tickers, count(DISTINCT timeframe) AS timeframes FROM bars GROUP BY 1 HAVING count(DISTINCT ticker) > 1""")
 def q_mixed_batches(spark: SparkSession, d: str) -> DataFrame:
-    return C.mixed_batches(bars_hourly(spark, d).where(F.hour("begin") < 2).withColumn("day", F.date_format("begin", "yyyy-MM-dd")), ("day",))
+    return C.mixed_batches(bars_hourly(spark, d).withColumn("day", F.date_format("begin", "yyyy-MM-dd")), ("day",))
 
 
 @query(f"""{ROWS}, w0 AS (SELECT list(return_1) OVER fr AS xs, token, n FROM wn WINDOW fr AS (PARTITION BY ticker, timeframe, split ORDER BY "begin" ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW)), p AS (SELECT unnest(range(0, {LENGTH})) AS place, unnest(xs) AS x FROM w0 WHERE n = {LENGTH} AND token <> -1),
