@@ -262,11 +262,112 @@ def best(found: Lattice, score: np.ndarray, byte_score: float) -> tuple[np.ndarr
     return ids[order], np.concatenate([[0], np.cumsum(np.bincount(words, minlength=n))])
 
 
-def in_buckets(data: np.ndarray, offsets: np.ndarray, most_cells: int = 1 << 18):
-    """(numbers of words, their bytes, their offsets) in groups of like length, so that padding stays small."""
+#: Longer words are walked alone, byte by byte, with what the walk has to remember bounded by a block.
+LONG, BLOCK, RESCALE = 512, 1 << 15, 16
+
+
+def matches(tree: DoubleArray, byte_ids: np.ndarray, data: np.ndarray, at: int, to: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """All pieces that start from at to to (exclusive) in data: how many before each start, their lengths and ids, by start, then
+    falling length; the byte fallback comes last, with length 0.
+    """
+    part = data[at : min(len(data), to + tree.depth)]
+    n = to - at
+    where, state = np.arange(n), np.zeros(n, np.int32)
+    starts, lengths, found = [where], [np.zeros(n, np.int64)], [byte_ids[part[:n]]]
+    for step in range(tree.depth):
+        alive = where + step < len(part)
+        where, state = where[alive], state[alive]
+        following = tree.base[state] + part[where + step] + 1
+        ok = tree.check[following] == state
+        where, state = where[ok], following[ok]
+        if not len(where):
+            break
+        ids = tree.value[state]
+        hit = ids >= 0
+        starts.append(where[hit])
+        lengths.append(np.full(int(hit.sum()), step + 1))
+        found.append(ids[hit])
+    start, length, ids = np.concatenate(starts), np.concatenate(lengths), np.concatenate(found)
+    order = np.lexsort((-length, start))
+    return np.searchsorted(start[order], np.arange(n + 1)), length[order].tolist(), ids[order].tolist()
+
+
+def best_long(tree: DoubleArray, byte_ids: np.ndarray, data: np.ndarray, score: np.ndarray, byte_score: float, block: int = BLOCK) -> np.ndarray:
+    """The same ids as those of best for one word of any length. After each block, what all open paths have in common is handed
+    out and forgotten.
+    """
+    value_of = score.tolist()
+    top, step, piece = [0.0], [0], [-1]  # of the positions from origin on
+    origin, out = 0, []
+    worst = -np.inf
+
+    def trace(end: int) -> list[int]:
+        ids = []
+        while end > origin:
+            ids.append(piece[end - origin])
+            end -= step[end - origin]
+        return ids[::-1]
+
+    for at in range(0, len(data), block):
+        to = min(len(data), at + block)
+        cuts, lengths, ids = matches(tree, byte_ids, data, at, to)
+        more = min(len(data), to + tree.depth) - origin + 1 - len(top)
+        top += [worst] * more
+        step += [0] * more
+        piece += [-1] * more
+        cuts = cuts.tolist()
+        for k in range(to - at):
+            here = at - origin + k
+            reached = top[here]
+            for x in range(cuts[k], cuts[k + 1]):
+                n, i = lengths[x], ids[x]
+                v = reached + (value_of[i] if n else byte_score)
+                end = here + (n or 1)
+                if v > top[end]:
+                    top[end], step[end], piece[end] = v, n or 1, i
+        if to < len(data):
+            open_ = {e for e in range(to - origin, len(top)) if top[e] > worst}
+            while len(open_) > 1:
+                last = max(open_)
+                open_.remove(last)
+                open_.add(last - step[last])
+            common = open_.pop() + origin
+            out += trace(common)
+            del top[: common - origin], step[: common - origin], piece[: common - origin]
+            origin = common
+    return np.array(out + trace(len(data)), np.int32)
+
+
+def total_long(tree: DoubleArray, byte_ids: np.ndarray, data: np.ndarray, chance: np.ndarray, widths: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """The same logarithms as those of totals for one word of any length. Sums are scaled anew every few bytes."""
+    high = lifted(chance, widths)
+    logs = np.zeros(chance.shape[1])
+    for m in range(chance.shape[1]):
+        value, ahead, log = high[:, m].tolist(), [1.0], 0.0
+        for at in range(0, len(data), block):
+            to = min(len(data), at + block)
+            cuts, lengths, ids = matches(tree, byte_ids, data, at, to)
+            ahead += [0.0] * (min(len(data), to + tree.depth) - at + 1 - len(ahead))
+            cuts = cuts.tolist()
+            for k in range(to - at):
+                reached = ahead[k]
+                for x in range(cuts[k], cuts[k + 1]):
+                    ahead[k + (lengths[x] or 1)] += reached * value[ids[x]]
+                if k % RESCALE == RESCALE - 1 and (most := max(ahead[k + 1 : k + 1 + tree.depth], default=0.0)) > 0:
+                    ahead[k + 1 : k + 1 + tree.depth] = [a / most for a in ahead[k + 1 : k + 1 + tree.depth]]
+                    log += np.log(most)
+            ahead = ahead[to - at :]
+        logs[m] = np.log(ahead[-1]) + log - np.log(LIFT) * len(data)
+    return logs
+
+
+def in_buckets(data: np.ndarray, offsets: np.ndarray, most_cells: int = 1 << 18, longest_word: int = LONG):
+    """(numbers of words, their bytes, their offsets) in groups of like length, so that padding stays small. Empty words and those
+    over longest_word are left out.
+    """
     lengths = np.diff(offsets)
     order = np.argsort(lengths, kind="stable")
-    order = order[np.searchsorted(lengths[order], 1) :]
+    order = order[np.searchsorted(lengths[order], 1) : np.searchsorted(lengths[order], longest_word, "right")]
     at = 0
     while at < len(order):
         longest = max(8, int(lengths[order[at]] * 3 // 2))

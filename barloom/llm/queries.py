@@ -56,9 +56,8 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each text, and whether decoding them gives the text back."""
-    docs = unigram.tokenized(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = unigram.decode(F.col("piece_ids"))
-    return docs.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), back.eqNullSafe(F.col("text")).alias("round_trip"), "piece_ids")
+    docs = table(spark, sf_dir, "documents").select("doc_id", unigram.round_trip("text").alias("coded"))
+    return docs.select("doc_id", F.size("coded.piece_ids").cast("long").alias("n_pieces"), "coded.round_trip", "coded.piece_ids")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

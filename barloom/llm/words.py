@@ -21,7 +21,7 @@ def plain(texts: pa.Array) -> pa.Array:
 
 
 def slices(texts: pa.Array, most_bytes: int = 8 << 20) -> Iterator[pa.Array]:
-    """Consecutive slices of about most_bytes; a longer text has a slice of its own."""
+    """Consecutive slices of at most about most_bytes; a longer text has a slice of its own."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) if len(texts) else np.zeros(0, int)
     at = 0
     while at < len(texts):
