@@ -128,6 +128,8 @@ def test_held_out(docs):
 
 def test_pieces_round_trip(docs, empty):
     t = unigram.tokenized(docs).withColumn("back", unigram.decode("piece_ids")).collect()
+    both = {r["doc_id"]: r["c"] for r in docs.select("doc_id", unigram.round_trip("text").alias("c")).collect()}
+    assert all(both[r["doc_id"]]["round_trip"] and both[r["doc_id"]]["piece_ids"] == r["piece_ids"] for r in t)
     for r in t:
         assert r["back"] == r["text"]
     assert unigram.tokenized(empty).count() == 0
@@ -260,32 +262,43 @@ def brute_repeats(texts, w=200):
     return out
 
 
-@pytest.mark.parametrize("chunk,shard", [(16 << 20, 2048), (700, 1), (3000, 3)])
-def test_repeats(spark, empty, chunk, shard):
-    rng = np.random.default_rng(chunk)
+@pytest.mark.parametrize("piece,shard", [(1 << 20, 2048), (700, 1), (300, 3)])
+def test_repeats(spark, empty, piece, shard):
+    """Texts over two pieces are read in several; hashes of more than shard runs have many shards."""
+    rng = np.random.default_rng(piece)
     text = lambda n: "".join(rng.choice(list("abcdefghé \n"), n))
     shared = text(400)
     texts = [text(300) + shared + text(200), text(50) + shared + text(90), shared[:230], shared[100:330] + text(250), text(900), None, "", "z" * 700, text(100) * 4, text(199)]
-    texts += [texts[4], *(text(150) + shared[60:320] + text(150) for _ in range(6)), text(120) + texts[8][30:260] + text(90)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs, chunk_bytes=chunk, shard=shard).collect()}
+    texts += [texts[4], *(text(150) + shared[60:320] + text(150) for _ in range(6)), text(120) + texts[8][30:260] + text(90), text(2000), *["copied " * 40] * 5]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, _row int").repartition(3)
+    got = {r["doc_id"]: r for r in suffix_dedup.without_repeats(docs, piece=piece, shard=shard).collect()}
     for i, want in enumerate(brute_repeats(texts)):
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want, i
     assert suffix_dedup.without_repeats(empty).count() == 0
+    rows = suffix_dedup.without_repeats(spark.createDataFrame([(1, "same words " * 30), (1, "same words " * 30), (None, "same words " * 30), (2, "short")], "doc_id int, text string")).collect()
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in rows) == [(5, 0), (330, 330), (330, 330), (330, 330)]
 
 
-def test_window_classes():
+def test_suffix_arrays():
+    """Order and common prefixes against sorted suffixes; repeated windows against counting them."""
     rng = np.random.default_rng(0)
     parts = [rng.integers(97, 99, n).astype(np.uint8) for n in (300, 250, 120, 400)]
-    parts.append(parts[0][20:280])
+    parts += [parts[0][20:260], np.full(300, 97, np.uint8), np.zeros(40, np.uint8)]
     data, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    for w in (200, 64, 77):
-        at, rank = suffix_dedup.window_classes(data, offsets, w)
-        seen = {int(p): data[p : p + w].tobytes() for p in at}
-        assert len(seen) == sum(max(0, len(p) - w + 1) for p in parts)
-        order = [seen[int(p)] for p in at[np.argsort(rank, kind="stable")]]
-        assert order == sorted(order) and len(set(rank.tolist())) == len(set(order))
+    blob, key = data.tobytes(), suffix_dedup.eights(data)
+    for w in (8, 50, 200):
+        order = suffix_dedup.suffix_array(key)
+        assert order.tolist() == sorted(range(len(data)), key=lambda i: blob[i:])
+        common = suffix_dedup.common_prefixes(key, order, w)
+        for k in range(1, len(order)):
+            a, b = blob[order[k - 1] :][:w], blob[order[k] :][:w]
+            assert common[k] == next((x for x, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+        at, again, leads = suffix_dedup.repeated_windows(data, offsets, w)
+        seen = [data[p : p + w].tobytes() for p in at]
+        n = collections.Counter(seen)
+        assert len(seen) == sum(max(0, len(p) - w + 1) for p in parts) and [n[x] > 1 for x in seen] == again.tolist()
+        assert sorted(x for x, y in zip(seen, leads) if y) == sorted(n)
     h = windows.gram_hashes(data)
     assert (windows.sliding_least(h, 137) == np.array([h[i : i + 137].min() for i in range(len(h) - 136)])).all()
 
