@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,7 +122,3 @@ def online_report(found: DataFrame, above: int = 3, keys: tuple[str, ...] = SERI
 def leaderboard(results: DataFrame, n: int = 10) -> DataFrame:
     """The best results without an error, by validation macro-F1, then validation and test figures."""
     return results.where("error is null").orderBy(F.desc("val_macro_f1"), F.desc("val_action_accuracy"), F.desc("test_macro_f1")).limit(n)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import calendar, guarded_ratio
 from ..session import SERIES
@@ -44,33 +41,38 @@ def candle_shape() -> dict[str, Column]:
     return parts | {f"{k}_ratio": guarded_ratio(v, span) for k, v in parts.items() if k != "range"}
 
 
-def ema_rows(span: int) -> int:
-    """Rows after which the weight of all that came before is under the rounding of doubles."""
-    return math.ceil(36 / -math.log(1 - 2 / (span + 1)))
-
-
-def ema(span: int, w: WindowSpec) -> Column:
-    """Exponential mean, started at the series' first close, over a trailing frame of ema_rows."""
-    a = 2 / (span + 1)
-    closes = F.collect_list("close").over(w.rowsBetween(-ema_rows(span), 0))
-    return F.aggregate(F.slice(closes, 2, ema_rows(span)), F.element_at(closes, 1), lambda e, c: e + F.lit(a) * (c - e))
+#: Rows of a block of a series. After two blocks more, what came before weighs less than doubles can tell, for spans of up to 100.
+BLOCK = 512
 
 
-def ema_exact(df: DataFrame, spans: tuple[int, ...] = SPANS, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """The same recursion over whole series, each in one Arrow group; for series that fit in a task."""
-    schema = T.StructType([*df.schema.fields, *[T.StructField(f"ema_{s}", T.DoubleType()) for s in spans]])
+def with_ema(df: DataFrame, spans: tuple[int, ...] = SPANS, keys: tuple[str, ...] = SERIES, into: str = "ema_{}") -> DataFrame:
+    """df with the exponential mean of the close for each span, started at the series' first close. Closes must be known.
 
-    def recur(pdf):
-        pdf = pdf.sort_values("begin", kind="stable")
-        return pdf.assign(**{f"ema_{s}": pdf["close"].ewm(span=s, adjust=False).mean() for s in spans})
-
-    return df.groupBy(*keys).applyInPandas(recur, schema)
+    The recursion is linear, so within a block a mean is a running sum of closes in falling weights, and a block hands the next
+    ones its last sum, by the weight of the rows in between. That is one pass, whatever the span; the trailing blocks it looks
+    at are as many as the span asks for.
+    """
+    w = series(keys)
+    block = Window.partitionBy(*keys, "_block").orderBy("begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_i", F.row_number().over(w) - 1).withColumns({"_block": F.floor(F.col("_i") / BLOCK), "_k": (F.col("_i") % BLOCK).cast("double")})
+    sums, means = {}, {}
+    for s in spans:
+        a, q = 2 / (s + 1), 1 - 2 / (s + 1)
+        weight = F.when(F.col("_i") == 0, 1.0).otherwise(a) * F.pow(F.lit(1 / q), F.col("_k"))
+        sums[f"_own_{s}"] = F.sum(weight * F.col("close")).over(block) * F.pow(F.lit(q), F.col("_k"))
+        carried, back = F.lit(0.0), 1
+        while q ** (BLOCK * (back - 1)) > 1e-17:
+            last = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-back, -back)
+            carried = carried + F.coalesce(F.sum(F.when(F.col("_k") == BLOCK - 1, F.col(f"_own_{s}"))).over(last), F.lit(0.0)) * q ** (BLOCK * (back - 1))
+            back += 1
+        means[into.format(s)] = F.col(f"_own_{s}") + carried * F.pow(F.lit(q), F.col("_k") + 1)
+    return df.withColumns(sums).withColumns(means).drop("_i", "_block", "_k", *sums)
 
 
 def with_indicators(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """All indicators of candles. Warm-up rows are null; with a split among the keys, each split warms up anew."""
     w = series(keys)
-    df = df.withColumns({f"return_{k}": period_return(k, w) for k in RETURNS} | {"_tr": true_range(w)} | {f"_ema_{s}": ema(s, w) for s in SPANS})
+    df = with_ema(df, SPANS, keys, "_ema_{}").withColumns({f"return_{k}": period_return(k, w) for k in RETURNS} | {"_tr": true_range(w)})
     tr, r1, vol = F.col("_tr"), F.col("return_1"), F.col("volume")
     df = df.withColumns(
         {

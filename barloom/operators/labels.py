@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clipped_token, nonzero
-from ..session import SERIES
+from ..session import SERIES, read_document, write_document
 from .features import series
+from .quantiles import exact_quantiles
 
 INVALID = -1
 
@@ -26,10 +26,9 @@ def forward_return(horizon: int = 1, keys: tuple[str, ...] = SERIES) -> Column:
 
 def fit_edges(df: DataFrame, n_classes: int, move: str = "move", keys: tuple[str, ...] = ()) -> DataFrame:
     """One row (by keys) with `edges`, exact quantiles of the known moves; evenly spread ones where all moves are equal."""
-    shares = F.array(*[F.lit(k / n_classes) for k in range(n_classes + 1)])
-    spread = F.transform(F.sequence(F.lit(0), F.lit(n_classes)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / n_classes)
-    out = df.groupBy(*keys).agg(F.percentile(move, shares).alias("edges"), F.min(move).alias("_lo"), F.max(move).alias("_hi"), F.count(move).alias("_n"))
-    return out.select(*keys, F.when(F.size(F.array_distinct("edges")) < 2, spread).otherwise(F.col("edges")).alias("edges"), F.col("_n").alias("n_fitted"))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(n_classes)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / n_classes)
+    out = exact_quantiles(df, move, tuple(k / n_classes for k in range(n_classes + 1)), keys)
+    return out.select(*keys, F.when(F.size(F.array_distinct("quantiles")) < 2, spread).otherwise(F.col("quantiles")).alias("edges"), F.col("n").alias("n_fitted"))
 
 
 def with_tokens(df: DataFrame, edges: DataFrame, n_classes: int, move: str = "move", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -63,14 +62,13 @@ class Tokenizer:
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return Tokenizer.fit(df, self.n_classes, self.horizon).transform(df)
 
-    def save(self, path: str) -> None:
-        with open(path, "w") as f:
-            json.dump(asdict(self), f, indent=2)
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A document in any store that Spark reaches."""
+        write_document(spark, asdict(self), path)
 
     @staticmethod
-    def load(path: str) -> Tokenizer:
-        with open(path) as f:
-            x = json.load(f)
+    def load(spark: SparkSession, path: str) -> Tokenizer:
+        x = read_document(spark, path)
         return Tokenizer(x["n_classes"], x["horizon"], tuple(x["edges"]))
 
     def metadata(self) -> dict:

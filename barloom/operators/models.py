@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import json
-import os
 from dataclasses import asdict, dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import argmax, padded_probabilities
+from ..session import read_document, write_document
+from .quantiles import exact_quantiles
 
 FITTED = "token <> -1"
 
@@ -54,6 +54,59 @@ def markov_predict(df: DataFrame, table: DataFrame, default: DataFrame, order: i
     return with_prediction(df.withColumn("probabilities", F.coalesce("probabilities", "default")).drop("default", "state"))
 
 
+@dataclass
+class Majority:
+    """The most frequent token of all, whatever the window."""
+
+    prediction: int
+    probabilities: list[float]
+    n_classes: int
+
+    @staticmethod
+    def fit(df: DataFrame, n_classes: int) -> Majority:
+        row = majority(df, n_classes).first()
+        if row is None:
+            raise ValueError("no valid token to learn from")
+        return Majority(row["prediction"], list(row["probabilities"]), n_classes)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({"prediction": F.lit(self.prediction), "probabilities": F.array(*map(F.lit, self.probabilities))})
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        write_document(spark, {"kind": "majority"} | asdict(self), f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, about: dict) -> Majority:
+        return Majority(**about)
+
+
+@dataclass
+class Markov:
+    """Probabilities of the next token by the last `order` ones; states are a table, as there may be many."""
+
+    table: DataFrame
+    default: list[float]
+    order: int
+    n_classes: int
+
+    @staticmethod
+    def fit(df: DataFrame, n_classes: int, order: int = 1) -> Markov:
+        table, default = markov_table(df, n_classes, order)
+        return Markov(table, list(default.first()["default"]), order, n_classes)
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        default = df.sparkSession.createDataFrame([(self.default,)], "default array<double>")
+        return markov_predict(df, self.table, default, self.order)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(f"{path}/states")
+        write_document(spark, {"kind": "markov", "default": self.default, "order": self.order, "n_classes": self.n_classes}, f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, about: dict) -> Markov:
+        return Markov(spark.read.parquet(f"{path}/states"), **about)
+
+
 def class_weights(df: DataFrame, n_classes: int) -> DataFrame:
     """Balanced weights: rows over classes times rows of the class; joined by token, of which there are n_classes."""
     counts = df.groupBy("token").agg(F.count("*").alias("_n"))
@@ -72,16 +125,25 @@ class Scaler:
 
     @staticmethod
     def fit(df: DataFrame, width: int, column: str = "window") -> Scaler:
+        """Only values near the medians leave their tasks; means and deviations are summed over whole windows."""
         places = df.select(F.posexplode(column).alias("i", "x"))
-        medians = places.groupBy("i").agg(F.coalesce(F.median("x"), F.lit(0.0)).alias("m"))
-        filled = places.join(F.broadcast(medians), "i").withColumn("x", F.coalesce("x", "m"))
-        rows = {r["i"]: r for r in filled.groupBy("i").agg(F.first("m").alias("m"), F.avg("x").alias("a"), F.stddev_pop("x").alias("s")).collect()}
-        of = lambda k, d: [float(rows[i][k]) if i in rows else d for i in range(width)]
-        return Scaler(of("m", 0.0), of("a", 0.0), [s or 1.0 for s in of("s", 1.0)])
+        medians = {r["i"]: r["quantiles"][0] for r in exact_quantiles(places, "x", (0.5,), ("i",)).collect() if r["quantiles"]}
+        scaler = Scaler([float(medians.get(i, 0.0)) for i in range(width)], [0.0] * width, [1.0] * width)
+        found = df.select(Summarizer.metrics("count", "mean").summary(array_to_vector(scaler.filled(column))).alias("s")).select("s.count", vector_to_array("s.mean").alias("mean")).first()
+        if found and found["count"]:
+            shifted = F.zip_with(scaler.filled(column), F.array(*map(F.lit, found["mean"])), lambda x, m: x - m)
+            second = df.select(Summarizer.metrics("normL2").summary(array_to_vector(shifted)).alias("s")).select(vector_to_array("s.normL2").alias("norm")).first()
+            scaler.mean = list(found["mean"])
+            scaler.deviation = [float(x) / found["count"] ** 0.5 or 1.0 for x in second["norm"]]
+        return scaler
+
+    def filled(self, column: str = "window") -> Column:
+        """The window with medians where values are missing."""
+        return F.zip_with(column, F.array(*map(F.lit, self.median)), lambda x, y: F.coalesce(x, y))
 
     def apply(self, column: str = "window") -> Column:
-        m, a, s = (F.array(*map(F.lit, x)) for x in (self.median, self.mean, self.deviation))
-        return F.zip_with(F.zip_with(F.zip_with(column, m, lambda x, y: F.coalesce(x, y)), a, lambda x, y: x - y), s, lambda x, y: x / y)
+        a, s = (F.array(*map(F.lit, x)) for x in (self.mean, self.deviation))
+        return F.zip_with(F.zip_with(self.filled(column), a, lambda x, y: x - y), s, lambda x, y: x / y)
 
 
 @dataclass
@@ -108,17 +170,13 @@ class Logistic:
         known = F.map_from_entries(F.transform(vector_to_array("probability"), lambda p, i: F.struct(i, p)))
         return with_prediction(scored.withColumn("probabilities", padded_probabilities(known, self.n_classes)).drop("probability"))
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
-        with open(os.path.join(path, "scaler.json"), "w") as f:
-            json.dump(asdict(self.scaler) | {"n_classes": self.n_classes}, f)
+        write_document(spark, {"kind": "logistic", "scaler": asdict(self.scaler), "n_classes": self.n_classes}, f"{path}/about")
 
     @staticmethod
-    def load(path: str) -> Logistic:
-        with open(os.path.join(path, "scaler.json")) as f:
-            x = json.load(f)
-        n = x.pop("n_classes")
-        return Logistic(Scaler(**x), LogisticRegressionModel.load(f"{path}/model"), n)
+    def load(spark: SparkSession, path: str, about: dict) -> Logistic:
+        return Logistic(Scaler(**about["scaler"]), LogisticRegressionModel.load(f"{path}/model"), about["n_classes"])
 
 
 @dataclass
@@ -133,22 +191,36 @@ class Boosted:
     def fit(df: DataFrame, n_classes: int, width: int, rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 42) -> Boosted:
         df = df.where(FITTED).select("window", "token")
         scaler = Scaler.fit(df, width)
-        filled = F.zip_with("window", F.array(*map(F.lit, scaler.median)), lambda x, y: F.coalesce(x, y))
-        ready = class_weights(df, n_classes).select(array_to_vector(filled).alias("features"), F.col("token").cast("double").alias("label"), "weight")
+        ready = class_weights(df, n_classes).select(array_to_vector(scaler.filled()).alias("features"), F.col("token").cast("double").alias("label"), "weight")
         trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
         return Boosted(scaler, OneVsRest(classifier=trees, weightCol="weight").fit(ready), n_classes)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        filled = F.zip_with("window", F.array(*map(F.lit, self.scaler.median)), lambda x, y: F.coalesce(x, y))
-        scored = self.model.transform(df.withColumn("features", array_to_vector(filled))).drop("features", "prediction")
+        scored = self.model.transform(df.withColumn("features", array_to_vector(self.scaler.filled()))).drop("features", "prediction")
         raw = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-2 * x)))
         scored = scored.withColumn("_p", raw).withColumn("_t", F.aggregate("_p", F.lit(0.0), lambda a, x: a + x))
         known = F.map_from_entries(F.transform("_p", lambda p, i: F.struct(i, p / F.col("_t"))))
         return with_prediction(scored.withColumn("probabilities", padded_probabilities(known, self.n_classes)).drop("_p", "_t", "rawPrediction"))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        write_document(spark, {"kind": "boosted", "scaler": asdict(self.scaler), "n_classes": self.n_classes}, f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, about: dict) -> Boosted:
+        return Boosted(Scaler(**about["scaler"]), OneVsRestModel.load(f"{path}/model"), about["n_classes"])
+
     def importances(self) -> list[list[float]]:
         return [m.featureImportances.toArray().tolist() for m in self.model.models]
 
 
-def load_pipeline(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+MODELS = {"majority": Majority, "markov": Markov, "logistic": Logistic, "boosted": Boosted}
+
+
+def load_model(spark: SparkSession, path: str) -> Majority | Markov | Logistic | Boosted:
+    """A stored model of any kind."""
+    about = read_document(spark, f"{path}/about")
+    kind = about.pop("kind")
+    if kind not in MODELS:
+        raise ValueError(f"unknown model: {kind}")
+    return MODELS[kind].load(spark, path, about)

@@ -221,7 +221,7 @@ def q_true_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ema_query(span: int) -> None:
-    QUERIES[f"ema_{span}"] = lambda spark, d: hourly(spark, d).withColumn("ema", W.ema(span, W.series())).select(*IDS, r("ema"))
+    QUERIES[f"ema_{span}"] = lambda spark, d: W.with_ema(hourly(spark, d), (span,)).select(*IDS, r(f"ema_{span}", 6, "ema"))
     ORACLE_SQL[f"ema_{span}"] = f"{IND} SELECT {SQL_IDS}, {rr(f'ema_{span}', 6, 'ema')} FROM ind"
 
 
@@ -242,9 +242,10 @@ def q_all_indicators(spark: SparkSession, d: str) -> DataFrame:
     return indicators(spark, d).select(*IDS, *[r(c) for c in REAL], "hour", "day_of_week", "month")
 
 
-@query(f"{IND} SELECT {SQL_IDS}, {rr('ema_20', 6, 'ema_20')} FROM ind")
+@query(f"WITH {DAYS}, {GOOD}, {indicators_sql()} SELECT {SQL_IDS}, {', '.join(rr(f'ema_{s}', 4) for s in W.SPANS)} FROM ind")
 def q_ema_exact(spark: SparkSession, d: str) -> DataFrame:
-    return W.ema_exact(hourly(spark, d), (20,)).select(*IDS, r("ema_20"))
+    """Series of over two thousand bars: the recursion goes over several blocks."""
+    return W.with_ema(daily(spark, d)).select(*IDS, *[r(f"ema_{s}", 4) for s in W.SPANS])
 
 
 # Splits and labels --------------------------------------------------------------------------------------------------

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import os
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +12,10 @@ from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators.clean import clean_candles, enough_rows
 from ..operators.features import FEATURES, with_indicators
-from ..operators.labels import Tokenizer, forward_move, forward_return
+from ..operators.labels import Tokenizer, forward_return
 from ..operators.split import split_periods, time_split
 from ..operators.windows import last_windows, tabular_windows, token_windows
-from ..session import SERIES
+from ..session import SERIES, read_document, stored, write_document
 
 SPLIT_KEYS = (*SERIES, "split")
 
@@ -55,12 +53,10 @@ def fit_and_predict(windows: DataFrame, spec: Spec, features: tuple[str, ...] =
     train = windows.where("split = 'train'")
     width = spec.length * len(features)
     if spec.model == "majority":
-        fitted = M.majority(train, spec.n_classes)
-        return windows.join(F.broadcast(fitted)), fitted
-    if spec.model == "markov":
-        table, default = M.markov_table(train, spec.n_classes, spec.order)
-        return M.markov_predict(windows, table, default, spec.order), (table, default)
-    if spec.model == "logistic":
+        fitted = M.Majority.fit(train, spec.n_classes)
+    elif spec.model == "markov":
+        fitted = M.Markov.fit(train, spec.n_classes, spec.order)
+    elif spec.model == "logistic":
         fitted = M.Logistic.fit(train, spec.n_classes, width)
     elif spec.model == "boosted":
         fitted = M.Boosted.fit(train, spec.n_classes, width, spec.rounds, spec.depth, spec.rate)
@@ -75,22 +71,21 @@ def evaluated(predicted: DataFrame) -> DataFrame:
     return scores.join(E.log_loss(predicted, ("split",)), "split")
 
 
-def train(candles: DataFrame, spec: Spec, out: str | None = None, least_train: int = 1000) -> tuple[DataFrame, object, Tokenizer]:
-    """The metrics of each split, the model and the tokenizer; with out, also model, tokenizer and metadata on disk."""
+def train(candles: DataFrame, spec: Spec, out: str | None = None, least_train: int = 1000, version: str = "latest") -> tuple[DataFrame, object, Tokenizer]:
+    """The metrics of each split, the model and the tokenizer; with out, also model, tokenizer and metadata in any store that Spark
+    reaches, from which `infer_stored` answers. Features and predictions are written down once and read by all that follows.
+    """
+    spark = candles.sparkSession
     enough_rows(candles, spec.length, spec.horizon)
     frame, tokenizer = features_and_tokens(candles, spec, least_train)
-    frame = frame.persist()
+    frame = stored(frame, "features")
     predicted, model = fit_and_predict(windows_for(frame, spec), spec)
-    metrics = evaluated(predicted)
+    metrics = evaluated(stored(predicted.select("split", "token", "prediction", "probabilities"), "predicted"))
     if out:
-        os.makedirs(out, exist_ok=True)
-        if hasattr(model, "save"):
-            model.save(out)
-        tokenizer.save(os.path.join(out, "tokenizer.json"))
+        model.save(spark, f"{out}/model")
+        tokenizer.save(spark, f"{out}/tokenizer")
         periods = [r.asDict() for r in split_periods(frame).collect()]
-        document = {"model": spec.__dict__, "feature_set": list(FEATURES), "tokenizer": tokenizer.metadata(), "periods": periods, "metrics": [r.asDict() for r in metrics.collect()]}
-        with open(os.path.join(out, "metadata.json"), "w") as f:
-            json.dump(document, f, indent=2, default=str)
+        write_document(spark, {"version": version, "model": asdict(spec), "feature_set": list(FEATURES), "tokenizer": tokenizer.metadata(), "periods": periods, "metrics": [r.asDict() for r in metrics.collect()]}, f"{out}/metadata")
     return metrics, model, tokenizer
 
 
@@ -129,7 +124,7 @@ def infer(candles: DataFrame, model, n_classes: int, length: int = 32, version:
     """One answer per series from its last window: token, probabilities, action and confidence. Candles are taken as they come:
     neither cleaned nor freed of copies. Models of token contexts cannot answer.
     """
-    if isinstance(model, tuple):
+    if isinstance(model, M.Markov):
         raise ValueError("a Markov model has no features to answer from")
     w = last_windows(with_indicators(candles), length, list(FEATURES))
     counts = candles.groupBy(*SERIES).agg(F.count("*").alias("n_candles_used"))
@@ -137,6 +132,9 @@ def infer(candles: DataFrame, model, n_classes: int, length: int = 32, version:
     return scored.select(*SERIES, F.col("last_begin").alias("timestamp"), F.col("prediction").alias("predicted_token"), "probabilities", class_action("prediction", n_classes).alias("action"), top_probability("probabilities").alias("confidence"), F.lit(version).alias("model_version"), "n_candles_used")
 
 
-def labelled(candles: DataFrame, spec: Spec) -> DataFrame:
-    """Features with moves, for whole series."""
-    return with_indicators(candles).withColumn("move", forward_move(spec.horizon))
+def infer_stored(candles: DataFrame, path: str) -> DataFrame:
+    """The same by what `train` has stored at path, with its window length, classes and version."""
+    spark = candles.sparkSession
+    about = read_document(spark, f"{path}/metadata")
+    spec = Spec(**about["model"])
+    return infer(candles, M.load_model(spark, f"{path}/model"), spec.n_classes, spec.length, about["version"])

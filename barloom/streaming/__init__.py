@@ -34,23 +34,23 @@ def first_candles(candles: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def ema_stream(candles: DataFrame, span: int = 20) -> DataFrame:
-    """(ticker, timeframe, begin, close, ema): the recursion goes on from batch to batch in the state of each series. Candles of a
-    series must arrive in order of time, batch after batch; within a batch they are sorted.
+    """(ticker, timeframe, begin, close, ema): the recursion goes on from batch to batch in the state of each series, which holds its
+    last time and mean. Within a batch, candles are sorted; one that comes in a later batch than a candle after it is too late
+    for the recursion: its mean is null and the state stays as it is.
     """
-    a = 2 / (span + 1)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("begin", kind="stable")
-        e = state.get[0] if state.exists else None
-        out = []
-        for c in rows["close"]:
-            e = c if e is None else e + a * (c - e)
-            out.append(e)
-        state.update((e,))
-        yield rows[["ticker", "timeframe", "begin", "close"]].assign(ema=out)
+        rows = pd.concat(list(parts)).sort_values("begin", kind="stable").reset_index(drop=True)
+        last, mean = state.get if state.exists else (None, None)
+        late = rows["begin"] < last if last is not None else pd.Series(False, rows.index)
+        fresh = rows.loc[~late, "close"]
+        means = pd.concat([pd.Series([] if mean is None else [mean], dtype=float), fresh]).ewm(span=span, adjust=False).mean()
+        if len(fresh):
+            state.update((rows["begin"].iloc[-1], float(means.iloc[-1])))
+        yield rows[["ticker", "timeframe", "begin", "close"]].assign(ema=pd.Series(means.to_numpy()[len(means) - len(fresh) :], fresh.index).reindex(rows.index))
 
     rows = candles.select("ticker", "timeframe", "begin", "close")
-    return rows.groupBy("ticker", "timeframe").applyInPandasWithState(step, "ticker string, timeframe string, begin timestamp, close double, ema double", "e double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("ticker", "timeframe").applyInPandasWithState(step, "ticker string, timeframe string, begin timestamp, close double, ema double", "last timestamp, mean double", "append", GroupStateTimeout.NoTimeout)
 
 
 def outcome_stream(predictions: DataFrame, candles: DataFrame, hours: int, late: str = "1 day") -> DataFrame:

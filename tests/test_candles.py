@@ -15,6 +15,7 @@ from barloom.operators import labels as L
 from barloom.operators import models as M
 from barloom.operators import split as S
 from barloom.operators import windows as V
+from barloom.operators.quantiles import exact_quantiles
 from barloom.plans import train as T
 from barloom.session import CANDLES
 from barloom.sources.files import mock_candles
@@ -54,10 +55,32 @@ def test_no_look_ahead(spark, candles):
     pd.testing.assert_frame_equal(early(candles), early(changed))
 
 
-def test_exact_ema(candles):
-    exact = W.ema_exact(candles, (20,)).toPandas().sort_values(["ticker", "begin"])
-    windowed = candles.withColumn("e", W.ema(20, W.series())).toPandas().sort_values(["ticker", "begin"])
-    np.testing.assert_allclose(exact.ema_20, windowed.e, rtol=1e-12)
+def test_ema_over_blocks(spark, candles):
+    """Over many blocks, with spans for which one block back matters and for which none does, against the plain recursion."""
+    rng = np.random.default_rng(3)
+    n = 3 * W.BLOCK + 100
+    rows = [("A" if i % 3 else "B", "1H", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(c)) for i, c in enumerate(100 + np.cumsum(rng.normal(0, 1, 3 * n)))]
+    df = spark.createDataFrame(rows, "ticker string, timeframe string, begin timestamp_ntz, close double")
+    got = W.with_ema(df, (2, 50, 400)).toPandas().sort_values(["ticker", "begin"])
+    for span in (2, 50, 400):
+        want = got.groupby("ticker").close.transform(lambda x: x.ewm(span=span, adjust=False).mean())
+        assert np.abs(got[f"ema_{span}"] - want).max() < 1e-10 * want.abs().max()
+    assert W.with_ema(df.limit(0)).count() == 0
+
+
+def test_exact_quantiles(spark):
+    """Ties, a value that a third of all rows have, nulls, an outlier, one value, none; coarse sketches leave more to count."""
+    rng = np.random.default_rng(0)
+    values = np.concatenate([rng.normal(0, 1, 2000), np.full(1000, 0.25), [1e12]])
+    rows = [("a", float(x)) for x in values] + [("a", None)] * 50 + [("b", 3.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = (0.0, 1 / 3, 0.5, 0.9, 1.0)
+    for accuracy in (10, 10_000):
+        got = {r["k"]: r for r in exact_quantiles(df, "v", shares, ("k",), accuracy).collect()}
+        np.testing.assert_allclose(got["a"]["quantiles"], np.quantile(values, shares), rtol=1e-12)
+        assert got["a"]["n"] == 3001 and got["b"]["quantiles"] == [3.0] * 5 and got["c"]["quantiles"] is None
+    np.testing.assert_allclose(exact_quantiles(df, "v", shares).first()["quantiles"], np.quantile(np.append(values, 3.0), shares), rtol=1e-12)
+    assert exact_quantiles(df.limit(0), "v", shares).first()["quantiles"] is None
 
 
 def row(i, **x):
@@ -172,11 +195,27 @@ def test_markov_and_majority(spark):
     assert M.majority(df, 3).first()["prediction"] == 1
 
 
-def test_training(spark, candles, tmp_path):
-    metrics, model, _ = T.train(candles, T.Spec("logistic", length=4), str(tmp_path / "m"), least_train=60)
-    assert {r["split"] for r in metrics.collect()} <= {"train", "val", "test"} and (tmp_path / "m/metadata.json").exists()
-    answers = T.infer(candles, M.Logistic.load(str(tmp_path / "m")), 3, 4).collect()
-    assert len(answers) == 2 and all(abs(sum(a["probabilities"]) - 1) < 1e-9 and a["action"] in ("buy", "sell", "hold") for a in answers)
+@pytest.mark.parametrize("kind", ["majority", "markov", "logistic", "boosted"])
+def test_stored_models(spark, candles, tmp_path, kind):
+    """Each kind is trained, stored, loaded and asked; predictions stay the same. Markov models have no features to answer from."""
+    spec, out = T.Spec(kind, length=4, rounds=2, depth=2), f"file://{tmp_path}/m"
+    metrics, model, tokenizer = T.train(candles, spec, out, least_train=60)
+    assert {r["split"] for r in metrics.collect()} <= {"train", "val", "test"}
+    assert L.Tokenizer.load(spark, f"{out}/tokenizer") == tokenizer
+    frame, _ = T.features_and_tokens(candles, spec, 60)
+    w = T.windows_for(frame, spec)
+    again = M.load_model(spark, f"{out}/model").predict(w)
+    order = ("ticker", "split", "begin")
+    assert [r["probabilities"] for r in again.orderBy(*order).collect()] == [r["probabilities"] for r in model.predict(w).orderBy(*order).collect()]
+    if kind == "markov":
+        with pytest.raises(ValueError):
+            T.infer_stored(candles, out)
+        return
+    answers = T.infer_stored(candles, out).collect()
+    assert len(answers) == 2 and all(abs(sum(a["probabilities"]) - 1) < 1e-9 and a["action"] in ("buy", "sell", "hold") and a["model_version"] == "latest" for a in answers)
+
+
+def test_training(spark, candles):
     with pytest.raises(ValueError):
         T.train(candles.limit(20), T.Spec())
     board = E.leaderboard(T.research(spark, candles, [T.Spec("majority", length=4), T.Spec("markov", length=4), T.Spec("rnn", length=4)], 60)).collect()
