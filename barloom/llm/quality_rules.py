@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,26 +12,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import written
-from .words import plain
+from .words import coded, plain, slices, split
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
+#: Lines with a word, letters, capital letters, digits, and characters of scripts that put no spaces between words.
+MORE = ("n_lines", "n_letters", "n_capitals", "n_digits", "n_unspaced")
+COUNTED = T.StructType([T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE)])
 #: The characters that count as symbols, and the bytes that part words.
 SYMBOLS, SPACES = "#*$%&|<>", (" ", "\t", "\n", "\v", "\f", "\r")
-
-
-def repeats(words: list[bytes]) -> int:
-    """Words in windows of three words that occur twice or more, the first time included."""
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == len(windows):
-        return 0
-    often = {w for w, n in Counter(windows).items() if n > 1}
-    covered, until = 0, 0
-    for i, w in enumerate(windows):
-        if w in often:
-            covered += i + 3 - max(i, until)
-            until = i + 3
-    return covered
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 20
+
+
+def repeats(word: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """By text, the words in windows of three words that occur twice or more in it, the first time included. Words are numbers."""
+    if len(word) < 3:
+        return np.zeros(n, np.int64)
+    most = np.int64(word.max() + 1)
+    _, pair = np.unique(word[:-1] * most + word[1:], return_inverse=True)
+    _, window = np.unique(pair[:-1] * most + word[2:], return_inverse=True)
+    inside = np.flatnonzero(text[:-2] == text[2:])
+    _, which, often = np.unique(window[inside] * np.int64(n) + text[inside], return_inverse=True, return_counts=True)
+    hit = inside[often[which] > 1]
+    covered = np.zeros(len(word), bool)
+    for k in range(3):
+        covered[hit + k] = True
+    return np.bincount(text[covered], minlength=n)
+
+
+def repeated_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """By text, its lines that hold a word, and those of them that are equal to an earlier one."""
+    lists = pc.split_pattern(texts, "\n")
+    lines, text = lists.flatten(), np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    full = pc.match_substring_regex(lines, r"[^\x20\x09-\x0D]")
+    text = text[full.to_numpy(zero_copy_only=False)]
+    _, which = coded(lines.filter(full))
+    n_lines = np.bincount(text, minlength=len(texts))
+    kinds = np.unique(which.astype(np.int64) * len(texts) + text)
+    return n_lines, n_lines - np.bincount(kinds % max(1, len(texts)), minlength=len(texts))
+
+
+def counted(texts: pa.Array) -> list[np.ndarray]:
+    """COUNTS and MORE of a slice of texts."""
+    words, offsets = split(texts)
+    _, which = coded(words)
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    of = lambda c: pc.count_substring(texts, c).to_numpy(zero_copy_only=False).astype(np.int64)
+    like = lambda c: pc.count_substring_regex(texts, c).to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) - sum(of(c) for c in SPACES)
+    n_lines, n_dup = repeated_lines(texts)
+    return [np.diff(offsets), chars, sum(of(c) for c in SYMBOLS), n_dup, repeats(which.astype(np.int64), text, len(texts)), n_lines, like(r"\pL"), like(r"\p{Lu}"), like(r"\p{Nd}"), like(UNSPACED)]
 
 
 def text_counts(text: str | Column) -> Column:
@@ -40,17 +70,9 @@ def text_counts(text: str | Column) -> Column:
 
     @F.arrow_udf(COUNTED)
     def count(texts: pa.Array) -> pa.Array:
-        texts = plain(texts)
-        rows = []
-        for s in texts.cast(pa.binary()).to_pylist():
-            words = s.split()
-            lines = [line for line in s.split(b"\n") if line.strip()] if s.count(b"\n") else ()
-            rows.append((len(words), len(lines) - len(set(lines)), repeats(words)))
-        n = np.array(rows, np.int64).reshape(-1, 3)
-        of = lambda c: pc.count_substring(texts, c).to_numpy(zero_copy_only=False).astype(np.int64)
-        chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) - sum(of(c) for c in SPACES)
-        columns = [n[:, 0], chars, sum(of(c) for c in SYMBOLS), n[:, 1], n[:, 2]]
-        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in columns], list(COUNTS))
+        parts = [counted(part) for part in slices(plain(texts), SLICE)]
+        whole = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * len(COUNTED)
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in whole], COUNTED.names)
 
     return count.asNondeterministic()(text)
 
@@ -64,16 +86,18 @@ class Rule:
     bad: str
 
 
-#: A rule that says bad is sure of it; most say good of what shows no trace of the fault, and abstain in between.
+#: Bad is what breaks a limit such as the published heuristics for web text have (words of a document, characters of a word, symbols
+#: to words, digits and capitals to letters, repeated words and lines), good what keeps well within it; in between, a rule abstains.
 RULES = (
-    Rule("length", "false", "n_words < 20"),
-    Rule("word_length", "false", "word_chars < 2 * n_words or word_chars > 100 * n_words"),
-    Rule("symbols", "n_symbols = 0", "10 * n_symbols > n_words"),
-    Rule("symbol_chars", "200 * n_symbols <= word_chars", "100 * n_symbols > 2 * word_chars"),
-    Rule("repeats", "100 * n_repeat_words <= 10 * n_words", "100 * n_repeat_words > 40 * n_words"),
-    Rule("lines", "n_dup_lines = 0", "n_dup_lines >= 3 and 2 * n_repeat_words > n_words"),
-    Rule("repeat_lines", "n_dup_lines <= 1", "n_dup_lines >= 10 and 100 * n_repeat_words > 30 * n_words"),
+    Rule("length", "n_words between 100 and 50000", "n_words < 20 or n_words > 100000"),
+    Rule("word_length", "2 * n_unspaced <= word_chars and word_chars - n_unspaced between 4 * n_words and 8 * n_words", "2 * n_unspaced <= word_chars and (word_chars - n_unspaced < 3 * n_words or word_chars - n_unspaced > 10 * n_words)"),
+    Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
+    Rule("digits", "20 * n_digits <= n_letters + n_digits", "10 * n_digits > 3 * (n_letters + n_digits)"),
+    Rule("capitals", "10 * n_capitals <= n_letters", "10 * n_capitals > 3 * n_letters"),
+    Rule("repetition", "10 * n_repeat_words <= n_words and 10 * n_dup_lines <= n_lines", "10 * n_repeat_words > 3 * n_words or 10 * n_dup_lines > 3 * n_lines"),
 )
+#: Texts for which the verdict is settled beforehand; the rules learn nothing from them.
+FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
 def votes(rules: tuple[Rule, ...]) -> Column:
@@ -81,14 +105,18 @@ def votes(rules: tuple[Rule, ...]) -> Column:
     return F.concat(*[F.when(F.expr(r.bad), "b").when(F.expr(r.good), "g").otherwise("-") for r in rules])
 
 
-#: Pseudo-counts as shares of all rows, by class (good, bad) and answer (good, bad, abstains).
-PRIOR = np.array([[0.02, 0.005, 0.01], [0.005, 0.02, 0.01]])
+#: Beliefs about a rule's answers (good, bad, abstains), each worth as much as all rows: of good texts, and of texts with its own fault.
+#: Other faults' texts answer as the data say, but for small pseudo-counts.
+OF_GOOD, OF_FAULT, OF_OTHERS = np.array([0.9, 0.0001, 0.0999]), np.array([0.005, 0.99, 0.005]), np.array([0.01, 0.0002, 0.005])
+
 
+def fit(patterns: dict[str, int], n_rules: int, rounds: int = 100) -> dict[str, float]:
+    """Posterior probability of good by pattern of votes.
 
-def fit(patterns: dict[str, int], n_rules: int, rounds: int = 50) -> dict[str, float]:
-    """Posterior probability of good by pattern of votes. Classes are hidden; each rule has, for either class, probabilities of
-    its three answers. Expectation-maximisation starts from bad where any rule says so, and keeps pseudo-counts that hold rules
-    to better than chance, so that the classes cannot change places.
+    A hidden class is good or one rule's fault: faulty texts mostly have one fault and look fine to the other rules, so with a
+    single class of bad texts the other rules' good votes, which are not independent evidence then, would outvote the one that
+    saw it. In each class each rule has probabilities of its three answers; expectation-maximisation estimates them and the
+    classes' shares. It starts from good where no rule says bad, and pseudo-counts tie each fault to its rule.
     """
     names = sorted(patterns)
     if not names:
@@ -96,24 +124,31 @@ def fit(patterns: dict[str, int], n_rules: int, rounds: int = 50) -> dict[str, f
     n = np.array([patterns[p] for p in names], float)
     code = np.array([["gb-".index(c) for c in p] for p in names]).reshape(len(names), n_rules)
     one = np.eye(3)[code]
-    good = np.where(one[:, :, 1].any(1), 0.1, 0.9)
+    fired = one[:, :, 1]
+    bad = np.where(fired.any(1), 0.9, 0.1)
+    kinds = np.where(fired.any(1)[:, None], fired / np.maximum(1, fired.sum(1, keepdims=True)), 1 / n_rules)
+    share = np.column_stack([1 - bad, bad[:, None] * kinds])
+    prior = np.tile(OF_OTHERS, (1 + n_rules, n_rules, 1))
+    prior[0] = OF_GOOD
+    prior[1 + np.arange(n_rules), np.arange(n_rules)] = OF_FAULT
     for _ in range(rounds):
-        log = np.zeros((2, len(names)))
-        for c, share in enumerate((good, 1 - good)):
-            answers = np.einsum("p,pra->ra", n * share, one) + n.sum() * PRIOR[c]
-            log[c] = np.log((n * share).sum() + 1) + np.einsum("pra,ra->p", one, np.log(answers / answers.sum(1, keepdims=True)))
-        good = 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
-    return dict(zip(names, good.tolist(), strict=True))
+        answers = np.einsum("p,pc,pra->cra", n, share, one) + n.sum() * prior
+        log = np.log(np.einsum("p,pc->c", n, share) + 1) + np.einsum("pra,cra->pc", one, np.log(answers / answers.sum(2, keepdims=True)))
+        share = np.exp(log - log.max(1, keepdims=True))
+        share /= share.sum(1, keepdims=True)
+    return dict(zip(names, share[:, 0].tolist(), strict=True))
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keep columns with the counts, the votes and p_good, the posterior probability of good quality, of each row.
+    """The keep columns with the counts, the votes, failed and p_good, the posterior probability of good quality, of each row.
 
-    Counts are made in one pass over the texts and written down. Rows are then counted by pattern of votes: at most 3 to the
-    power of the number of rules patterns reach the driver, whatever the number of rows.
+    Counts are made in one pass over the texts and written down. Rows that have not failed are then counted by pattern of votes: at
+    most 3 to the power of the number of rules patterns reach the driver, whatever the number of rows. A failed row's pattern
+    that none of the others has gets 0. A null text counts as empty, and so fails.
     """
-    counted = written(docs.select(*keep, text_counts(F.col(text)).alias("_c")).select(*keep, "_c.*").withColumn("votes", votes(rules)), "quality")
-    patterns = {r["votes"]: r["n"] for r in counted.groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    counted = docs.select(*keep, text_counts(F.col(text)).alias("_c")).select(*keep, "_c.*").withColumn("votes", votes(rules))
+    counted = written(counted.withColumn("failed", F.expr(FAILED)), "quality")
+    patterns = {r["votes"]: r["n"] for r in counted.where("not failed").groupBy("votes").agg(F.count("*").alias("n")).collect()}
     posterior = fit(patterns, len(rules))
     known = F.create_map(*[x for p, v in posterior.items() for x in (F.lit(p), F.lit(v))]) if posterior else F.create_map(F.lit(""), F.lit(0.0))
-    return counted.withColumn("p_good", known[F.col("votes")])
+    return counted.withColumn("p_good", F.coalesce(F.try_element_at(known, F.col("votes")), F.lit(0.0)))
