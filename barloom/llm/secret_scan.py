@@ -28,21 +28,29 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 class CharClass:
     """Characters that one kind of secret is made of, and what a window of them must reach.
 
-    needs: sets of characters of which the window must hold one each, which keeps plain words out.
+    needs: sets of characters of which the window must hold so many, which keeps plain words out. turns: how often in a window a
+    letter or digit must be followed by one of another set (digits, small, capital letters), a capital before a small letter
+    not counted: names such as HelloWorld2024 turn seldom.
     """
 
     name: str
     letters: str
     window: int
     bits: float
-    needs: tuple[str, ...]
+    needs: tuple[tuple[str, int], ...]
+    turns: int = 0
 
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASSES = (
-    CharClass("entropy_hex", DIGITS + "abcdefABCDEF", 24, 3.2, (DIGITS, "abcdefABCDEF")),
-    CharClass("entropy_base64", DIGITS + LOWER + UPPER + "+/_=-", 20, 3.8, (DIGITS, LOWER, UPPER)),
+    CharClass("entropy_hex", DIGITS + "abcdefABCDEF", 24, 3.0, ((DIGITS, 2), ("abcdefABCDEF", 2))),
+    CharClass("entropy_base64", DIGITS + LOWER + UPPER + "+/_=-", 16, 3.3, ((DIGITS, 1), (LOWER, 1), (UPPER, 1)), 4),
+    CharClass("entropy_lower", DIGITS + LOWER, 20, 3.2, ((DIGITS, 3), (LOWER, 3)), 4),
+    CharClass("entropy_upper", DIGITS + UPPER, 20, 3.2, ((DIGITS, 3), (UPPER, 3)), 4),
 )
+_SET = {c: k for k, of in enumerate((DIGITS, LOWER, UPPER)) for c in of}
+#: Bytes of text that are worked on at once.
+SLICE = 2 << 20
 #: Windows that touch one of these are not reported.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -65,6 +73,12 @@ def free(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int,
     return [*parts, (start, end)] if start < end else parts
 
 
+def turns(a: str, b: str) -> bool:
+    """Whether b, after a, is of another set; a small letter after a capital is not."""
+    x, y = _SET.get(a, 3), _SET.get(b, 3)
+    return x != y and x < 3 and y < 3 and (x, y) != (2, 1)
+
+
 def windows_over(text: str, kind: CharClass, log: list[float]) -> list[tuple[int, int]]:
     """Where windows of kind.window characters reach kind.bits, merged. Counts are updated for one character in and out.
 
@@ -72,24 +86,26 @@ def windows_over(text: str, kind: CharClass, log: list[float]) -> list[tuple[int
     """
     w, found = kind.window, []
     most = w * (math.log2(w) - kind.bits) + 1e-9
-    need = [frozenset(s) for s in kind.needs]
+    need = [(frozenset(s), n) for s, n in kind.needs]
     counts: dict[str, int] = {}
     has = [0] * len(need)
-    total = 0.0
+    total, turned = 0.0, 0
     for i, c in enumerate(text):
         n = counts.get(c, 0)
         counts[c] = n + 1
         total += log[n + 1] - log[n]
-        for k, s in enumerate(need):
+        turned += i > 0 and turns(text[i - 1], c)
+        for k, (s, _) in enumerate(need):
             has[k] += c in s
         if i >= w:
             old = text[i - w]
             n = counts[old]
             counts[old] = n - 1
             total += log[n - 1] - log[n]
-            for k, s in enumerate(need):
+            turned -= turns(old, text[i - w + 1])
+            for k, (s, _) in enumerate(need):
                 has[k] -= old in s
-        if i >= w - 1 and total <= most and all(has):
+        if i >= w - 1 and total <= most and turned >= kind.turns and all(h >= n for h, (_, n) in zip(has, need, strict=True)):
             if found and found[-1][1] >= i - w + 1:
                 found[-1] = (found[-1][0], i + 1)
             else:
@@ -97,6 +113,21 @@ def windows_over(text: str, kind: CharClass, log: list[float]) -> list[tuple[int
     return found
 
 
+def whole(text: str, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans with the rest of the letters and digits that they begin or end in, so that no part of a key is left."""
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        while a > 0 and text[a] in _SET and text[a - 1] in _SET:
+            a -= 1
+        while b < len(text) and text[b - 1] in _SET and text[b] in _SET:
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Scanner:
     """Finds the spans of a text; built once per task."""
 
@@ -134,7 +165,8 @@ class Scanner:
                 for run in self.runs[kind.name].finditer(m[0]):
                     for start, end in free(m.start() + run.start(), m.start() + run.end(), taken):
                         if end - start >= kind.window:
-                            own += [(s + start, e + start) for s, e in windows_over(text[start:end], kind, self.log)]
+                            part = text[start:end]
+                            own += [(s + start, e + start) for s, e in whole(part, windows_over(part, kind, self.log))]
                 found += [(kind.name, s, e) for s, e in own]
                 taken += own
         return sorted(found, key=lambda x: (x[1], self.rank[x[0]], x[2]))
@@ -151,7 +183,7 @@ def secret_spans(text: str | Column, classes: tuple[CharClass, ...] = CLASSES, a
     def scan(texts: pa.Array) -> pa.Array:
         scanner = Scanner(classes, allowed)
         out: list[list[dict]] = []
-        for part in slices(plain(texts)):
+        for part in slices(plain(texts), SLICE):
             maybe = pc.match_substring_regex(part, scanner.hint).to_pylist()
             rows = iter(part.filter(pa.array(maybe)).to_pylist())
             out += [[{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(next(rows))] if hit else [] for hit in maybe]
@@ -167,7 +199,7 @@ def redacted(text: str | Column, mask: str = "[SECRET]") -> Column:
     def redact(texts: pa.Array) -> pa.Array:
         scanner = Scanner()
         out: list[str | None] = []
-        for part in slices(plain(texts)):
+        for part in slices(plain(texts), SLICE):
             for s, hit in zip(part.to_pylist(), pc.match_substring_regex(part, scanner.hint).to_pylist(), strict=True):
                 if hit and (spans := scanner.spans(s)):
                     kept, until = [], 0
@@ -184,5 +216,5 @@ def redacted(text: str | Column, mask: str = "[SECRET]") -> Column:
 
 
 def scan_secrets(df: DataFrame, text: str = "text", into: str = "secret_spans") -> DataFrame:
-    """df with the spans of each row's secrets in the column named by into. All other columns stay as they are."""
+    """df with the spans of each row's secrets in the column named by into; a column of that name is replaced, all others stay."""
     return df.withColumn(into, secret_spans(F.col(text)))
