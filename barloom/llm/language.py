@@ -60,8 +60,9 @@ class LanguageModel:
 
     def predict(self, text: str | Column) -> Column:
         """(lang_pred, score, fit) of a whole text: the language of the highest probability summed over all segmentations, and its
-        posterior under equal priors. fit: by how many deviations the text's probability per byte is above what is typical of
-        the language. Null texts, texts without a letter and models of no language give und, 0 and null.
+        posterior under equal priors. fit: by how many deviations its probability per byte, over words with a letter and no digit,
+        is above what is typical of the language; null where there is no such word. Null texts, texts without a letter and
+        models of no language give und and 0.
         """
         model = self
         langs = self.langs
@@ -73,13 +74,13 @@ class LanguageModel:
             for part in slices(plain(texts), SLICE):
                 letters = pc.match_substring_regex(part, r"\pL").to_numpy(zero_copy_only=False)
                 if langs:
-                    total, n_bytes = model.logarithms(part)
+                    total, of_plain, n_bytes = model.logarithms(part)
                     top = total.argmax(1)
                     posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                    per_byte = total[np.arange(len(top)), top] / np.maximum(1, n_bytes)
+                    per_byte = of_plain[np.arange(len(top)), top] / np.maximum(1, n_bytes)
                     names += [langs[k] if ok else UNKNOWN for k, ok in zip(top, letters, strict=True)]
                     values.append(np.where(letters, posterior, 0))
-                    fits.append(np.where(letters, (per_byte - typical[top, 0]) / typical[top, 1], np.nan))
+                    fits.append(np.where(n_bytes > 0, (per_byte - typical[top, 0]) / typical[top, 1], np.nan))
                 else:
                     names += [UNKNOWN] * len(part)
                     values.append(np.zeros(len(part)))
@@ -89,8 +90,10 @@ class LanguageModel:
 
         return score.asNondeterministic()(text)
 
-    def logarithms(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logarithms (text, language) of the sums over all segmentations, and the bytes of each text's words."""
+    def logarithms(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Natural logarithms (text, language) of the sums over all segmentations; the same over words with a letter and no digit, and
+        the bytes of these, as numbers and keys tell little of how well a language fits.
+        """
         tree, vocabulary = P.trie(self.path), P.vocabulary(self.path)
         byte_ids, widths = np.array(vocabulary.byte_ids), np.array([len(p) or 1 for p in vocabulary.pieces])
         words, offsets = split(texts)
@@ -101,7 +104,8 @@ class LanguageModel:
             table[numbers] = P.totals(found, self.chance, widths)
         for k in np.flatnonzero(np.diff(ends) > P.LONG):
             table[k] = P.total_long(tree, byte_ids, data[ends[k] : ends[k + 1]], self.chance, widths)
-        return sums(table[which], offsets), sums(np.diff(ends)[which], offsets)
+        plain_words = pc.and_(pc.match_substring_regex(distinct, r"\pL"), pc.invert(pc.match_substring_regex(distinct, r"\p{Nd}"))).to_numpy(zero_copy_only=False)
+        return sums(table[which], offsets), sums((table * plain_words[:, None])[which], offsets), sums((np.diff(ends) * plain_words)[which], offsets)
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 2000, rounds: int = 2, path: str = P.VOCABULARY) -> LanguageModel:
@@ -157,12 +161,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang
         for batch in batches:
             own, at = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64), 0
             for part in slices(plain(batch.column("text")), SLICE):
-                total, n_bytes = model.logarithms(part)
+                _, total, n_bytes = model.logarithms(part)
                 lang = own[at : at + len(part)]
                 some = n_bytes > 0
                 x = total[np.arange(len(part)), lang][some] / n_bytes[some]
                 lang = lang[some]
-                sums_of = [np.bincount(lang, w, len(langs)) for w in (np.ones(len(x)), x, x * x)]
+                sums_of = [np.bincount(lang, w, len(langs)).astype(float) for w in (np.ones(len(x)), x, x * x)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(langs), dtype=np.int32)), *map(pa.array, sums_of)], ["model", "n", "x", "xx"])
                 at += len(part)
 

@@ -1,11 +1,10 @@
-"""The numbered queries and the pipeline on the smallest tables; SQL where there is some."""
+"""The numbered queries on the smallest tables; SQL where there is some."""
 
 import os
 
 import duckdb
 import pytest
 
-import corpus_pipeline
 from barloom.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -24,22 +23,3 @@ def test_query(spark, sf_dir, name):
         have = [d[0] for d in rel.description]
         order = lambda z: sorted(z, key=repr)
         assert order(tuple(r[c] for c in have) for r in rows) == order(rel.fetchall())
-
-
-def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "secrets", "mixture", "pieces"]
-    awkward = spark.createDataFrame([(None, "no id at all here", "en", "src1", 17), (90001, None, None, None, None), (90002, "", "en", "src2", 0), (90003, "12345 !!", "en", "src2", 8), (90004, "hello there friend", None, None, None)], docs.schema)
-    now = docs.unionByName(awkward)
-    counts = []
-    for name, stage in corpus_pipeline.STAGES:
-        now = stage(spark, now, sf_dir)
-        assert name == "pieces" or now.columns == docs.columns
-        now = now.cache()
-        counts.append(now.count())
-    ids = [r["doc_id"] for r in now.collect()]
-    assert counts[0] == docs.count() + 2 and counts == sorted(counts, reverse=True) and len(ids) == len(set(ids))
-    nothing = docs.limit(0)
-    for _, stage in corpus_pipeline.STAGES:
-        nothing = stage(spark, nothing, sf_dir)
-        assert nothing.count() == 0
