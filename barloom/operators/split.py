@@ -23,6 +23,11 @@ def time_split(df: DataFrame, train: float = 0.7, val: float = 0.15, test: float
     return df.withColumn("split", F.when(n >= least_train, name))
 
 
+def with_positions(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """df of time_split with position, a candle's place in its series from 0 on, and split_position, its place in its split."""
+    return df.withColumns({"position": F.row_number().over(series(keys)) - 1, "split_position": F.row_number().over(Window.partitionBy(*keys, "split").orderBy("begin")) - 1})
+
+
 def leaks(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Series whose splits overlap in time; empty splits overlap nothing."""
     at = lambda f, s: f(F.when(F.col("split") == s, F.col("begin")))

@@ -20,9 +20,10 @@ from ..operators import labels as L
 from ..operators import models as M
 from ..operators import split as S
 from ..operators import windows as V
-from ..session import PRICES, SERIES, scratch
+from ..session import CANDLE_COLUMNS, PRICES, SERIES, scratch, stored
 from ..sources import blocks as B
-from ..sources.files import bars_daily, bars_hourly, union_by_name
+from ..sources.files import bars_daily, bars_hourly, load_candles, load_predictions, union_by_name
+from ..sources.sinks import append_predictions, probability_columns, save_candles, write_csv
 from . import train as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,6 +266,11 @@ def q_time_split(spark: SparkSession, d: str) -> DataFrame:
     return S.time_split(daily(spark, d)).select(*IDS, "split")
 
 
+@query(f"WITH {split_sql(1000, DAYS)} SELECT {SQL_IDS}, split, CAST(row_number() OVER ({OWN}) - 1 AS INT) AS position, CAST(row_number() OVER (PARTITION BY ticker, timeframe, split ORDER BY \"begin\") - 1 AS INT) AS split_position FROM sp")
+def q_split_positions(spark: SparkSession, d: str) -> DataFrame:
+    return S.with_positions(S.time_split(daily(spark, d))).select(*IDS, "split", "position", "split_position")
+
+
 @query(f'WITH {split_sql(1000, DAYS)} SELECT ticker, timeframe, split, min("begin") AS start, max("begin") AS finish, count(*) AS n FROM sp GROUP BY ticker, timeframe, split')
 def q_split_periods(spark: SparkSession, d: str) -> DataFrame:
     return S.split_periods(S.time_split(daily(spark, d)))
@@ -639,25 +645,135 @@ def q_stream_bars(spark: SparkSession, d: str) -> DataFrame:
 # Results of models --------------------------------------------------------------------------------------------------
 
 
-@query(f"""{MARKOV}, a AS (SELECT ticker, split, {rr('avg(CASE WHEN token = prediction THEN 1.0 ELSE 0.0 END)', 6, 'val_macro_f1')}, count(*) AS n FROM pd GROUP BY ticker, split) SELECT * FROM a ORDER BY val_macro_f1 DESC, n DESC, ticker, split LIMIT 10""")
-def q_leaderboard_topk(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.when(F.col("token") == F.col("prediction"), 1.0).otherwise(0.0)
-    return predictions(spark, d).groupBy("ticker", "split").agg(r(F.avg(hit), 6, "val_macro_f1"), F.count("*").alias("n")).orderBy(F.desc("val_macro_f1"), F.desc("n"), "ticker", "split").limit(10)
+BY_TICKER = f"""{MARKOV}, lab AS (SELECT ticker, split, token AS c FROM pd UNION SELECT ticker, split, prediction FROM pd), m AS (SELECT lab.ticker, lab.split, lab.c, count(*) FILTER (WHERE token = c) AS support, count(*) FILTER (WHERE prediction = c) AS said, count(*) FILTER (WHERE token = c AND prediction = c) AS hit
+ FROM lab JOIN pd ON pd.ticker = lab.ticker AND pd.split = lab.split GROUP BY 1, 2, 3), m1 AS (SELECT *, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS rc FROM m), m2 AS (SELECT ticker, split, avg(coalesce(2 * p * rc / nullif(p + rc, 0), 0)) AS f1, sum(hit) / sum(support) AS acc FROM m1 GROUP BY 1, 2),
+ res AS (SELECT ticker, round(max(f1) FILTER (WHERE split = 'val'), 6) + 0.0 AS val_macro_f1, round(max(acc) FILTER (WHERE split = 'val'), 6) + 0.0 AS val_action_accuracy, round(max(f1) FILTER (WHERE split = 'test'), 6) + 0.0 AS test_macro_f1 FROM m2 GROUP BY ticker)"""
 
 
-SMALL = T.Spec(length=4)
-SMALL_FEATURES = ("return_1", "return_3", "body_ratio", "volume_ratio")
+@query(f"{BY_TICKER} SELECT * FROM res ORDER BY val_macro_f1 DESC, val_action_accuracy DESC, test_macro_f1 DESC LIMIT 3")
+def q_leaderboard_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Cells are tickers: the scores of a Markov model on each one's splits."""
+    said = E.class_metrics(E.confusion(predictions(spark, d), ("ticker", "split")), ("ticker", "split"))
+    at = lambda c, part, name: r(F.max(F.when(F.col("split") == part, F.col(c))), 6, name)
+    cells = said.groupBy("ticker").agg(at("macro_f1", "val", "val_macro_f1"), at("accuracy", "val", "val_action_accuracy"), at("macro_f1", "test", "test_macro_f1"), F.lit(None).cast("string").alias("error"))
+    return E.leaderboard(cells, 3).drop("error")
 
 
 def model_query(name: str):
+    """A model of all features over windows of the default length, trained, stored, loaded and asked about all rows."""
+
     def run(spark: SparkSession, d: str) -> DataFrame:
-        w = V.tabular_windows(tokens(spark, d), SMALL.length, list(SMALL_FEATURES), T.SPLIT_KEYS)
-        spec = T.Spec(name, K, 1, SMALL.length, rounds=5, depth=2)
-        out, _ = T.fit_and_predict(w, spec, SMALL_FEATURES)
-        return out.select(*IDS, "split", "token", "prediction", *[r(F.element_at("probabilities", k + 1), 4, f"p{k}") for k in range(K)])
+        spec = T.Spec(name, K)
+        out = scratch(spark, f"model-{name}")
+        w = stored(T.windows_for(tokens(spark, d), spec), "windows")
+        _, fitted = T.fit_and_predict(w, spec)
+        fitted.save(spark, out)
+        found = M.load_model(spark, out).predict(w)
+        return found.select(*IDS, "split", "token", "prediction", *[r(F.element_at("probabilities", k + 1), 4, f"p{k}") for k in range(K)])
 
     return run
 
 
 QUERIES["logistic_predict"] = model_query("logistic")
 QUERIES["boosted_predict"] = model_query("boosted")
+
+
+def q_trained_inference(spark: SparkSession, d: str) -> DataFrame:
+    """Training with all that it stores, then an answer for each series from the store."""
+    out = scratch(spark, "trained")
+    T.train(daily(spark, d), T.Spec("logistic", length=8), out)
+    said = T.infer_stored(daily(spark, d), out)
+    return said.select(*SERIES, "timestamp", "predicted_token", *[r(F.element_at("probabilities", k + 1), 4, f"p{k}") for k in range(K)], "action", r("confidence", 4), "model_version", "n_candles_used")
+
+
+QUERIES["trained_inference"] = q_trained_inference
+
+
+# Stores: written, and read again --------------------------------------------------------------------------------------
+
+CLOSES = f"SELECT {SQL_IDS}, timeframe, open, high, low, close, volume FROM bars"
+CLOSE_OUT = (*IDS, "timeframe", *PRICES, "volume")
+
+
+@query(f"WITH {BARS} {CLOSES} WHERE ticker = (SELECT min(ticker) FROM bars)")
+def q_folder_store(spark: SparkSession, d: str) -> DataFrame:
+    """Bars stored by ticker and timeframe in a folder with a dot in its name, and those of one ticker loaded."""
+    at, b = f"{scratch(spark, 'folder')}/raw.v1", bars_hourly(spark, d)
+    first = save_candles(b, at).agg(F.min("ticker")).first()[0]
+    return load_candles(spark, at, ticker=first, timeframe="1H").select(*CLOSE_OUT)
+
+
+@query(f"WITH {BARS} {CLOSES}")
+def q_csv_store(spark: SparkSession, d: str) -> DataFrame:
+    """Bars as CSV under other names, found and read by the folder's files."""
+    at, b = scratch(spark, "csv"), bars_hourly(spark, d)
+    named = {"ticker": "Symbol", "timeframe": "interval", "begin": "Date", "open": "O", "high": "H", "low": "L", "close": "C", "volume": "Vol"}
+    write_csv(b.select(*[F.col(k).alias(v) for k, v in named.items()]), at)
+    return load_candles(spark, at).select(*CLOSE_OUT)
+
+
+@query(f"WITH {BARS} {CLOSES}")
+def q_candle_json(spark: SparkSession, d: str) -> DataFrame:
+    """Bars as JSON objects with times in several layouts, decoded one by one."""
+    h = F.hour("begin") % 3
+    begin = F.when(h == 0, F.date_format("begin", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(h == 1, F.date_format(F.col("begin") + F.expr("interval 3 hours"), "yyyy-MM-dd'T'HH:mm:ss'+03:00'")).otherwise(F.date_format("begin", "yyyy-MM-dd HH:mm:ss"))
+    text = F.to_json(F.struct("ticker", "timeframe", begin.alias("begin"), F.lit("").alias("end"), *PRICES, "volume"))
+    return bars_hourly(spark, d).select(B.decode_candle(text).alias("c")).select(*[F.col(f"c.{c}").alias(c) for c in CLOSE_OUT])
+
+
+@query(f"{MARKOV}, twice AS (SELECT *, 'v1' AS model_version FROM pd WHERE split = 'val' UNION ALL SELECT *, 'v2' FROM pd WHERE split = 'test') SELECT {SQL_IDS}, model_version, CAST(prediction AS INT) AS prediction, {', '.join(rr(f'q{k}', 6, f'prob_class_{k}') for k in range(K))} FROM twice")
+def q_prediction_log(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of two versions appended one after the other, and read with a column a class."""
+    at, p = scratch(spark, "predictions"), stored(predictions(spark, d), "predicted")
+    for split, version in (("val", "v1"), ("test", "v2")):
+        append_predictions(p.where(F.col("split") == split).select(*IDS, "prediction", "probabilities", F.lit(version).alias("model_version")), at)
+    wide = probability_columns(load_predictions(spark, at), K)
+    return wide.select(*IDS, "model_version", "prediction", *[r(f"prob_class_{k}") for k in range(K)])
+
+
+@query(f"""{SCORED} SELECT CASE WHEN confidence IS NULL OR (act <> 'HOLD' AND reasons <> '') THEN 'HOLD' ELSE act END AS action, count(*) AS n FROM d7 GROUP BY 1""")
+def q_decision_log(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions appended as JSON lines by a stream that ends, counted by what was decided."""
+    at = scratch(spark, "decisions")
+    Q.evaluate_decisions(requests(spark, d)).select(*IDS, "action", "score", "reason").write.parquet(f"{at}/in")
+    made = spark.readStream.schema("ticker string, begin timestamp_ntz, action string, score double, reason string").parquet(f"{at}/in")
+    ST.append_log(made, f"{at}/log", f"{at}/state").awaitTermination()
+    return spark.read.schema("action string").json(f"{at}/log").groupBy("action").agg(F.count("*").alias("n"))
+
+
+# Streams of bars ----------------------------------------------------------------------------------------------------
+
+
+def streamed(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """Cleaned bars as a stream of files, and a folder for its results."""
+    at = scratch(spark, "stream")
+    hourly(spark, d).select(*CANDLE_COLUMNS).write.parquet(f"{at}/in")
+    return ST.candle_stream(spark, f"{at}/in"), at
+
+
+def finished(rows: DataFrame, at: str, name: str) -> DataFrame:
+    """All that a stream gives for the files there are."""
+    rows.writeStream.format("parquet").option("path", f"{at}/{name}").option("checkpointLocation", f"{at}/{name}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/{name}")
+
+
+@query(f"{IND} SELECT {SQL_IDS}, {rr('ema_20', 6, 'ema')} FROM ind")
+def q_stream_ema(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = streamed(spark, d)
+    return finished(ST.ema_stream(rows, 20), at, "ema").select("ticker", F.col("begin").cast("timestamp_ntz").alias("begin"), r("ema"))
+
+
+@query(f"WITH {BARS}, {GOOD} SELECT {SQL_IDS} FROM c")
+def q_stream_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Each bar comes twice, in two files; one is kept."""
+    rows, at = streamed(spark, d)
+    hourly(spark, d).select(*CANDLE_COLUMNS).write.mode("append").parquet(f"{at}/in")
+    return finished(ST.first_candles(rows, "100 days"), at, "once").select("ticker", F.col("begin").cast("timestamp_ntz").alias("begin"))
+
+
+@query(f"""WITH {BARS}, {GOOD} SELECT p.ticker, p."begin" AS timestamp, CAST(hour(p."begin") % 7 AS INT) AS prediction, {rr('(c.close - p.close) / nullif(p.close, 0)', 6, 'actual_return')} FROM c p JOIN c ON c.ticker = p.ticker AND c."begin" = p."begin" + INTERVAL 3 HOUR""")
+def q_stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    rows, at = streamed(spark, d)
+    said = rows.select("ticker", F.col("begin").alias("timestamp"), (F.hour("begin") % 7).alias("prediction"), "close")
+    found = finished(ST.outcome_stream(said, ST.candle_stream(spark, f"{at}/in"), 3, "100 days"), at, "outcomes")
+    return found.select("ticker", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "prediction", r("actual_return"))

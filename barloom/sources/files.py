@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import normalize_columns, normalize_times
@@ -16,13 +17,14 @@ FORMATS = ("parquet", "csv")
 
 
 def suffix_of(spark: SparkSession, path: str) -> str:
-    """parquet or csv: by the path's own ending, else parquet if the folder has any such file, else csv."""
+    """parquet or csv: by the path's own ending, else parquet if the folder, or one of its partitions' folders, has such a file, else csv."""
     if (ending := path.rsplit(".", 1)[-1].lower()) in FORMATS:
         return ending
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(path, "*.parquet"))
-    return "parquet" if found and len(found) else "csv"
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = lambda depth: fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "*=*/" * depth + "*.parquet"))
+    return "parquet" if any(len(found(depth) or ()) for depth in range(3)) else "csv"
 
 
 def read_file(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
@@ -33,18 +35,38 @@ def read_file(spark: SparkSession, path: str, format: str | None = None) -> Data
     return reader.format(format).load(path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
+
+
+def unread_files(spark: SparkSession, path: str, format: str) -> list[str]:
+    """Files of a folder of which no row could be read: corrupt ones, and empty ones."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{format}").option("recursiveFileLookup", True).load(path).select("path")
+    rows = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", f"*.{format}").option("recursiveFileLookup", True).format(format).load(path)
+    read = rows.select(F.input_file_name().alias("path")).distinct()
+    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    return [r["path"] for r in files.withColumn("k", plain("path")).join(read.select(plain("path").alias("k")), "k", "left_anti").orderBy("path").collect()]
+
+
 def read_directory(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """All files of one format in a folder, by column name; files that cannot be read are skipped, none at all is an error."""
+    """All files of one format in a folder, by column name. Files that cannot be read are skipped with a warning that names them
+    (its list is as long as they are many); none at all is an error.
+    """
     format = format or suffix_of(spark, path)
     reader = spark.read.option("pathGlobFilter", f"*.{format}").option("ignoreCorruptFiles", True)
     reader = reader.option("header", True).option("inferSchema", True) if format == "csv" else reader.option("mergeSchema", True)
-    return reader.format(format).load(path)
+    found = reader.format(format).load(path)
+    if format == "parquet" and (lost := unread_files(spark, path, format)):
+        warnings.warn(f"{len(lost)} files of {path} gave no rows: {', '.join(lost)}", stacklevel=2)
+    return found
 
 
 def load_candles(spark: SparkSession, path: str, ticker: str | None = None, timeframe: str | None = None, format: str | None = None) -> DataFrame:
     """Candles of a file or folder with normal names and times, of one ticker and timeframe if asked. Filters reach the scan."""
     try:
-        df = normalize_columns(read_directory(spark, path, format) if "." not in path.rsplit("/", 1)[-1] else read_file(spark, path, format))
+        df = normalize_columns(read_directory(spark, path, format) if is_folder(spark, path) else read_file(spark, path, format))
     except AnalysisException as e:
         raise ValueError(f"no candles at {path}: {e}") from e
     for name, value in (("ticker", ticker), ("timeframe", timeframe)):
@@ -72,19 +94,19 @@ def candles_of(spark: SparkSession, rows: list[dict]) -> DataFrame:
 
 
 def mock_candles(spark: SparkSession, n: int = 100, ticker: str = "SBER", timeframe: str = "1H", start: float = 250.0, volatility: float = 0.01, seed: int = 42) -> DataFrame:
-    """Random-walk candles from 2024-01-01, made on the driver: fixtures of bounded size, the same for the same seed."""
-    import pandas as pd
-
+    """Random-walk candles from 2024-01-01 for fixtures of bounded size, the same for the same seed."""
     draw = np.random.RandomState(seed)
-    step = pd.Timedelta(days=1) if timeframe == "1D" else pd.Timedelta(hours=1)
-    begin = pd.date_range("2024-01-01", periods=n, freq=step)
-    moves, above, below, size = draw.normal(0, volatility, n), draw.uniform(0, volatility, n), draw.uniform(0, volatility, n), draw.lognormal(0, 0.5, n)
-    open_ = start * np.cumprod(1 + moves)
-    close = open_ * (1 + moves)
-    high, low = np.maximum(open_, close) + above * open_, np.minimum(open_, close) - below * open_
-    volume = 1e6 * size
-    rows = zip(begin.to_pydatetime(), (begin + step).to_pydatetime(), open_, high, low, close, volume, close * volume, strict=True)
-    return spark.createDataFrame([(ticker, timeframe, b, e, float(o), float(h), float(lo), float(c), float(v), float(x), "mock") for b, e, o, h, lo, c, v, x in rows], CANDLES)
+    #: The kinds of draws and their order.
+    drawn = [draw.normal(0, volatility, n), draw.uniform(0, volatility, n), draw.uniform(0, volatility, n), draw.lognormal(0, 0.5, n)]
+    rows = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(zip(*drawn, strict=True))], "i int, move double, above double, below double, size double")
+    step = F.expr("interval 1 day" if timeframe == "1D" else "interval 1 hour")
+    c = F.col
+    walk = F.product(1 + c("move")).over(Window.partitionBy(F.lit(0)).orderBy("i"))
+    begin = F.expr("timestamp_ntz'2024-01-01'") + step * c("i")
+    rows = rows.withColumns({"open": start * walk, "begin": begin}).withColumn("close", c("open") * (1 + c("move")))
+    rows = rows.withColumns({"end": c("begin") + step, "high": F.greatest("open", "close") + c("above") * c("open"), "low": F.least("open", "close") - c("below") * c("open"), "volume": 1e6 * c("size")})
+    named = {"ticker": F.lit(ticker), "timeframe": F.lit(timeframe), "value": c("close") * c("volume"), "source": F.lit("mock")}
+    return rows.withColumns(named).select(*[c(f.name).cast(f.dataType) for f in CANDLES])
 
 
 def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,12 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
 from ..functions.times import INTERVAL_CODES
 
+#: Rows of a full page, and names, paths and boards of the service's resources (here and in resource_path).
 PAGE = 500
 NAMED = ("tradestats", "orderstats", "obstats", "hi2")
 
@@ -124,6 +125,45 @@ class PagedReader(DataSourceReader):
             number += 1
 
 
+def rows_in(body: str, block: str = "candles") -> int:
+    return len((json.loads(body).get(block) or {}).get("data") or [])
+
+
+class PollingReader(SimpleDataSourceStreamReader):
+    """The source polled again and again: each ticker's offset is the number of rows taken from it so far. A batch takes whole pages
+    from there on until one is short; a range of offsets that is read again gives the same pages while the source keeps its rows.
+    """
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.reader = PagedReader(options)
+
+    def initialOffset(self) -> dict:
+        return {p.ticker: 0 for p in self.reader.partitions()}
+
+    def take(self, start: dict, end: dict | None) -> tuple[list[tuple], dict]:
+        rows, reached, o = [], {}, self.reader.options
+        size = int(o.get("page", PAGE))
+        for ticker, at in start.items():
+            until = None if end is None else end[ticker]
+            while until is None or at < until:
+                body = fetch(self.reader.url(ticker, at), o)
+                n = rows_in(body)
+                if n:
+                    rows.append((ticker, at, body))
+                at += n
+                if n < size:
+                    break
+            reached[ticker] = at
+        return rows, reached
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, end = self.take(start, None)
+        return iter(rows), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self.take(start, end)[0])
+
+
 class PagedSource(DataSource):
     """spark.read.format("paged_json").option("url", ...).option("tickers", "A,B"): (ticker, page, json) rows; decode_blocks
     makes candles of them. Options: resource, dataset, market, timeframe, from, till, depth, limit, pages, page, timeout, token,
@@ -139,3 +179,7 @@ class PagedSource(DataSource):
 
     def reader(self, schema: StructType) -> PagedReader:
         return PagedReader(dict(self.options))
+
+    def simpleStreamReader(self, schema: StructType) -> PollingReader:
+        """For spark.readStream: page is then the number of its first row."""
+        return PollingReader(dict(self.options))
