@@ -1,6 +1,9 @@
 """Exact top-k inner products: longest vectors first, SVD-rotated partial sums, Cauchy-Schwarz bounds on the rest.
 
-Queries and candidates are dealt over a grid of cells of bounded size; a cell has one block of queries and one of candidates.
+The longest vectors, a bounded number of them, first give each query a bar, a score that its k-th best reaches for certain. By
+Cauchy-Schwarz a candidate can reach it only if it is as long as the bar over the query's length. So queries are dealt in blocks by
+the length they need, candidates in stripes by the length they have, and only blocks and stripes that can do with each other meet
+in a cell, both of bounded size. In a cell, candidates come by falling length.
 """
 
 from __future__ import annotations
@@ -12,7 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES, CANDIDATES, TILE, PARTIAL = 1024, 16384, 1024, 16
+from .shared import written
+
+QUERIES, CANDIDATES, TILE, PARTIAL = 8192, 16384, 1024, 16
+#: Numbers of the longest vectors at most, and of bands of lengths.
+LONGEST, LONGEST_CELLS, BANDS = 4096, 1 << 21, 64
 
 
 def whole_parts(vector: str, scale: int = 256) -> Column:
@@ -46,14 +53,15 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def cell_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int, partial: int = PARTIAL, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cell_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int, least: np.ndarray | None = None, partial: int = PARTIAL, tile: int = TILE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, id, score) of the best k of a cell for each query; ties go to smaller ids.
 
     Candidates come by falling length. A query is done when its length times the next candidate's cannot reach its k-th score;
     before that, a candidate is scored in full only where the product of the first rotated components, and of the lengths of
-    what is left, can reach it.
+    what is left, can reach it. least: scores that are known to be reached, below which nothing is wanted.
     """
     n = len(queries)
+    least = np.full(n, -np.inf) if least is None else least
     turned, turned_q = vectors @ rotation, queries @ rotation
     length, length_q = np.linalg.norm(turned, axis=1), np.linalg.norm(turned_q, axis=1)
     rest, rest_q = np.linalg.norm(turned[:, partial:], axis=1), np.linalg.norm(turned_q[:, partial:], axis=1)
@@ -62,7 +70,7 @@ def cell_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
     filled = np.zeros(n, np.int64)
     for at in range(0, len(order), tile):
         part = order[at : at + tile]
-        bar = np.where(filled >= k, top[:, -1].astype(float), -np.inf)
+        bar = np.maximum(least, np.where(filled >= k, top[:, -1].astype(float), -np.inf))
         slack = 1e-9 * length_q * length[part[0]] + 1e-6
         live = np.flatnonzero(length_q * length[part[0]] + slack >= bar)
         if not len(live):
@@ -123,30 +131,79 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec
     A query's own id is no candidate for it. Rows without an id and vectors that are null or hold null or non-finite components
     take no part; repeated candidate rows each count, repeated query rows answer once.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("long").alias("id"), whole_parts(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")).where("id is not null and v is not null")
+    rows = written(rows.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))), "vectors")
     facts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.size("v")).alias("width")).first()
     width = max(1, facts["width"] or 1)
     rotation = rotation_of(rows, width)
-    spread = 2 * spark.sparkContext.defaultParallelism
-    stripes = max(1, -(-facts["n"] // CANDIDATES), min(spread, -(-facts["n"] // 256)))
-    blocks = max(1, -(-facts["q"] // QUERIES))
-    part = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    asked = rows.where("asks").select("id", "v").distinct().select("id", "v", part(blocks, 1).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))).alias("stripe"))
-    own = F.pmod(F.xxhash64("id", "v"), F.lit(stripes)).cast("int")
-    there = rows.select("id", "v", own.alias("stripe")).select("id", "v", "stripe", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    longest = rows.orderBy(F.desc("length"), "id").limit(max(k + 1, min(LONGEST, LONGEST_CELLS // width))).select("id", "v").toArrow()
+    long_ids, long_vectors = longest.column("id").to_numpy(), matrix(longest.column("v"), width)
+
+    def bars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's k-th best score among the longest vectors, as a double from below; null if there are fewer."""
+        for batch in batches:
+            ids, own = batch.column("id").to_numpy(zero_copy_only=False), matrix(pa.chunked_array([batch.column("v")]), width)
+            found = []
+            for at in range(0, len(ids), 512):
+                scores = products(own[at : at + 512], long_vectors).astype(float)
+                scores[ids[at : at + 512, None] == long_ids[None, :]] = -np.inf
+                kept = np.sort(scores, axis=1)[:, ::-1][:, k - 1] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
+                found.append(np.where(np.isfinite(kept), kept - np.abs(kept) * 1e-12, np.nan))
+            bar = pa.array(np.concatenate(found or [np.zeros(0)]), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("length"), bar], ["id", "v", "length", "bar"])
+
+    asked = rows.where("asks").select("id", "v", "length").distinct().mapInArrow(bars, "id long, v array<long>, length double, bar double")
+    need = F.when((F.col("bar") > 0) & (F.col("length") > 0), F.col("bar") / F.col("length") * (1 - 1e-9)).otherwise(F.lit(0.0))
+    asked = written(asked.withColumns({"need": need, "number": F.xxhash64("v")}), "asked")
+    needs, lengths = banded(asked, "need"), banded(rows, "length")
+    blocks = parts_by_band(asked, "need", needs, QUERIES)
+    stripes = parts_by_band(rows, "length", lengths, CANDIDATES)
+    uppers = [*lengths[1:], float("inf")]
+    # What block and stripe meet is settled by their bands alone, so that both sides deal themselves out alike.
+    meets = [[s for s in range(len(lengths)) if uppers[s] >= needs[b]] for b in range(len(needs))]
+    met_by = [[b for b in range(len(needs)) if s in meets[b]] for s in range(len(lengths))]
+    lists = lambda of: F.array(*[F.array(*map(F.lit, some)).cast("array<int>") for some in of])
+    all_parts = lambda band, parts: F.explode(F.sequence(F.lit(0), F.element_at(F.array(*map(F.lit, parts)), F.col(band) + 1) - 1))
+    asked = asked.withColumn("b", band_of("need", needs)).withColumn("bp", part_of("b", blocks, "id", "v"))
+    asked = asked.withColumn("s", F.explode(F.element_at(lists(meets), F.col("b") + 1))).withColumn("sp", all_parts("s", stripes))
+    there = rows.select("id", "v", band_of("length", lengths).alias("s")).withColumn("sp", part_of("s", stripes, "id", "v"))
+    there = there.withColumn("b", F.explode(F.element_at(lists(met_by), F.col("s") + 1))).withColumn("bp", all_parts("b", blocks))
     answer = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("id", pa.int64()), ("score", pa.int64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return answer.empty_table()
-        query_ids, ids = (t.column("id").combine_chunks().to_numpy(zero_copy_only=False) for t in (left, right))
-        q, found, score = cell_top(query_ids, matrix(left.column("v"), width), ids, matrix(right.column("v"), width), rotation, k)
-        number = left.column("number").combine_chunks().to_numpy(zero_copy_only=False)
-        return pa.table([query_ids[q], number[q], found, score], schema=answer)
-
-    asked = asked.withColumn("number", F.xxhash64("v"))
-    cells = ["block", "stripe"]
+        of = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        query_ids, ids, number, least = of(left, "id"), of(right, "id"), of(left, "number"), np.nan_to_num(of(left, "bar"), nan=-np.inf)
+        asking, there, out = matrix(left.column("v"), width), matrix(right.column("v"), width), []
+        for at in range(0, len(asking), TILE):
+            own = slice(at, at + TILE)
+            q, found, score = cell_top(query_ids[own], asking[own], ids, there, rotation, k, least[own])
+            out.append(pa.table([query_ids[own][q], number[own][q], found, score], schema=answer))
+        return pa.concat_tables(out)
+
+    cells = ["b", "bp", "s", "sp"]
     best = asked.groupBy(*cells).cogroup(there.groupBy(*cells)).applyInArrow(search, "query_id long, query long, id long, score long")
     ranked = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id), "score")
+
+
+def banded(rows: DataFrame, value: str, bands: int = BANDS) -> list[float]:
+    """Lower ends of at most so many bands of a value that hold about as many rows each; the first is 0."""
+    got = rows.agg(F.percentile_approx(value, F.array(*[F.lit(x / bands) for x in range(1, bands)]), 1000)).first()[0]
+    return [0.0, *sorted({x for x in got or [] if x > 0})]
+
+
+def band_of(value: str, lower: list[float]) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, lower)), lambda x: x <= F.col(value))) - 1
+
+
+def parts_by_band(rows: DataFrame, value: str, lower: list[float], most: int) -> list[int]:
+    """How many parts of at most about so many rows each band is dealt over."""
+    counts = {r["b"]: r["n"] for r in rows.groupBy(band_of(value, lower).alias("b")).agg(F.count("*").alias("n")).collect()}
+    return [max(1, -(-counts.get(b, 0) // most)) for b in range(len(lower))]
+
+
+def part_of(band: str, parts: list[int], *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.element_at(F.array(*map(F.lit, parts)), F.col(band) + 1)).cast("int")
