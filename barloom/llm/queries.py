@@ -41,7 +41,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
     archives = written(warc.write_archives(warc.with_revisits(pages)), "archives")
-    number = lambda c: F.when(F.col(c) != "null", F.col(c).cast(kind)).alias(c)
+    number = lambda c: F.col(c).cast(kind).alias(c)
     return warc.read_archives(archives).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), "problem")
 
 
@@ -62,13 +62,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = quality_rules.judged(table(spark, sf_dir, "documents"))
-    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return counted.select("doc_id", *quality_rules.COUNTS, failed.alias("base_failed"), (~failed & (F.col("p_good") >= 0.5)).alias("kept"), "p_good")
+    return counted.select("doc_id", *quality_rules.COUNTS, F.col("failed").alias("base_failed"), (~F.col("failed") & (F.col("p_good") >= 0.5)).alias("kept"), "p_good")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """WARC archives in Zstandard: a dictionary in the leading skippable frame, one frame per record.
 
-Archives travel as rows (archive, content) so that they can be written to any store that Spark reaches; `read_archives` also
-takes rows of Spark's binaryFile source.
+Archives travel as rows (archive, content) so that they can be written to any store that Spark reaches; `save_archives` writes them
+as files, and `read_archives` also takes rows of Spark's binaryFile source.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
+import os
 import re
 import struct
+import urllib.parse
 import uuid
 from collections.abc import Iterator
 
@@ -26,6 +29,8 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 ARCHIVE_BYTES, SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 16 << 20, 200, 1 << 20, 16 << 10
+#: Records over this many bytes are not decoded: a frame of a few bytes can claim to hold far more than a task does.
+MOST_BYTES = 1 << 30
 RECORD = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary, problem string"
 
 
@@ -33,21 +38,29 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: str, url: str | None, payload: bytes | None, size: int, sha1: bytes, refers_to: str | None) -> bytes:
+def urn(page_id: str | None) -> str:
+    """The name of a page's record: any text can be an id, and no id is told from all of them."""
+    return "<urn:none>" if page_id is None else f"<urn:page:{urllib.parse.quote(page_id, safe='')}>"
+
+
+def page_of(name: str) -> str | None:
+    return urllib.parse.unquote(m[1]) if (m := re.fullmatch(r"<urn:page:([^<>]*)>", name)) else None
+
+
+def record(page_id: str | None, url: str | None, payload: bytes | None, size: int, sha1: bytes, revisit: bool, refers_to: str | None) -> bytes:
     """One record: a response with its payload, or a revisit of another page's."""
-    revisit = refers_to is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + (payload or b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {urn(page_id)}",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {re.sub('[\x00-\x20\x7f]', lambda m: f'%{ord(m[0]):02X}', url)}"] if url else []),
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(sha1).decode()}",
         f"X-Payload-Length: {size}",
-        *([f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"] if revisit else []),
+        *([f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"] if revisit else []),
         f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -63,14 +76,15 @@ def pack(records: list[bytes]) -> tuple[bytes, zstandard.ZstdCompressor]:
             break
     try:
         trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples)
-    except zstandard.ZstdError:  # too few records for a dictionary: an archive may do without
-        return b"", zstandard.ZstdCompressor(level=3, write_checksum=True)
+    except zstandard.ZstdError:  # too few records to train on: their own beginnings serve as one
+        trained = zstandard.ZstdCompressionDict(b"".join(samples)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packed = zstandard.ZstdCompressor(level=3).compress(trained.as_bytes())
     return struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed, zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True)
 
 
 def write_archives(records: DataFrame) -> DataFrame:
-    """(archive, content) of records (page_id string, url, payload binary, payload_bytes, sha1 hexadecimal, refers_to string).
+    """(archive, content) of records (page_id string, url, payload binary, payload_bytes, sha1 hexadecimal, revisit boolean, refers_to
+    string).
 
     Each task fills archives of about ARCHIVE_BYTES of records, one at a time.
     """
@@ -83,10 +97,10 @@ def write_archives(records: DataFrame) -> DataFrame:
 
         waiting, held = [], 0
         for batch in batches:
-            columns = [batch.column(c) for c in ("page_id", "url", "payload", "payload_bytes", "sha1", "refers_to")]
+            columns = [batch.column(c) for c in ("page_id", "url", "payload", "payload_bytes", "sha1", "revisit", "refers_to")]
             for row in zip(*columns, strict=True):
-                page_id, url, payload, size, sha1, refers_to = (x.as_py() for x in row)
-                waiting.append(record(page_id, url, payload, size, bytes.fromhex(sha1), refers_to))
+                page_id, url, payload, size, sha1, revisit, refers_to = (x.as_py() for x in row)
+                waiting.append(record(page_id, url, payload, size, bytes.fromhex(sha1), revisit, refers_to))
                 held += len(waiting[-1])
                 if held >= ARCHIVE_BYTES:
                     yield archive(waiting)
@@ -97,6 +111,27 @@ def write_archives(records: DataFrame) -> DataFrame:
     return records.mapInArrow(fill, "archive string, content binary")
 
 
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """(file) of archives (archive, content) written as .warc.zst files to a folder that all executors see as their own. A file appears
+    whole or not at all, so that a task can be done again.
+    """
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            files = []
+            for name, content in zip(batch.column("archive").to_pylist(), batch.column("content"), strict=True):
+                path = os.path.join(folder, f"{name}.warc.zst")
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content.as_py())
+                os.replace(part, path)
+                files.append(path)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], ["file"])
+
+    return archives.select("archive", "content").mapInArrow(save, "file string")
+
+
 def frame_end(data: memoryview, at: int) -> int:
     """Where the frame that begins at a place ends, by the lengths of its blocks."""
     parameters = zstandard.get_frame_parameters(data[at : at + 18])
@@ -114,8 +149,8 @@ def frame_end(data: memoryview, at: int) -> int:
     return at
 
 
-def unpacked(content: bytes) -> Iterator[bytes | ValueError]:
-    """Each record's bytes, one frame at a time; an error ends the archive."""
+def unpacked(content: bytes, most: int = MOST_BYTES) -> Iterator[bytes | ValueError]:
+    """Each record's bytes, one frame at a time; an error ends the archive, and so does a record of more than most bytes."""
     data, at, decompressor = memoryview(content), 0, zstandard.ZstdDecompressor()
     first = True
     while at < len(data):
@@ -126,12 +161,12 @@ def unpacked(content: bytes) -> Iterator[bytes | ValueError]:
                 if first and magic == DICTIONARY_FRAME:
                     trained = bytes(data[at + 8 : at + 8 + size])
                     if trained[:4] == struct.pack("<I", FRAME):
-                        trained = zstandard.ZstdDecompressor().decompressobj().decompress(trained)
+                        trained = within(zstandard.ZstdDecompressor(), trained, MOST_BYTES)
                     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained))
                 at += 8 + size
             else:
                 end = frame_end(data, at)
-                yield decompressor.decompressobj().decompress(data[at:end])
+                yield within(decompressor, data[at:end], most)
                 at = end
             first = False
         except (zstandard.ZstdError, struct.error, ValueError) as e:
@@ -139,6 +174,14 @@ def unpacked(content: bytes) -> Iterator[bytes | ValueError]:
             return
 
 
+def within(decompressor: zstandard.ZstdDecompressor, frame: bytes | memoryview, most: int) -> bytes:
+    """The content of one frame, read no further than most bytes."""
+    out = decompressor.stream_reader(io.BytesIO(frame)).read(most + 1)
+    if len(out) > most:
+        raise ValueError(f"a frame holds more than {most} bytes")
+    return out
+
+
 def parsed(data: bytes) -> dict:
     """The fields of a record; problem says what is wrong with its headers, lengths or digest."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -151,13 +194,13 @@ def parsed(data: bytes) -> dict:
         problem = f"no {missing[0]}"
     elif not fields["Content-Length"].isdigit() or int(fields["Content-Length"]) != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
         problem = "bad Content-Length"
-    named = lambda x: m[1] if (m := re.fullmatch(r"<urn:page:(.*)>", fields.get(x, ""))) else None
+    named = lambda x: page_of(fields.get(x, ""))
     http, _, payload = rest[:-4].partition(b"\r\n\r\n")
     kind, said = fields.get("WARC-Type"), fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
     size = fields.get("X-Payload-Length", str(len(payload)))
     if not problem and kind == "response" and (size != str(len(payload)) or said != digest(payload)):
         problem = "payload differs from its length or digest"
-    if not problem and kind == "revisit" and named("WARC-Refers-To") is None:
+    if not problem and kind == "revisit" and not re.fullmatch(r"<urn:(none|page:[^<>]*)>", fields.get("WARC-Refers-To", "")):
         problem = "a revisit of nothing"
     return {"page_id": named("WARC-Record-ID"), "payload_bytes": int(size) if size.isdigit() else None, "payload_digest": said, "record_type": kind, "refers_to": named("WARC-Refers-To"), "payload": payload if kind == "response" else None, "problem": problem}
 
@@ -194,5 +237,5 @@ def with_revisits(pages: DataFrame, id: str = "page_id", url: str = "url", paylo
     rows = pages.select(F.col(id).alias("_id"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("sha1"))
     firsts = written(rows.where(F.col("payload_bytes") >= least_bytes).groupBy("sha1", "payload_bytes").agg(F.min("_id").alias("_first")), "firsts")
     again = F.col("_first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_first"))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    return rows.join(firsts, ["sha1", "payload_bytes"], "left").select(name("_id").alias("page_id"), "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "sha1", F.when(again, name("_first")).alias("refers_to"))
+    name = lambda c: F.col(c).cast("string")
+    return rows.join(firsts, ["sha1", "payload_bytes"], "left").select(name("_id").alias("page_id"), "url", F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "sha1", again.alias("revisit"), F.when(again, name("_first")).alias("refers_to"))
