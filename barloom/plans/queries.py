@@ -334,26 +334,35 @@ def q_token_distribution(spark: SparkSession, d: str) -> DataFrame:
 # Windows ------------------------------------------------------------------------------------------------------------
 
 LENGTH, WINDOW_FEATURES = 8, ["close", "body_ratio", "return_1"]
-ROWS = f"""{TOKENS}, wn AS (SELECT *, row_number() OVER (PARTITION BY ticker, timeframe, split ORDER BY "begin") AS i, count(*) OVER fr AS n, sum(close) OVER fr AS s_close, sum(body_ratio) OVER fr AS s_body, sum(return_1) OVER fr AS s_return
- FROM tk WINDOW fr AS (PARTITION BY ticker, timeframe, split ORDER BY "begin" ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW))"""
+ROWS = f"""{TOKENS}, ti AS (SELECT *, row_number() OVER (PARTITION BY ticker, timeframe, split ORDER BY "begin") AS i FROM tk),
+wn AS (SELECT *, count(*) OVER fr AS n, sum(close) OVER fr AS s_close, sum(body_ratio) OVER fr AS s_body, sum(return_1) OVER fr AS s_return, sum(i * close) OVER fr - (i - {LENGTH}) * sum(close) OVER fr AS w_close, sum(i * body_ratio) OVER fr - (i - {LENGTH}) * sum(body_ratio) OVER fr AS w_body
+ FROM ti WINDOW fr AS (PARTITION BY ticker, timeframe, split ORDER BY "begin" ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW))"""
 
 
-def total(k: int, flat: bool) -> Column:
+def column_of(k: int, flat: bool) -> Column:
     n = len(WINDOW_FEATURES)
-    part = F.filter("window", lambda x, i: i % n == k) if flat else F.transform("window", lambda row: F.element_at(row, k + 1))
-    return F.aggregate(part, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return F.filter("window", lambda x, i: i % n == k) if flat else F.transform("window", lambda row: F.element_at(row, k + 1))
+
+
+def total(k: int, flat: bool) -> Column:
+    return F.aggregate(column_of(k, flat), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+
+def weighed(k: int, flat: bool) -> Column:
+    """Values by their places, from 1 on: tells whether they are in order."""
+    return F.aggregate(F.transform(column_of(k, flat), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
 
-@query(f"{ROWS} SELECT {SQL_IDS}, CAST(token AS INT) AS token, {LENGTH * 3} AS width, {rr('s_close', 4, 'sum_close')}, {rr('coalesce(s_return, 0)', 6, 'sum_return')} FROM wn WHERE n = {LENGTH} AND token <> -1")
+@query(f"{ROWS} SELECT {SQL_IDS}, CAST(token AS INT) AS token, {LENGTH * 3} AS width, {rr('s_close', 4, 'sum_close')}, {rr('w_close', 3, 'weighed_close')}, {rr('coalesce(s_return, 0)', 6, 'sum_return')} FROM wn WHERE n = {LENGTH} AND token <> -1")
 def q_tabular_window(spark: SparkSession, d: str) -> DataFrame:
     w = V.tabular_windows(tokens(spark, d), LENGTH, WINDOW_FEATURES, T.SPLIT_KEYS)
-    return w.select(*IDS, "token", F.size("window").alias("width"), r(total(0, True), 4, "sum_close"), r(total(2, True), 6, "sum_return"))
+    return w.select(*IDS, "token", F.size("window").alias("width"), r(total(0, True), 4, "sum_close"), r(weighed(0, True), 3, "weighed_close"), r(total(2, True), 6, "sum_return"))
 
 
-@query(f"{ROWS} SELECT {SQL_IDS}, CAST(token AS INT) AS token, {LENGTH} AS steps, {rr('s_body', 6, 'sum_body')} FROM wn WHERE n = {LENGTH} AND token <> -1")
+@query(f"{ROWS} SELECT {SQL_IDS}, CAST(token AS INT) AS token, {LENGTH} AS steps, {rr('s_body', 6, 'sum_body')}, {rr('w_body', 5, 'weighed_body')} FROM wn WHERE n = {LENGTH} AND token <> -1")
 def q_sequence_window(spark: SparkSession, d: str) -> DataFrame:
     w = V.sequence_windows(tokens(spark, d), LENGTH, WINDOW_FEATURES, T.SPLIT_KEYS)
-    return w.select(*IDS, "token", F.size("window").alias("steps"), r(total(1, False), 6, "sum_body"))
+    return w.select(*IDS, "token", F.size("window").alias("steps"), r(total(1, False), 6, "sum_body"), r(weighed(1, False), 5, "weighed_body"))
 
 
 CONTEXTS = f"""{TOKENS}, cx AS (SELECT *, list(token) OVER (PARTITION BY ticker, timeframe, split ORDER BY "begin" ROWS BETWEEN {LENGTH} PRECEDING AND 1 PRECEDING) AS context FROM tk),
@@ -369,10 +378,10 @@ def q_token_window(spark: SparkSession, d: str) -> DataFrame:
     return contexts(spark, d).select(*IDS, "token", F.array_join(F.col("context").cast("array<string>"), ",").alias("context"))
 
 
-@query(f"""{IND}, ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY "begin" DESC) AS back FROM ind) SELECT ticker, max("begin") AS last_begin, {LENGTH} AS steps, {rr('sum(close)', 4, 'sum_close')} FROM ranked WHERE back <= {LENGTH} GROUP BY ticker HAVING count(*) = {LENGTH}""")
+@query(f"""{IND}, ranked AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY "begin" DESC) AS back FROM ind) SELECT ticker, max("begin") AS last_begin, {LENGTH} AS steps, {rr('sum(close)', 4, 'sum_close')}, {rr(f'sum(({LENGTH + 1} - back) * close)', 3, 'weighed_close')} FROM ranked WHERE back <= {LENGTH} GROUP BY ticker HAVING count(*) = {LENGTH}""")
 def q_inference_window(spark: SparkSession, d: str) -> DataFrame:
     w = V.last_windows(indicators(spark, d), LENGTH, WINDOW_FEATURES)
-    return w.select("ticker", "last_begin", F.size("window").alias("steps"), r(total(0, False), 4, "sum_close"))
+    return w.select("ticker", "last_begin", F.size("window").alias("steps"), r(total(0, False), 4, "sum_close"), r(weighed(0, False), 3, "weighed_close"))
 
 
 # Frequency models and metrics ---------------------------------------------------------------------------------------
