@@ -156,7 +156,10 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec
     asked = rows.where("asks").select("id", "v", "length").distinct().mapInArrow(bars, "id long, v array<long>, length double, bar double")
     need = F.when((F.col("bar") > 0) & (F.col("length") > 0), F.col("bar") / F.col("length") * (1 - 1e-9)).otherwise(F.lit(0.0))
     asked = written(asked.withColumns({"need": need, "number": F.xxhash64("v")}), "asked")
-    needs, lengths = banded(asked, "need"), banded(rows, "length")
+    # As many bands as blocks and stripes are needed for, and of stripes as many as there are tasks at a time, if that is more.
+    spread = min(2 * vectors.sparkSession.sparkContext.defaultParallelism, -(-facts["n"] // 256))
+    needs = banded(asked, "need", min(BANDS, -(-facts["q"] // QUERIES)))
+    lengths = banded(rows, "length", min(BANDS, max(-(-facts["n"] // CANDIDATES), spread)))
     blocks = parts_by_band(asked, "need", needs, QUERIES)
     stripes = parts_by_band(rows, "length", lengths, CANDIDATES)
     uppers = [*lengths[1:], float("inf")]
@@ -189,8 +192,10 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec
     return best.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id), "score")
 
 
-def banded(rows: DataFrame, value: str, bands: int = BANDS) -> list[float]:
+def banded(rows: DataFrame, value: str, bands: int) -> list[float]:
     """Lower ends of at most so many bands of a value that hold about as many rows each; the first is 0."""
+    if bands < 2:
+        return [0.0]
     got = rows.agg(F.percentile_approx(value, F.array(*[F.lit(x / bands) for x in range(1, bands)]), 1000)).first()[0]
     return [0.0, *sorted({x for x in got or [] if x > 0})]
 
