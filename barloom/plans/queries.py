@@ -690,8 +690,9 @@ QUERIES["boosted_predict"] = model_query("boosted")
 def q_trained_inference(spark: SparkSession, d: str) -> DataFrame:
     """Training with all that it stores, then an answer for each series from the store."""
     out = scratch(spark, "trained")
-    T.train(daily(spark, d), T.Spec("logistic", length=8), out)
-    said = T.infer_stored(daily(spark, d), out)
+    candles = stored(hourly(spark, d), "candles")
+    T.train(candles, T.Spec("logistic", length=8), out, least_train=LEAST)
+    said = T.infer_stored(candles, out)
     return said.select(*SERIES, "timestamp", "predicted_token", *[r(F.element_at("probabilities", k + 1), 4, f"p{k}") for k in range(K)], "action", r("confidence", 4), "model_version", "n_candles_used")
 
 
