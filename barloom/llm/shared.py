@@ -1,4 +1,4 @@
-"""Tables in the cluster's shared folder, and chunks of documents of bounded size."""
+"""Tables in the cluster's shared folder, and rows held out."""
 
 from __future__ import annotations
 
@@ -33,18 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def chunk_count(docs: DataFrame, text: str = "text", chunk_bytes: int = 16 << 20) -> int:
-    """How many chunks of about chunk_bytes of text the documents make. One scan, no shuffle of text."""
-    total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    return int(total // chunk_bytes) + 1
-
-
-def chunk_of(n_chunks: int, *keys: str) -> Column:
-    """A chunk number from the hash of the keys: even whatever the keys' distribution, as long as they differ by row."""
-    return F.pmod(F.xxhash64(*keys), F.lit(n_chunks)).cast("int")
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables of `written` that nothing reads any more, ahead of the application's end."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "written_at", None)):
+            jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def held_out(doc_id: str, modulus: int, rest: int = 2) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import discard, written
 from .words import plain, raw, slices, split
 
 SEED, SHINGLE, RADIUS, TILE = 42, 3, 3, 4096
@@ -285,8 +285,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        star = written(small, "star")
+        last, star = star, written(small, "star")
         before, now = now, state(star)
+        discard(last, large)
     return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as X
-from .shared import written
+from .shared import discard, written
 from .words import plain, raw, slices
 
 WINDOW, SHARD, BUCKETS = 200, 1024, 1 << 14
@@ -296,9 +296,10 @@ def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", win
     are rows of their own, and repeat each other.
     """
     rows = written(docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.monotonically_increasing_id().alias("_row")), "texts")
-    runs = written(all_runs(rows, window, piece), "runs")
-    shared = runs.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("h")
-    runs = written(runs.join(shared, "h"), "shared-runs")
+    each = written(all_runs(rows, window, piece), "runs")
+    shared = each.groupBy("h").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("h")
+    runs = written(each.join(shared, "h"), "shared-runs")
+    discard(each)
     regions = written(runs.groupBy("h", "r").agg(F.count("*").alias("n"), F.max("again").alias("again"), F.min(F.struct("_row", "first", "last")).alias("at")), "regions")
     hashes = regions.groupBy("h").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("again").alias("again")).where("(k > 1 or again) and least = 1").select("h", F.ceil(F.col("k") / shard).cast("int").alias("shards"))
     wanted = regions.join(hashes, "h").withColumn("shard", F.pmod(F.xxhash64("r"), F.col("shards")).cast("int"))
