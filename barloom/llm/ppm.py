@@ -2,36 +2,43 @@
 
 A text is its words, each ended by a space, and a line feed at the end; letters A-Z are lowered. A byte is predicted from at
 most `order` bytes before it in its text, across the spaces between words. The trie of contexts is kept as counts of grams
-(context and byte) and dealt by the context's last two bytes, so that a context and all its suffixes of two bytes or more are
-in one task; those of one byte and none are at most 256 * 256 counts and go everywhere. Escapes are estimated by method D
-(half a count of each distinct symbol goes to the escape) and symbols of longer contexts are excluded.
+(context and byte) and dealt in bounded parts by the context's last three bytes, so that a context and all its suffixes of three
+bytes or more are in one part; of shorter ones there are at most 2^24 counts, and these go everywhere. A part holds the trie level
+by level as sorted arrays. Shorter contexts count contexts, not occurrences (update exclusion). Escapes are estimated by method D (half a count of each distinct symbol goes to the escape) and symbols
+of longer contexts are excluded: they all occur in the shorter ones too, so what a level has left is its sum less theirs.
 
 Beside the bytes, a word seen in training has its share of all, and the escape from whole words to bytes is the share of words seen
 once; both ways to a word count (blending). This knows nothing of order, so a text's words are predicted by it and by the bytes
-alone, weighted by how well each did on the words just before (switching). Each text also teaches its own, adaptive trie of the whole words before: it is blended with what was learned, by an escape that falls from one towards
-a half as the text goes on. All sum to one over words, and so does the blend.
+alone, weighted by how well each did on the words just before (switching). Each text also teaches its own, adaptive trie of the
+whole words before: it is blended with what was learned, by an escape that falls from one towards a half as the text goes on. All
+sum to one over words, and so does the blend.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunk_count, chunk_of, written
+from .shared import written
 from .words import coded, plain, raw, slices, split, sums
 
-ORDER, SPACE, END = 4, 0x20, 0x0A
+#: The order is 3 at least.
+ORDER, SPACE, END = 5, 0x20, 0x0A
 #: The escape from a text's own words after n of them: 1 - n / (2 * (n + SETTLES)).
 SETTLES = 300
-#: Bytes of texts whose grams are laid out at once.
-SLICE = 2 << 20
+#: Bytes of texts, and words, whose grams are laid out at once; grams of a part of the trie, and chunks that ask a copy of a part.
+SLICE, WORDS, PART, ASKING = 2 << 20, 1 << 18, 500_000, 64
+#: Multiplier that spreads the last three bytes of contexts over parts.
+SPREAD = 0x9E3779B1
+#: So many of the most frequent words, of at most so many bytes, go to all tasks (9 MB at the most) and are not asked for by chunk.
+COMMON, COMMON_BYTES = 1 << 17, 64
 #: How many words before a word decide between whole words and bytes, and the least weight of either.
 RECENT, LEAST_WEIGHT = 32, 0.01
 
@@ -65,44 +72,96 @@ def word_grams(words: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return gram[np.repeat(ends - order - to[1:], lengths + 1) + np.arange(to[-1])], to
 
 
-def text_grams(texts: pa.Array, order: int) -> np.ndarray:
-    """Grams of whole texts."""
+def gram_blocks(distinct: pa.Array, which: np.ndarray, order: int, block: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams and offsets by word of words given by their numbers, block by block. A block is laid out behind the words before it, as
+    many as an order of bytes can reach.
+    """
+    for at in range(0, len(which), block):
+        lead = min(at, order)
+        grams, to = word_grams(distinct.take(pa.array(which[at - lead : at + block])), order)
+        yield grams[to[lead] :], to[lead:] - to[lead]
+
+
+def counted_grams(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of whole texts, in order, and how often they occur."""
     words, offsets = lowered(texts)
-    at, _ = with_ends(np.arange(len(words)), offsets, len(words))
-    return word_grams(pa.concat_arrays([words.cast(pa.binary()), pa.array([b""], pa.binary())]).take(pa.array(at)), order)[0]
+    distinct, which = coded(words)
+    which, _ = with_ends(which, offsets, len(distinct))
+    distinct = pa.concat_arrays([distinct.cast(pa.binary()), pa.array([b""], pa.binary())])
+    found = [np.unique(grams, return_counts=True) for grams, _ in gram_blocks(distinct, which, order)]
+    return summed(np.concatenate([g for g, _ in found] or [np.zeros(0, np.int64)]), np.concatenate([n for _, n in found] or [np.zeros(0, np.int64)]))
+
+
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and the sums of their counts."""
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order]
+    starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    return grams[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def found_at(sorted_: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted array, and whether the values are there."""
+    if not len(sorted_):
+        return np.zeros(len(of), np.int64), np.zeros(len(of), bool)
+    at = np.minimum(np.searchsorted(sorted_, of), len(sorted_) - 1)
+    return at, sorted_[at] == of
+
 
+class Level:
+    """Contexts of one length: sorted grams with counts, and by context the sum of counts, the number of distinct symbols, and, of
+    the next shorter context, the sum of counts of these symbols.
+    """
+
+    def __init__(self, length: int, grams: np.ndarray, counts: np.ndarray, shorter: Level | None) -> None:
+        self.mask = (1 << 8 * (length + 1)) - 1
+        self.grams, self.counts = summed(grams & self.mask, counts)
+        context = self.grams >> 8
+        starts = np.flatnonzero(np.append(True, context[1:] != context[:-1])[: len(context)])
+        add = lambda x: np.add.reduceat(x, starts).astype(float) if len(starts) else np.zeros(0)
+        self.contexts, self.total, self.distinct = context[starts], add(self.counts), add(np.ones(len(context), np.int64))
+        self.below = add(shorter.counts[found_at(shorter.grams, self.grams & shorter.mask)[0]]) if shorter and len(starts) else np.zeros(len(starts))
 
-def predicted(needed: np.ndarray, grams: np.ndarray, counts: np.ndarray, low: dict[int, dict[int, int]], order: int) -> np.ndarray:
-    """log10 probability of each needed gram. grams and counts: all that was learned in contexts with the same last two bytes;
-    low: counts by symbol after each byte, and under -1 after none.
+
+def trie(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int) -> list[Level]:
+    """Levels from no context on. Contexts of the full order count how often a symbol followed, shorter ones in how many contexts one
+    byte longer it did (update exclusion). low: grams of two bytes of context and their counts, of the whole corpus; grams: those
+    of a part, complete for contexts of three bytes and more.
     """
-    levels: list[dict[int, dict[int, int]]] = []
-    for k in range(2, order + 1):
-        seen: dict[int, dict[int, int]] = defaultdict(dict)
-        part, which = np.unique(grams & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
-        for g, n in zip(part.tolist(), np.bincount(which, counts, len(part)).astype(np.int64).tolist() if len(part) else [], strict=True):
-            seen[g >> 8][g & 255] = n
-        levels.append(seen)
-    out, context, held = np.zeros(len(needed)), None, []
-    for x, g in enumerate(needed.tolist()):
-        if g >> 8 != context:
-            context = g >> 8
-            held = [levels[k - 2].get(context & ((1 << 8 * k) - 1)) for k in range(order, 1, -1)] + ([low.get(context & 255)] if order >= 1 else []) + [low.get(-1)]
-            held = [h for h in held if h]
-            plans: dict[int, float] = {}
-            gone: set[int] = set()
-            escaped = 0.0
-            for h in held:
-                rest = {s: n for s, n in h.items() if s not in gone} if gone else h
-                if not rest:
-                    continue
-                total = math.log10(2 * sum(rest.values()))
-                for s, n in rest.items():
-                    plans[s] = escaped + math.log10(2 * n - 1) - total
-                escaped += math.log10(len(rest)) - total
-                gone = gone | rest.keys()
-            none = escaped - math.log10(256 - len(gone)) if len(gone) < 256 else -math.inf
-        out[x] = plans.get(g & 255, none)
+    tables = []
+    for k in range(order, -1, -1):
+        if k == order:
+            of, n = grams, counts
+        elif k == 2:
+            of, n = low
+        else:
+            of, n = tables[-1][0] & ((1 << 8 * (k + 1)) - 1), np.ones(len(tables[-1][0]), np.int64)
+        tables.append(summed(of, n))
+    levels: list[Level] = []
+    for k, (of, n) in enumerate(reversed(tables)):
+        levels.append(Level(k, of, n, levels[-1] if levels else None))
+    return levels
+
+
+def predicted(needed: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log10 probability of each needed gram."""
+    out, escaped, open_ = np.zeros(len(needed)), np.zeros(len(needed)), np.ones(len(needed), bool)
+    gone_total, gone_distinct = np.zeros(len(needed)), np.zeros(len(needed))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for level in reversed(levels):
+            at, there = found_at(level.contexts, (needed & level.mask) >> 8)
+            if not there.any():
+                continue
+            total, distinct = level.total[at] - gone_total, level.distinct[at] - gone_distinct
+            here = open_ & there & (distinct > 0)
+            g, met = found_at(level.grams, needed & level.mask)
+            met &= here
+            out[met] = escaped[met] + np.log10(2 * level.counts[g[met]] - 1) - np.log10(2 * total[met])
+            left = here & ~met
+            escaped[left] += np.log10(distinct[left]) - np.log10(2 * total[left])
+            open_ &= ~met
+            gone_total, gone_distinct = np.where(there, level.below[at], gone_total), np.where(there, level.distinct[at], gone_distinct)
+        out[open_] = escaped[open_] - np.log10(256 - gone_distinct[open_])
     return out
 
 
@@ -147,14 +206,70 @@ def blended(learned: np.ndarray, before: np.ndarray, same: np.ndarray) -> np.nda
     return out
 
 
-def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = 12 << 20) -> DataFrame:
+class Chances:
+    """Probabilities of grams, by an open hash table: a chunk asks for one at each of its bytes."""
+
+    def __init__(self, gram: np.ndarray, p: np.ndarray) -> None:
+        self.gram, self.p = gram, p
+        bits = max(4, (2 * len(gram)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.table = np.full(1 << bits, -1, np.int32)
+        todo, at = np.arange(len(gram)), self.slot(gram)
+        while len(todo):
+            free = self.table[at[todo]] < 0
+            self.table[at[todo[free]]] = todo[free]
+            todo = todo[self.table[at[todo]] != todo]
+            at[todo] = (at[todo] + 1) & self.last
+
+    def slot(self, gram: np.ndarray) -> np.ndarray:
+        return ((gram.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def of(self, needed: np.ndarray) -> np.ndarray:
+        """The probabilities of needed grams, all of which are there."""
+        at = self.slot(needed)
+        found = self.table[at]
+        wrong = np.flatnonzero(self.gram[found] != needed)
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & self.last
+            found[wrong] = self.table[at[wrong]]
+            wrong = wrong[self.gram[found[wrong]] != needed[wrong]]
+        return self.p[found]
+
+
+def distinct_of(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def chunked(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """docs (_id, text, learns) with chunk: consecutive texts of a partition of about so many bytes, whatever ids or texts are equal."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = pc.binary_length(plain(batch.column("text"))).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = held + np.cumsum(sizes) - sizes
+            held += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own + before // chunk_bytes)], [*batch.schema.names, "chunk"])
+
+    return docs.mapInArrow(number, f"_id {docs.schema['_id'].dataType.simpleString()}, text string, learns boolean, chunk long")
+
+
+def part_of(gram: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((((gram >> 8) & 0xFFFFFF) * SPREAD & 0xFFFFFFFF) >> 8) % n_parts
+
+
+def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = 24 << 20) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row's whole text; null texts count as empty.
 
     learns: the rows to learn from. Tokens are words and one end per text. base_score: add-one unigrams over tokens. score:
     log10 probability by partial matching, learned and adaptive. Words and grams are counted over all rows to learn from; each chunk of texts is
-    given the counts of its own words and the probabilities of its own grams, whatever the size of the whole vocabulary.
+    given the counts of its own words and the probabilities of its own grams, whatever the size of the whole vocabulary. Grams and
+    their probabilities travel as one list for each chunk and part of the trie; a part is copied for every ASKING chunks.
     """
-    rows = docs.select(F.col(id), F.col(text).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
+    rows = written(chunked(rows, chunk_bytes), "texts")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,73 +283,106 @@ def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     train_tokens, distinct_tokens, once = int(totals["n"]), int(totals["v"]), int(totals["once"])
 
+    top = counts.where(F.octet_length("word") <= COMMON_BYTES).orderBy(F.desc("n"), "word").limit(COMMON).toArrow().combine_chunks()
+    common, of_common = (top.column(c).combine_chunks() for c in ("word", "n"))
+    of_common = of_common.to_numpy(zero_copy_only=False).astype(float)
+
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for texts in slices(plain(batch.column("text")), SLICE):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(text_grams(texts, order), return_counts=True)], ["gram", "n"])
-
-    grams = rows.where("learns").select("text").mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = written(grams.withColumn("tail", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int")), "grams")
-    low: dict[int, dict[int, int]] = {}
-    for r in grams.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("g")).agg(F.sum("n").alias("n")).collect():
-        low.setdefault(r["g"] >> 8, {})[r["g"] & 255] = r["n"]
-        low.setdefault(-1, defaultdict(int))[r["g"] & 255] += r["n"]
-
-    n_chunks = chunk_count(rows, "text", chunk_bytes)
-    parts = rows.select(id, "text", chunk_of(n_chunks, id, "text").alias("chunk"))
-
-    def need(texts: pa.Table) -> pa.Table:
-        column = plain(texts.column("text"))
-        words, _ = lowered(column)
-        distinct = pa.concat_arrays([words.unique().cast(pa.binary()), pa.array([b""], pa.binary())])
-        own = np.unique(np.concatenate([np.unique(text_grams(part, order)) for part in slices(column, SLICE)]))
-        chunk = texts.column("chunk")[0].as_py()
-        nulls = lambda n, t: pa.nulls(n, t)
-        return pa.table([pa.array([chunk] * (len(distinct) + len(own)), pa.int32()), pa.concat_arrays([distinct, nulls(len(own), pa.binary())]), pa.concat_arrays([nulls(len(distinct), pa.int64()), pa.array(own)])], names=["chunk", "word", "gram"])
-
-    needs = written(parts.select("chunk", "text").groupBy("chunk").applyInArrow(need, "chunk int, word binary, gram long"), "needs")
+                held.append(counted_grams(texts, order))
+                n += len(held[-1][0])
+                if n > 4 * PART:
+                    held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    n = len(held[0][0])
+                    if n > 2 * PART:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["gram", "n"])
+                        n = 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed(*map(np.concatenate, zip(*held, strict=True)))], ["gram", "n"])
+
+    grams = written(rows.where("learns").select("text").mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    longer = grams.select(F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("g")).distinct()
+    got = longer.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).agg(F.count("*").alias("n")).toArrow()
+    low = (got.column("g").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.int64))
+    n_parts = int(grams.count() // PART) + 1
+    copies = rows.select("chunk").distinct().count() // ASKING + 1
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asked(chunk: int, words: list[pa.Array], own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            distinct = pa.concat_arrays([pa.chunked_array(words, pa.string()).unique().cast(pa.binary()), pa.array([b""], pa.binary())])
+            distinct = distinct.filter(pc.invert(pc.is_in(distinct, common)))
+            grams = distinct_of(np.concatenate(own))
+            part = part_of(grams, n_parts)
+            by = np.argsort(part, kind="stable")
+            grams, part = grams[by], part[by]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            lists = [grams[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(grams)), strict=True)]
+            n, m = len(distinct), len(lists)
+            columns = [pa.array(np.full(n + m, chunk)), pa.concat_arrays([distinct, pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(part[starts].astype(np.int32))]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(lists, pa.binary())])]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "word", "part", "grams"])
+
+        last, words, own = None, [], []
+        for batch in batches:
+            chunk, texts = batch.column("chunk").to_numpy(zero_copy_only=False), plain(batch.column("text"))
+            for at, to in zip((starts := np.flatnonzero(np.diff(chunk, prepend=-1))), np.append(starts[1:], len(chunk)), strict=True):
+                if last is not None and chunk[at] != last:
+                    yield from asked(last, words, own)
+                    words, own = [], []
+                last = int(chunk[at])
+                for part in slices(texts.slice(at, to - at), SLICE):
+                    words.append(lowered(part)[0].unique())
+                    own.append(counted_grams(part, order)[0])
+        if last is not None:
+            yield from asked(last, words, own)
+
+    needs = written(rows.select("chunk", "text").mapInArrow(need, "chunk long, word binary, part int, grams binary"), "needs")
 
     def predict(wanted: pa.Table, learned: pa.Table) -> pa.Table:
-        needed = np.sort(wanted.column("gram").combine_chunks().to_numpy(zero_copy_only=False))
+        lists = [np.frombuffer(x.as_py(), np.int64) for x in wanted.column("grams")]
+        needed = distinct_of(np.concatenate([np.zeros(0, np.int64), *lists]))
         of = lambda c: learned.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        return pa.table([pa.array(needed), pa.array(predicted(needed, of("gram"), of("n"), low, order))], names=["gram", "p"])
-
-    wanted = needs.where("gram is not null").select("gram").distinct().withColumn("tail", F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).cast("int"))
-    chances = written(wanted.groupBy("tail").cogroup(grams.groupBy("tail")).applyInArrow(predict, "gram long, p double"), "chances")
-    no_word, no_gram = F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("gram")
-    known = needs.where("word is not null").select("chunk", "word").join(counts, "word").select("chunk", "word", no_gram, F.col("n").cast("double").alias("x"))
-    chance = needs.where("gram is not null").select("chunk", "gram").join(chances, "gram").select("chunk", no_word, "gram", F.col("p").alias("x"))
+        p = predicted(needed, trie(of("gram"), of("n"), low, order)).astype(np.float32) if len(needed) else np.zeros(0, np.float32)
+        return pa.table([wanted.column("chunk"), wanted.column("grams"), pa.array([p[np.searchsorted(needed, x)].tobytes() for x in lists], pa.binary())], names=["chunk", "grams", "p"])
+
+    tail = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
+    own_part = (F.shiftright((tail * SPREAD).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % n_parts).cast("int")
+    there = grams.select("gram", "n", own_part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    wanted = needs.where("grams is not null").select("chunk", "grams", "part", F.pmod(F.xxhash64("chunk"), F.lit(copies)).cast("int").alias("copy"))
+    chance = wanted.groupBy("part", "copy").cogroup(there.groupBy("part", "copy")).applyInArrow(predict, "chunk long, grams binary, p binary")
+    known = needs.where("word is not null").select("chunk", "word").join(counts, "word")
+    facts = known.select("chunk", "word", "n", *[F.lit(None).cast("binary").alias(c) for c in ("grams", "p")]).unionByName(chance.select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"), "grams", "p"))
+    names = ["_id", "n_tokens", "n_known", "base_score", "score"]
 
     def add_up(texts: pa.Table, facts: pa.Table) -> pa.Table:
         if not texts.num_rows:
-            return pa.table([pa.array([], f.type) for f in (texts.schema.field(id), *[pa.field("", t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())])], names=names)
-        facts = facts.combine_chunks()
+            return pa.table([pa.array([], t) for t in (texts.schema.field("_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         is_word = pc.is_valid(facts.column("word"))
-        own, value = facts.filter(is_word), facts.filter(pc.invert(is_word))
-        gram, p = (value.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("gram", "x"))
-        order_of = np.argsort(gram)
-        gram, p = gram[order_of], p[order_of]
-        of_word = own.column("x").combine_chunks().to_numpy(zero_copy_only=False)
+        own, lists = facts.filter(is_word), facts.filter(pc.invert(is_word))
+        gram, p = (np.concatenate([np.zeros(0, kind), *[np.frombuffer(x.as_py(), kind) for x in lists.column(c)]]) for c, kind in (("grams", np.int64), ("p", np.float32)))
+        gram, first = np.unique(gram, return_index=True)
+        chances = Chances(gram, p[first].astype(float))
+        of_word = np.concatenate([own.column("n").combine_chunks().to_numpy(zero_copy_only=False).astype(float), of_common])
+        own_words = pa.concat_arrays([*own.column("word").chunks, common])
         n_tokens, n_known, base, total = [], [], [], []
 
-        for part in slices(plain(texts.column("text")), SLICE):
+        for part in slices(plain(texts.column("text"))):
             words, offsets = lowered(part)
             distinct, which = coded(words)
             distinct = pa.concat_arrays([distinct.cast(pa.binary()), pa.array([b""], pa.binary())])
             which, offsets = with_ends(which, offsets, len(distinct) - 1)
-            at = pc.index_in(distinct, own.column("word").combine_chunks())
+            at = pc.index_in(distinct, own_words)
             count = np.where(at.is_valid().to_numpy(zero_copy_only=False), np.append(of_word, 0)[at.fill_null(len(of_word)).to_numpy(zero_copy_only=False)], 0)[which]
-            needed, to = word_grams(distinct.take(pa.array(which)), order)
-            by_bytes = sums(p[np.searchsorted(gram, needed)], to)
+            by_bytes = np.concatenate([sums(chances.of(g), to) for g, to in gram_blocks(distinct, which, order)])
             learned = switched(with_whole(by_bytes, count, train_tokens, once), by_bytes, offsets)
             n = np.diff(offsets)
             n_tokens.append(n)
             n_known.append(sums((count > 0).astype(np.int64), offsets))
             base.append(sums(np.log10(count + 1), offsets) - n * math.log10(train_tokens + distinct_tokens + 1))
             total.append(sums(blended(learned, *times_before(which, offsets)), offsets))
-        return pa.table([texts.column(id), *[pa.array(np.concatenate(x)) for x in (n_tokens, n_known, base, total)]], names=names)
+        return pa.table([texts.column("_id"), *[pa.array(np.concatenate(x)) for x in (n_tokens, n_known, base, total)]], names=names)
 
-    names = [id, "n_tokens", "n_known", "base_score", "score"]
-    schema = f"`{id}` {rows.schema[id].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
-    out = parts.groupBy("chunk").cogroup(known.unionByName(chance).groupBy("chunk")).applyInArrow(add_up, schema)
-    return out.select(id, "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    schema = f"_id {rows.schema['_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double"
+    out = rows.select("_id", "text", "chunk").groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInArrow(add_up, schema)
+    return out.select(F.col("_id").alias(id), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

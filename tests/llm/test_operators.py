@@ -246,6 +246,8 @@ def test_ppm_is_a_distribution():
     assert np.allclose(10 ** ppm.predicted(np.arange(256), ppm.trie(nothing, nothing, (nothing, nothing), 3)), 1 / 256)
     which = rng.integers(0, len(some), 400)
     whole, to = ppm.word_grams(some.take(pa.array(which)), 3)
+    own = np.unique(whole)
+    assert (ppm.Chances(own, np.arange(len(own))).of(whole) == np.searchsorted(own, whole)).all()
     blocks = list(ppm.gram_blocks(some, which, 3, block=7))
     assert np.concatenate([g for g, _ in blocks]).tolist() == whole.tolist() and np.concatenate([np.diff(t) for _, t in blocks]).tolist() == np.diff(to).tolist()
 
@@ -325,7 +327,7 @@ def test_ppm_scores(docs, empty, chunk):
         assert got[i]["n_tokens"] == len(tokens) and got[i]["n_known"] == sum(c[w] > 0 for w in tokens) and got[i]["train_tokens"] == n
         assert abs(got[i]["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens)) < 1e-6
         if len(tokens) < 200 and max(map(len, tokens)) < 90:
-            assert abs(got[i]["score"] - model.score(split(t))) < 1e-6, i
+            assert abs(got[i]["score"] - model.score(split(t))) < 1e-4, i
     assert ppm.score(empty, F.lit(True)).count() == 0
 
 
