@@ -64,8 +64,7 @@ class LanguageModel:
         is above what is typical of the language; null where there is no such word. Null texts, texts without a letter and
         models of no language give und and 0.
         """
-        model = self
-        langs = self.langs
+        model, tools, langs = self, self.tools(), self.langs
         typical = np.array(self.typical or [(0.0, 1.0)] * len(langs)).reshape(-1, 2)
 
         @F.arrow_udf(PREDICTED)
@@ -74,7 +73,7 @@ class LanguageModel:
             for part in slices(plain(texts), SLICE):
                 letters = pc.match_substring_regex(part, r"\pL").to_numpy(zero_copy_only=False)
                 if langs:
-                    total, of_plain, n_bytes = model.logarithms(part)
+                    total, of_plain, n_bytes = model.logarithms(part, *tools)
                     top = total.argmax(1)
                     posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                     per_byte = of_plain[np.arange(len(top)), top] / np.maximum(1, n_bytes)
@@ -90,12 +89,15 @@ class LanguageModel:
 
         return score.asNondeterministic()(text)
 
-    def logarithms(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tools(self) -> tuple[P.DoubleArray, np.ndarray, np.ndarray]:
+        """Trie, byte pieces and widths of pieces, made on the driver: executors need not have the vocabulary's file."""
+        vocabulary = P.vocabulary(self.path)
+        return P.trie(self.path), np.array(vocabulary.byte_ids), np.array([len(p) or 1 for p in vocabulary.pieces])
+
+    def logarithms(self, texts: pa.Array, tree: P.DoubleArray, byte_ids: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Natural logarithms (text, language) of the sums over all segmentations; the same over words with a letter and no digit, and
         the bytes of these, as numbers and keys tell little of how well a language fits.
         """
-        tree, vocabulary = P.trie(self.path), P.vocabulary(self.path)
-        byte_ids, widths = np.array(vocabulary.byte_ids), np.array([len(p) or 1 for p in vocabulary.pieces])
         words, offsets = split(texts)
         distinct, which = coded(words)
         table = np.zeros((len(distinct), len(self.langs)))
@@ -156,12 +158,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang
         n += 0.01 * usable[:, None]
         chance = n / n.sum(0)
     model = LanguageModel(langs, chance, path)
+    tools = model.tools()
 
     def per_byte(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, at = np.array([langs.index(x) for x in batch.column("lang").to_pylist()], np.int64), 0
             for part in slices(plain(batch.column("text")), SLICE):
-                _, total, n_bytes = model.logarithms(part)
+                _, total, n_bytes = model.logarithms(part, *tools)
                 lang = own[at : at + len(part)]
                 some = n_bytes > 0
                 x = total[np.arange(len(part)), lang][some] / n_bytes[some]
