@@ -75,20 +75,16 @@ def cell_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vector
         live = np.flatnonzero(length_q * length[part[0]] + slack >= bar)
         if not len(live):
             break
-        if at == 0:
-            rows, cols = np.divmod(np.arange(len(live) * len(part)), len(part))
-            scores = products(queries[live], vectors[part]).ravel()
+        bound = turned_q[live, :partial] @ turned[part, :partial].T + rest_q[live, None] * rest[None, part]
+        rows, cols = np.nonzero(bound + slack[live, None] >= bar[live, None])
+        if 64 * len(rows) > bound.size:  # a whole product is cheaper than so many single ones
+            scores = products(queries[live], vectors[part])[rows, cols]
         else:
-            bound = turned_q[live, :partial] @ turned[part, :partial].T + rest_q[live, None] * rest[None, part]
-            rows, cols = np.nonzero(bound + slack[live, None] >= bar[live, None])
-            if 8 * len(rows) > bound.size:
-                scores = products(queries[live], vectors[part])[rows, cols]
-            else:
-                a, b = queries[live[rows]], vectors[part[cols]]
-                large = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1] >= 2**63
-                scores = np.clip((a.astype(object) * b.astype(object)).sum(1), -(2**63), 2**63 - 1).astype(np.int64) if large and len(a) else (a * b).sum(1)
+            a, b = queries[live[rows]], vectors[part[cols]]
+            large = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * vectors.shape[1] >= 2**63
+            scores = np.clip((a.astype(object) * b.astype(object)).sum(1), -(2**63), 2**63 - 1).astype(np.int64) if large and len(a) else (a * b).sum(1)
         rows = live[rows]
-        ok = ids[part[cols]] != query_ids[rows]
+        ok = (ids[part[cols]] != query_ids[rows]) & (scores >= bar[rows] - slack[rows])
         rows, found, scores = rows[ok], ids[part[cols[ok]]], scores[ok]
         seen = np.flatnonzero(filled > 0)
         rows = np.concatenate([rows, np.repeat(seen, filled[seen])])
@@ -148,7 +144,7 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec
             for at in range(0, len(ids), 512):
                 scores = products(own[at : at + 512], long_vectors).astype(float)
                 scores[ids[at : at + 512, None] == long_ids[None, :]] = -np.inf
-                kept = np.sort(scores, axis=1)[:, ::-1][:, k - 1] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
+                kept = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), -np.inf)
                 found.append(np.where(np.isfinite(kept), kept - np.abs(kept) * 1e-12, np.nan))
             bar = pa.array(np.concatenate(found or [np.zeros(0)]), from_pandas=True)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("length"), bar], ["id", "v", "length", "bar"])
@@ -180,8 +176,7 @@ def top_products(vectors: DataFrame, queries: Column, k: int = 5, id: str = "vec
         of = lambda t, c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
         query_ids, ids, number, least = of(left, "id"), of(right, "id"), of(left, "number"), np.nan_to_num(of(left, "bar"), nan=-np.inf)
         asking, there, out = matrix(left.column("v"), width), matrix(right.column("v"), width), []
-        for at in range(0, len(asking), TILE):
-            own = slice(at, at + TILE)
+        for own in np.array_split(np.arange(len(asking)), max(1, round(len(asking) / TILE))):
             q, found, score = cell_top(query_ids[own], asking[own], ids, there, rotation, k, least[own])
             out.append(pa.table([query_ids[own][q], number[own][q], found, score], schema=answer))
         return pa.concat_tables(out)
