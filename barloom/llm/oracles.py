@@ -43,3 +43,22 @@ b AS (SELECT *, {BITS} AS bits FROM s) SELECT page_id, CAST(payload_bytes AS BIG
 TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s) SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({LOWERED}, '{WORDS}'), []) AS x FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 5 THEN [array_to_string(x, ' ')] ELSE list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' ')) END)) AS g FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS c, g, len(g) AS n FROM s WHERE len(g) > 0 GROUP BY g),
+t AS MATERIALIZED (SELECT c, n, unnest(g) AS t FROM c),
+o AS (SELECT a.c AS a, b.c AS b, count(*) AS n_both, any_value(a.n) + any_value(b.n) AS size FROM t a JOIN t b ON a.t = b.t AND a.c < b.c AND b.n * 100 >= a.n * 80 AND a.n * 100 >= b.n * 80 GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM o WHERE 100 * n_both >= 80 * (size - n_both) UNION ALL SELECT b, a FROM o WHERE 100 * n_both >= 80 * (size - n_both)),
+r(c, reached) AS (SELECT c, c FROM c UNION SELECT r.c, e.b FROM r JOIN e ON r.reached = e.a),
+m AS (SELECT c, min(reached) AS component_id FROM r GROUP BY c)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN m ON m.c = c.c"""
+
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH_SQL = f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '{TERMS}')) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM d),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p CROSS JOIN c GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all({LOWERED}, '{TERMS}')) AS term FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // l)))) AS BIGINT) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (doc_id) CROSS JOIN c GROUP BY ALL),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0) SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""

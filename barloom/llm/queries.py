@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, oracles, ppm, quality_rules, secret_scan, simhash, suffix_dedup, topk, unigram, warc
+from . import jaccard, language, lexical, mixing, oracles, ppm, quality_rules, secret_scan, simhash, suffix_dedup, topk, unigram, variants, warc
 from .shared import held_out, written
 
 
@@ -75,11 +75,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language, op3_mixing, op4_warc, op5_topk, op6_ppm, op7_sentencepiece, op8_quality_rules, op9_simhash, op10_suffix_dedup)}
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_language, op3_mixing, op4_warc, op5_topk, op6_ppm, op7_sentencepiece, op8_quality_rules, op9_simhash, op10_suffix_dedup, op11_jaccard, op12_variants, op13_search)}
 
 #: The other operators use hashes, models or byte positions that SQL lacks; tests hold their queries against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": oracles.mixing_sql(MIX.weights, MIX.levels, DOMAIN, MIX.budget, MIX.epochs, MIX.seed),
     "op4_warc": oracles.WARC_SQL,
     "op5_topk": oracles.TOPK_SQL,
+    "op11_jaccard": oracles.JACCARD_SQL,
+    "op13_search": oracles.SEARCH_SQL,
 }

@@ -57,6 +57,40 @@ def raw(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+#: Bytes with A-Z lowered.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
+
+def runs_of(texts: pa.Array, inside: np.ndarray, lead: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, text) of the maximal runs of bytes for which inside is true, none across texts: the runs' bytes end to end,
+    with A-Z lowered, their offsets, and the number of each one's text. Bytes that continue a character that begins with lead
+    belong to runs too.
+    """
+    data, ends = raw(texts)
+    mask = inside[data]
+    if lead is not None and len(data):
+        mask[1:] |= (data[:-1] == lead) & (data[1:] >> 6 == 2)
+    begins = mask.copy()
+    begins[1:] &= ~mask[:-1]
+    first = ends[:-1][np.diff(ends) > 0]
+    begins[first] = mask[first]
+    starts = np.flatnonzero(begins)
+    offsets = np.append(np.cumsum(mask)[starts] - 1, mask.sum())
+    return LOWER[data[mask]], offsets, np.searchsorted(ends, starts, "right") - 1
+
+
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """An Arrow array of the byte strings between consecutive offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): for each row, all places from its start on, as many as its size."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of rows of values between consecutive offsets; 0 where there is none."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
