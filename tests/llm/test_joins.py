@@ -178,7 +178,7 @@ def test_variants(spark, docs, monkeypatch):
     assert any(x[1] for x in want) and any(x[2] != x[0] and x[2] != x[1] for x in want) and len(want) > 100
     monkeypatch.setattr(variants, "SHARD", 17)
     monkeypatch.setattr(variants, "STATES", 100)
-    assert key(as_rows(variants.spelling_variants(df, modulus=3))) == key(brute_variants(rows, 3))
+    assert key(as_rows(variants.spelling_variants(df, modulus=29))) == key(brute_variants(rows, 29))
     assert variants.spelling_variants(docs.limit(0)).count() == 0
     variants.spelling_variants(docs).collect()
 
@@ -199,7 +199,7 @@ def brute_search(rows, items, k=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [lexical.BLOCK, 20])
+@pytest.mark.parametrize("block", [lexical.BLOCK, 150])
 def test_search(spark, docs, block, monkeypatch):
     rng = np.random.default_rng(4)
     words = [f"t{i}" for i in range(80)] + ["été", "Ünï", "漢字"]
