@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -62,15 +63,32 @@ PLACEHOLDER = 40
 WORD = re.compile("[A-Za-z0-9]+")
 
 
-def free(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of start to end that no taken span covers."""
-    parts = []
-    for a, b in sorted(taken):
-        if a < end and b > start:
-            if a > start:
-                parts.append((start, a))
-            start = b
-    return [*parts, (start, end)] if start < end else parts
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, with overlapping and touching ones made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def free(runs: Iterable[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of runs that no taken span covers. Both are in order and apart, so each is passed once."""
+    k = 0
+    for start, end in runs:
+        while k < len(taken) and taken[k][1] <= start:
+            k += 1
+        j = k
+        while j < len(taken) and taken[j][0] < end:
+            if taken[j][0] > start:
+                yield start, taken[j][0]
+            start = max(start, taken[j][1])
+            j += 1
+        k = max(k, j - 1)
+        if start < end:
+            yield start, end
 
 
 def turns(a: str, b: str) -> bool:
@@ -156,19 +174,23 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         found = [(kind, m.start(), m.end()) for kind, pattern, group, least in BASE for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-        base = sorted((s, e) for _, s, e in found)
+        base, at = merged([(s, e) for _, s, e in found]), 0
         for m in self.candidate.finditer(text):
-            taken = [x for x in base if x[0] < m.end() and x[1] > m.start()] if base else []
-            taken += [(s + m.start(), e + m.start()) for s, e in self.excused(m[0])]
+            while at < len(base) and base[at][1] <= m.start():
+                at += 1
+            to = at
+            while to < len(base) and base[to][0] < m.end():
+                to += 1
+            taken = merged(base[at:to] + [(s + m.start(), e + m.start()) for s, e in self.excused(m[0])])
             for kind in self.classes:
-                own = []
-                for run in self.runs[kind.name].finditer(m[0]):
-                    for start, end in free(m.start() + run.start(), m.start() + run.end(), taken):
-                        if end - start >= kind.window:
-                            part = text[start:end]
-                            own += [(s + start, e + start) for s, e in whole(part, windows_over(part, kind, self.log))]
+                own: list[tuple[int, int]] = []
+                runs = ((m.start() + run.start(), m.start() + run.end()) for run in self.runs[kind.name].finditer(m[0]))
+                for start, end in free(runs, taken):
+                    if end - start >= kind.window:
+                        part = text[start:end]
+                        own += [(s + start, e + start) for s, e in whole(part, windows_over(part, kind, self.log))]
                 found += [(kind.name, s, e) for s, e in own]
-                taken += own
+                taken = merged(taken + own) if own else taken
         return sorted(found, key=lambda x: (x[1], self.rank[x[0]], x[2]))
 
 

@@ -48,8 +48,10 @@ class Scheme:
 
     @staticmethod
     def wide(shingle: int, words: int, radius: int, band: int = 16) -> Scheme:
-        """Many words; a pair meets if it agrees in one of the bands of so many bits."""
-        return Scheme(shingle, words, radius, tuple((w, ((1 << band) - 1) << at) for w in range(words) for at in range(0, 65 - band, band)))
+        """Many words; a pair meets if it agrees in one of the bands of so many bits, side by side or spread evenly over a word."""
+        near = [((1 << band) - 1) << at for at in range(0, 65 - band, band)]
+        spread = [sum(1 << at for at in range(k, 64, 64 // band)) for k in range(64 // band)]
+        return Scheme(shingle, words, radius, tuple((w, mask) for w in range(words) for mask in near + spread))
 
 
 EXACT = Scheme.exact()

@@ -44,3 +44,20 @@ def test_memory(name, kind):
     assert done.returncode == 0, done.stderr
     more, size = map(float, done.stdout.split())
     assert more <= 64 + 40 * size, (more, size)
+
+
+def test_many_secrets():
+    """Time grows with the text: 4 MB of assignments, and of keys in one long string, are scanned in a few times the time of 1 MB."""
+    import time
+
+    from barloom.llm.secret_scan import Scanner
+
+    scanner = Scanner()
+    for line in ("password=abcdefgh00000000 ", "aB3dE5fG7hI9jK1lM2nO4pQ6/example/", "token=aB3dE5fG7hI9jK1lM2nO4pQ6 and " + "0f" * 20 + "."):
+        took = []
+        for size in (1 << 18, 1 << 20):
+            text = line * (size // len(line))
+            began = time.process_time()
+            assert len(scanner.spans(text)) >= size // len(line)
+            took.append(time.process_time() - began)
+        assert took[1] <= 8 * took[0] + 1, (line, took)
