@@ -12,12 +12,18 @@ PLAIN = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]", "yyyy-MM-dd'T'HH:mm
 INTERVAL_CODES = {"1M": 1, "10M": 10, "1H": 60, "1D": 24}
 
 
+def utc_clock(instant: Column) -> Column:
+    """The UTC wall-clock time of an instant, whatever the session's zone: counted from 1970 on, so no hour is skipped or doubled."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.expr("timestamp_ntz'1970-01-01'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def flexible_time(text: str | Column) -> Column:
     """UTC wall-clock time of a text in any of the layouts; texts without a zone are UTC. Null where none fits."""
     t = F.trim(text)
-    zoned = [F.to_timestamp_ntz(F.date_format(F.try_to_timestamp(t, F.lit(p)), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")) for p in ZONED]
-    plain = [F.try_to_timestamp(t, F.lit(p)).cast("timestamp_ntz") for p in PLAIN]
-    return F.coalesce(*zoned, *plain)
+    zoned = [F.try_to_timestamp(t, F.lit(p)) for p in ZONED]
+    plain = [F.try_to_timestamp(F.concat(t, F.lit("Z")), F.lit(f"{p}XXX")) for p in PLAIN]
+    return utc_clock(F.coalesce(*zoned, *plain))
 
 
 def timeframe_interval(timeframe: str | Column) -> Column:

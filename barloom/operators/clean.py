@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import no_nan, timeframe_interval
-from ..session import PRICES, SERIES
+from ..session import INGESTED, PRICES, SERIES
 
 #: Other names of columns, after lowering and trimming.
 SYNONYMS = {"timestamp": "begin", "datetime": "begin", "time": "begin", "date": "begin", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vol": "volume", "tic": "ticker", "symbol": "ticker", "tf": "timeframe", "interval": "timeframe"}
@@ -99,11 +99,17 @@ def drop_missing(df: DataFrame) -> DataFrame:
 def clean_candles(df: DataFrame, drop: bool = True, order: tuple[str, ...] | None = None) -> DataFrame:
     """Last of duplicates, then invalid rows out (or flagged), then rows with missing values out. In this order: a bad copy that
     came last takes the place of a good one.
+
+    Last is by the given columns; else by where `load_candles` found a row, so that what was stored later wins; else by the
+    rows' order in the table. Where it was found is not handed on.
     """
+    order = order or ((INGESTED,) if INGESTED in df.columns else None)
     if order:
         df = dedup_keep_last(df, order=order)
+    else:
+        df = dedup_keep_last(df.withColumn("_place", F.monotonically_increasing_id()), order=("_place",)).drop("_place")
     df = df.where(~invalid()) if drop else df.withColumn("invalid", invalid())
-    return drop_missing(df)
+    return drop_missing(df).drop(INGESTED)
 
 
 def batch_violations(df: DataFrame, batch: tuple[str, ...] = ()) -> DataFrame:
@@ -125,6 +131,35 @@ def batch_violations(df: DataFrame, batch: tuple[str, ...] = ()) -> DataFrame:
     return df.withColumn("violations", F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in found]), lambda x: x.isNotNull()))
 
 
+def gated(df: DataFrame, batch: tuple[str, ...], row: str = "row") -> DataFrame:
+    """df with rejected_row and rejected_rule, the first violation of a row's batch; both are null where the batch is fit.
+
+    Rows are looked at in the order of the column row, each for all of its own faults; if there is none, in order of begin, each
+    against the batch's first candle and the one before. row counts from 0 within a batch; in the second look the place by begin
+    is told. A missing price or volume counts as 0. A batch, which is what one request stores, is put in order within one task.
+    """
+    w = Window.partitionBy(*batch).orderBy("begin", row)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    own = [
+        (F.col("begin").isNull(), "no begin"),
+        (F.least(*[zero(c) for c in PRICES]) <= 0, "price not positive"),
+        (zero("high") < zero("low"), "high below low"),
+        (zero("volume") <= 0, "volume not positive"),
+    ]
+    second = F.date_trunc("second", F.col("begin"))
+    others = [
+        (~F.first("ticker").over(w).eqNullSafe(F.col("ticker")), "several tickers"),
+        (~F.first("timeframe").over(w).eqNullSafe(F.col("timeframe")), "several timeframes"),
+        (F.lag(second).over(w) == second, "duplicate begin"),
+        (F.lag("end").over(w) > F.col("begin"), "overlaps the candle before"),
+    ]
+    first_of = lambda rules: F.coalesce(*[F.when(c, F.lit(m)) for c, m in rules])
+    looks = df.withColumns({"_own": first_of(own), "_other": first_of(others), "_at": F.row_number().over(w).cast("long") - 1})
+    fault = F.coalesce(F.when(F.col("_own").isNotNull(), F.struct(F.lit(1).alias("look"), F.col(row).cast("long").alias("at"), F.col("_own").alias("rule"))), F.when(F.col("_other").isNotNull(), F.struct(F.lit(2).alias("look"), F.col("_at").alias("at"), F.col("_other").alias("rule"))))
+    found = looks.withColumn("_first", F.min(fault).over(Window.partitionBy(*batch)))
+    return found.withColumns({"rejected_row": F.col("_first.at"), "rejected_rule": F.col("_first.rule")}).drop("_own", "_other", "_at", "_first")
+
+
 def mixed_batches(df: DataFrame, batch: tuple[str, ...]) -> DataFrame:
     """Batches that hold more than one ticker or timeframe."""
     return df.groupBy(*batch).agg(F.countDistinct("ticker").alias("tickers"), F.countDistinct("timeframe").alias("timeframes")).where("tickers > 1 or timeframes > 1")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 ACCURACY = 10_000
 
 
@@ -13,9 +15,9 @@ def exact_quantiles(df: DataFrame, value: str, shares: tuple[float, ...], keys:
 
     A sketch, whose ranks are off by a share of 1 / accuracy at most, gives each quantile a lower and an upper bound. One pass
     counts the values below the bounds and, by distinct value, those within, which are some 4 / accuracy of all; only these are
-    put in order. Null values count for nothing; keys must be known.
+    put in order. Null values count for nothing; keys must be known. Keys and values are written down once, since all of this reads them.
     """
-    known = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    known = stored(df.select(*keys, F.col(value).cast("double").alias("_v")), "values")
     off = 2.0 / accuracy
     at = lambda move: F.array(*[F.lit(min(1.0, max(0.0, s + move))) for s in shares])
     rough = known.groupBy(*keys).agg(

@@ -5,9 +5,11 @@ Numbers are rounded on both sides, since results are compared by hash; counts ar
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
@@ -23,7 +25,8 @@ from ..operators import windows as V
 from ..session import CANDLE_COLUMNS, PRICES, SERIES, scratch, stored
 from ..sources import blocks as B
 from ..sources.files import bars_daily, bars_hourly, load_candles, load_predictions, union_by_name
-from ..sources.sinks import append_predictions, probability_columns, save_candles, write_csv
+from ..sources.sinks import append_predictions, probability_columns, save_candles, save_pages, write_csv
+from . import routes as R
 from . import train as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,7 +303,7 @@ TOKENS = f"{EDGES}, tk AS (SELECT mv.*, CASE WHEN move IS NULL OR edges IS NULL
 
 def moved(spark: SparkSession, d: str) -> DataFrame:
     keys = T.SPLIT_KEYS
-    frame = W.with_indicators(S.time_split(hourly(spark, d), least_train=LEAST).where("split is not null"), keys)
+    frame = stored(W.with_indicators(S.time_split(hourly(spark, d), least_train=LEAST).where("split is not null"), keys), "indicators")
     return frame.withColumns({"move": L.forward_move(1, keys), "forward_return": L.forward_return(1, keys)})
 
 
@@ -787,3 +790,122 @@ def q_stream_outcomes(spark: SparkSession, d: str) -> DataFrame:
     said = rows.select("ticker", F.col("begin").alias("timestamp"), (F.hour("begin") % 7).alias("prediction"), "close")
     found = finished(ST.outcome_stream(said, ST.candle_stream(spark, f"{at}/in"), 3, "100 days"), at, "outcomes")
     return found.select("ticker", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "prediction", r("actual_return"))
+
+
+# Batches that are stored, again and overlapping, or rejected -----------------------------------------------------------
+
+SCALED = ", ".join(f"{c} * f AS {c}" for c in PRICES)
+#: Bars stored once, again at 1.01 of their prices, and the later half once more at 1.02.
+RESTORED = f"""{BARS}, mid AS (SELECT min("begin") + (max("begin") - min("begin")) / 2 AS half FROM bars), scaled AS (SELECT bars.*, CASE WHEN "begin" >= half THEN 1.02 ELSE 1.01 END::DOUBLE AS f FROM bars CROSS JOIN mid),
+ restored AS (SELECT ticker, timeframe, "begin", "end", {SCALED}, volume, value, source FROM scaled)"""
+
+
+def restored(spark: SparkSession, d: str) -> DataFrame:
+    """All that is in the store afterwards, copies too."""
+    at, b = scratch(spark, "again"), stored(bars_hourly(spark, d), "bars")
+    ends = b.agg(F.min("begin").alias("a"), F.max("begin").alias("b"))
+    late = b.join(F.broadcast(ends)).where(F.col("begin") >= F.col("a") + (F.col("b") - F.col("a")) / 2).drop("a", "b")
+    for rows, f in ((b, 1.0), (b, 1.01), (late, 1.02)):
+        save_candles(rows.withColumns({c: F.col(c) * f for c in PRICES}), at)
+    return load_candles(spark, at)
+
+
+@query(f"""WITH {RESTORED} SELECT ticker, "begin", {', '.join(rr(c, 4) for c in PRICES)}, copies FROM restored JOIN (SELECT "begin", CASE WHEN "begin" >= half THEN 2 ELSE 1 END::BIGINT AS copies FROM (SELECT DISTINCT "begin" FROM bars) CROSS JOIN mid) USING ("begin") WHERE NOT ({INVALID})""")
+def q_stored_again(spark: SparkSession, d: str) -> DataFrame:
+    """A batch stored again replaces itself; of overlapping batches the candle stored last is kept by cleaning."""
+    rows = stored(restored(spark, d), "restored")
+    copies = rows.groupBy("ticker", "begin").agg(F.count("*").alias("copies"))
+    return C.clean_candles(rows).join(copies, ["ticker", "begin"]).select(*IDS, *[r(c, 4) for c in PRICES], "copies")
+
+
+AGAIN = f"WITH {RESTORED}, {GOOD.replace('FROM bars', 'FROM restored')}, {indicators_sql()}"
+
+
+@query(f"{AGAIN} SELECT {SQL_IDS}, {', '.join(rr(c) for c in ('return_1', 'return_3', 'rolling_volatility', 'ema_20_distance', 'volume_ratio'))} FROM ind")
+def q_stored_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """Indicators of what was stored more than once: a copy is no candle of its own."""
+    return W.with_indicators(C.clean_candles(restored(spark, d))).select(*IDS, *[r(c) for c in ("return_1", "return_3", "rolling_volatility", "ema_20_distance", "volume_ratio")])
+
+
+#: One batch a ticker and day, with a fault that hangs on the day: none, a price, high below low, no volume, an overlap, a second begin, a ticker.
+SPOILED = f"""{BARS}, numbered AS (SELECT ticker AS batch, CAST("begin" AS DATE) AS day, CAST(row_number() OVER (PARTITION BY ticker, CAST("begin" AS DATE) ORDER BY "begin" DESC) - 1 AS BIGINT) AS nr, dayofmonth("begin") % 7 AS k, hour("begin") AS h, * FROM bars),
+ spoiled AS (SELECT batch, day, nr, CASE WHEN k = 6 AND h = 15 THEN 'OTHER' ELSE ticker END AS ticker, timeframe, CASE WHEN k = 5 AND h = 13 THEN "begin" - INTERVAL 1 HOUR ELSE "begin" END AS "begin", CASE WHEN k = 4 AND h = 11 THEN "end" + INTERVAL 90 MINUTE ELSE "end" END AS "end",
+ CASE WHEN k = 1 AND h IN (5, 8) THEN -open ELSE open END AS open, CASE WHEN k = 2 AND h = 7 THEN low - 1 ELSE high END AS high, low, CASE WHEN k = 1 AND h = 6 THEN NULL ELSE close END AS close, CASE WHEN k = 3 AND h = 9 THEN 0 ELSE volume END AS volume, value, source FROM numbered)"""
+GATED = f"""{SPOILED}, looked AS (SELECT *, CASE WHEN "begin" IS NULL THEN 'no begin' WHEN least(coalesce(open, 0), coalesce(high, 0), coalesce(low, 0), coalesce(close, 0)) <= 0 THEN 'price not positive' WHEN high < low THEN 'high below low' WHEN coalesce(volume, 0) <= 0 THEN 'volume not positive' END AS own,
+ CASE WHEN first_value(ticker) OVER w <> ticker THEN 'several tickers' WHEN first_value(timeframe) OVER w <> timeframe THEN 'several timeframes' WHEN lag("begin") OVER w = "begin" THEN 'duplicate begin' WHEN lag("end") OVER w > "begin" THEN 'overlaps the candle before' END AS other, row_number() OVER w - 1 AS spot
+ FROM spoiled WINDOW w AS (PARTITION BY batch, day ORDER BY "begin", nr)),
+ verdict AS (SELECT batch, day, min(nr) FILTER (WHERE own IS NOT NULL) AS own_row, arg_min(own, nr) FILTER (WHERE own IS NOT NULL) AS own_rule, min(spot) FILTER (WHERE other IS NOT NULL) AS other_row, arg_min(other, spot) FILTER (WHERE other IS NOT NULL) AS other_rule, count(*) AS n FROM looked GROUP BY batch, day)"""
+
+
+def spoiled(spark: SparkSession, d: str) -> DataFrame:
+    c, day = F.col, F.to_date("begin")
+    b = bars_hourly(spark, d).withColumns({"batch": c("ticker"), "day": day, "k": F.dayofmonth("begin") % 7, "h": F.hour("begin")})
+    b = b.withColumn("nr", F.row_number().over(Window.partitionBy("batch", "day").orderBy(F.desc("begin"))).cast("long") - 1)
+    at = lambda k, *hours: (c("k") == k) & c("h").isin(*hours)
+    return b.select(
+        "batch", "day", "nr", F.when(at(6, 15), "OTHER").otherwise(c("ticker")).alias("ticker"), "timeframe", F.when(at(5, 13), c("begin") - F.expr("interval 1 hour")).otherwise(c("begin")).alias("begin"),
+        F.when(at(4, 11), c("end") + F.expr("interval 90 minutes")).otherwise(c("end")).alias("end"), F.when(at(1, 5, 8), -c("open")).otherwise(c("open")).alias("open"), F.when(at(2, 7), c("low") - 1).otherwise(c("high")).alias("high"),
+        "low", F.when(~at(1, 6), c("close")).alias("close"), F.when(at(3, 9), 0.0).otherwise(c("volume")).alias("volume"), "value", "source",
+    )
+
+
+@query(f"WITH {GATED} SELECT batch, day, n, coalesce(own_row, other_row) AS rejected_row, coalesce(own_rule, other_rule) AS rejected_rule FROM verdict")
+def q_batch_gate(spark: SparkSession, d: str) -> DataFrame:
+    """For each batch whether it may be stored: if not, the first violation and its row."""
+    return C.gated(spoiled(spark, d), ("batch", "day"), "nr").groupBy("batch", "day", "rejected_row", "rejected_rule").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {GATED} SELECT l.ticker, "begin", {rr('close', 4)}, volume FROM looked l JOIN verdict v USING (batch, day) WHERE own_rule IS NULL AND other_rule IS NULL""")
+def q_gated_store(spark: SparkSession, d: str) -> DataFrame:
+    """Batches as a stream: the fit ones stored, and stored once though the stream runs again from the start."""
+    at, rows = scratch(spark, "gate"), spoiled(spark, d)
+    rows.repartition("batch", "day").write.parquet(f"{at}/in")
+    for run in range(2):
+        ST.store_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/store", f"{at}/rejects", f"{at}/state-{run}", ("batch", "day"), "nr").awaitTermination()
+    return load_candles(spark, f"{at}/store").select(*IDS, r("close", 4), "volume")
+
+
+# The paged source, from a mirror of pages made of bars ------------------------------------------------------------------
+
+PER_PAGE, RANGE = 24, 4
+
+
+def mirror(spark: SparkSession, d: str) -> tuple[str, dict[str, str]]:
+    """A mirror of pages of bars, in ranges of four days: pages are full, the last one of a range may be short or missing."""
+    at, b = scratch(spark, "mirror"), stored(bars_hourly(spark, d), "bars")
+    ends = b.agg(F.to_date(F.min("begin")).alias("a"), F.to_date(F.max("begin")).alias("b"), F.array_join(F.sort_array(F.collect_set("ticker")), ",").alias("t")).first()
+    cols = ["begin", "end", "open", "close", "high", "low", "value", "volume"]
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") if c in ("begin", "end") else F.col(c).cast("string")
+    day = F.date_add(F.lit(ends["a"]), (F.floor(F.date_diff(F.to_date("begin"), F.lit(ends["a"])) / RANGE) * RANGE).cast("int"))
+    place = F.row_number().over(Window.partitionBy("ticker", "first").orderBy("begin")) - 1
+    rows = b.withColumn("first", day).withColumn("start", (F.floor(place / PER_PAGE) * PER_PAGE).cast("int"))
+    block = F.to_json(F.struct(F.struct(F.array(*map(F.lit, cols)).alias("columns"), F.sort_array(F.collect_list(F.array(*map(text, cols)))).alias("data")).alias("candles")))
+    save_pages(rows.groupBy("ticker", F.col("first").alias("begin"), "start").agg(block.alias("json")), at)
+    return at, {"tickers": ends["t"], "timeframe": "1H", "from": str(ends["a"]), "till": str(ends["b"]), "range_days": str(RANGE), "page": str(PER_PAGE), "mirror": "yes"}
+
+
+PAGED = f'SELECT ticker, "begin", "end", {", ".join(rr(c, 4) for c in PRICES)}, volume'
+
+
+@query(f"WITH {BARS} {PAGED} FROM bars")
+def q_paged_candles(spark: SparkSession, d: str) -> DataFrame:
+    """Candles of a paged source: a partition for each ticker and range of days, pages followed within it."""
+    at, o = mirror(spark, d)
+    own = {k: v for k, v in o.items() if k not in ("tickers", "timeframe", "from", "till")}
+    found = R.fetch_candles(spark, at, o["tickers"].split(","), "1H", o["from"], o["till"], **own)
+    return found.select(*IDS, "end", *[r(c, 4) for c in PRICES], "volume")
+
+
+@query(f"""WITH {BARS} {PAGED} FROM bars WHERE "begin" < (SELECT max("begin") - INTERVAL 5 HOUR FROM bars)""")
+def q_paged_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a stream that goes on from its checkpoint: up to a time in the middle, then up to one near the end."""
+    at, o = mirror(spark, d)
+    spark.dataSource.register(R.PagedSource)
+    ends = bars_hourly(spark, d).agg(F.min("begin").alias("a"), F.max("begin").alias("b")).first()
+    out, path = scratch(spark, "polled"), at.removeprefix("file://").removeprefix("file:")
+    for until in (ends["a"] + (ends["b"] - ends["a"]) / 2, ends["b"] - dt.timedelta(hours=5)):
+        Path(path, "_clock").write_text(until.strftime("%Y-%m-%d %H:%M:%S"))
+        rows = spark.readStream.format("paged_json").options(url=at, clock=f"{at}/_clock", **o).load()
+        rows.writeStream.format("parquet").option("path", f"{out}/pages").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    pages = spark.read.schema("ticker string, page int, json string").parquet(f"{out}/pages")
+    return B.decode_blocks(pages.select("ticker", "json")).select(*IDS, "end", *[r(c, 4) for c in PRICES], "volume")

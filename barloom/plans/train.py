@@ -37,7 +37,7 @@ class Spec:
 def features_and_tokens(candles: DataFrame, spec: Spec, least_train: int = 1000) -> tuple[DataFrame, Tokenizer]:
     """Clean, split by time, then features and moves within each split; tokens are fitted on the training split alone."""
     parts = time_split(clean_candles(candles), least_train=least_train).where("split is not null")
-    frame = with_indicators(parts, SPLIT_KEYS)
+    frame = stored(with_indicators(parts, SPLIT_KEYS), "indicators")
     tokenizer = Tokenizer.fit(frame.where("split = 'train'"), spec.n_classes, spec.horizon, SPLIT_KEYS)
     return tokenizer.transform(frame, SPLIT_KEYS).withColumn("forward_return", forward_return(spec.horizon, SPLIT_KEYS)), tokenizer
 

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 SERIES = ("ticker", "timeframe")
 CANDLE_COLUMNS = ("ticker", "timeframe", "begin", "end", "open", "high", "low", "close", "volume", "value", "source")
 PRICES = ("open", "high", "low", "close")
+#: Where `load_candles` found a row: time, name and block of its file, and its place. Later ones are greater.
+INGESTED = "ingested"
 
 CANDLES = T.StructType(
     [T.StructField("ticker", T.StringType()), T.StructField("timeframe", T.StringType()), T.StructField("begin", T.TimestampNTZType()), T.StructField("end", T.TimestampNTZType())]

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.clean import normalize_columns, normalize_times
-from ..session import CANDLES, SERIES
+from ..session import CANDLES, INGESTED, SERIES
 
 FORMATS = ("parquet", "csv")
+#: The partition column that tells stored batches apart.
+BATCH = "stored_batch"
 
 
 def suffix_of(spark: SparkSession, path: str) -> str:
@@ -24,7 +26,7 @@ def suffix_of(spark: SparkSession, path: str) -> str:
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = lambda depth: fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "*=*/" * depth + "*.parquet"))
-    return "parquet" if any(len(found(depth) or ()) for depth in range(3)) else "csv"
+    return "parquet" if any(len(found(depth) or ()) for depth in range(4)) else "csv"
 
 
 def read_file(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
@@ -32,7 +34,15 @@ def read_file(spark: SparkSession, path: str, format: str | None = None) -> Data
     if format not in FORMATS:
         raise ValueError(f"unsupported format: {format}")
     reader = spark.read.option("header", True).option("inferSchema", True) if format == "csv" else spark.read
-    return reader.format(format).load(path)
+    return with_provenance(reader.format(format).load(path))
+
+
+def with_provenance(scan: DataFrame) -> DataFrame:
+    """A scan with where each row was found, which orders rows by when they were stored: files by their time, rows of a file by place.
+    A column of that name is replaced.
+    """
+    at = F.struct(F.col("_metadata.file_modification_time").alias("stored"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return scan.withColumn(INGESTED, at)
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
@@ -41,30 +51,38 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.exists(target) and fs.getFileStatus(target).isDirectory()
 
 
-def unread_files(spark: SparkSession, path: str, format: str) -> list[str]:
-    """Files of a folder of which no row could be read: corrupt ones, and empty ones."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{format}").option("recursiveFileLookup", True).load(path).select("path")
-    rows = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", f"*.{format}").option("recursiveFileLookup", True).format(format).load(path)
-    read = rows.select(F.input_file_name().alias("path")).distinct()
-    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    return [r["path"] for r in files.withColumn("k", plain("path")).join(read.select(plain("path").alias("k")), "k", "left_anti").orderBy("path").collect()]
+def file_ledger(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
+    """(path, n_rows) of each file of one format in a folder; 0 for corrupt ones and for empty ones. No column is read for it: of a
+    Parquet file the footer says how many rows there are.
+    """
+    format = format or suffix_of(spark, path)
+    option = {"pathGlobFilter": f"*.{format}", "recursiveFileLookup": True}
+    files = spark.read.format("binaryFile").options(**option).load(path).select("path")
+    rows = spark.read.schema("_any string").option("ignoreCorruptFiles", True).options(**option).options(**({"header": True} if format == "csv" else {})).format(format).load(path)
+    plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, "[+]", "%2B")), "^file:/*", "/")
+    read = rows.select(F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.count("*").alias("n_rows")).select(plain("f").alias("k"), "n_rows")
+    return files.withColumn("k", plain("path")).join(read, "k", "left").select("path", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def read_directory(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
-    """All files of one format in a folder, by column name. Files that cannot be read are skipped with a warning that names them
-    (its list is as long as they are many); none at all is an error.
+    """All files of one format in a folder, by column name, with where each row was found. Files that cannot be read are skipped with a
+    warning that counts them and names the first; none at all is an error. `file_ledger` has them all.
     """
     format = format or suffix_of(spark, path)
     reader = spark.read.option("pathGlobFilter", f"*.{format}").option("ignoreCorruptFiles", True)
     reader = reader.option("header", True).option("inferSchema", True) if format == "csv" else reader.option("mergeSchema", True)
     found = reader.format(format).load(path)
-    if format == "parquet" and (lost := unread_files(spark, path, format)):
-        warnings.warn(f"{len(lost)} files of {path} gave no rows: {', '.join(lost)}", stacklevel=2)
-    return found
+    if format == "parquet":
+        lost = file_ledger(spark, path, format).where("n_rows = 0").agg(F.count("*").alias("n"), F.min("path").alias("some")).first()
+        if lost["n"]:
+            warnings.warn(f"{lost['n']} files of {path} gave no rows, {lost['some']} the first", stacklevel=2)
+    return with_provenance(found)
 
 
 def load_candles(spark: SparkSession, path: str, ticker: str | None = None, timeframe: str | None = None, format: str | None = None) -> DataFrame:
-    """Candles of a file or folder with normal names and times, of one ticker and timeframe if asked. Filters reach the scan."""
+    """Candles of a file or folder with normal names and times, of one ticker and timeframe if asked. Filters reach the scan. Copies
+    are all there, with where each was found (INGESTED), by which `clean_candles` keeps the last.
+    """
     try:
         df = normalize_columns(read_directory(spark, path, format) if is_folder(spark, path) else read_file(spark, path, format))
     except AnalysisException as e:
@@ -76,7 +94,7 @@ def load_candles(spark: SparkSession, path: str, ticker: str | None = None, time
             df = df.where(F.col(name) == value)
     if df.isEmpty():
         raise ValueError(f"no candles at {path} for {ticker}, {timeframe}")
-    return normalize_times(df)
+    return normalize_times(df).drop(BATCH)
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:

@@ -9,7 +9,10 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batch_stamp
 from ..operators.clean import batch_summary
+from ..session import SERIES
+from .files import BATCH
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
@@ -28,13 +31,28 @@ def write_json_document(x: Any, path: str) -> None:
 
 
 def save_candles(df: DataFrame, path: str) -> DataFrame:
-    """Appended by ticker and timeframe, so that filters on them skip files; the summary of what was stored. Spark's commit
-    makes a batch visible as a whole.
+    """Stored by ticker, timeframe and batch, so that filters on them skip files; the summary of what was stored.
+
+    A batch is what is stored of a series at once, and is named by its first and last begin: storing it again replaces it, all
+    other batches stay. Its files are written aside and moved into place when all tasks are done; a reader between the removal of the old
+    ones and that move finds neither. Batches that overlap are both there; `clean_candles` keeps the candle that was stored last.
     """
-    df.write.mode("append").partitionBy("ticker", "timeframe").parquet(path)
+    name = F.concat_ws("_", batch_stamp(F.min("begin")), batch_stamp(F.max("begin")))
+    names = df.groupBy(*SERIES).agg(name.alias(BATCH)).select(*[F.col(c).alias(f"_{c}") for c in SERIES], BATCH)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SERIES]
+    named = df.join(names, same).drop(*[f"_{c}" for c in SERIES])
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*SERIES, BATCH).parquet(path)
     return batch_summary(df).withColumn("path", F.lit(path))
 
 
+def save_pages(pages: DataFrame, path: str) -> None:
+    """Raw pages (ticker, begin, start, json) as a mirror that the paged source can read: one file for each page, under the ticker, the
+    first day of its range and its first row. Storing a page again replaces it.
+    """
+    rows = pages.select("ticker", F.col("begin").cast("string").alias("from"), "start", "json")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker", "from", "start").text(path)
+
+
 def append_decisions(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

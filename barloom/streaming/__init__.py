@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import CANDLES
+from ..operators.clean import gated, with_defaults
+from ..session import CANDLE_COLUMNS, CANDLES, stored
+from ..sources.sinks import save_candles
 
 
 def candle_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -64,3 +66,20 @@ def outcome_stream(predictions: DataFrame, candles: DataFrame, hours: int, late:
 def append_log(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """All there is, appended as JSON lines; then the query ends."""
     return df.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def store_stream(candles: DataFrame, path: str, rejects: str, checkpoint: str, batch: tuple[str, ...], row: str = "row") -> StreamingQuery:
+    """All there is of a stream of batches, each stored as a whole or rejected as a whole; then the query ends.
+
+    Candles of fit batches go to path; of each unfit one its keys, first violation, row and number of rows go to rejects. Both are
+    written so that a micro-batch that is run again after a failure replaces what it wrote: candles by their series, first and last
+    begin, rejects by the micro-batch's number. A batch must come within one micro-batch.
+    """
+
+    def store(rows: DataFrame, number: int) -> None:
+        checked = stored(gated(with_defaults(rows), batch, row), "gated")
+        save_candles(checked.where("rejected_rule is null").select(*CANDLE_COLUMNS), path)
+        lost = checked.where("rejected_rule is not null").groupBy(*batch, "rejected_row", "rejected_rule").agg(F.count("*").alias("n"))
+        lost.write.mode("overwrite").parquet(f"{rejects}/micro_batch={number}")
+
+    return candles.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
