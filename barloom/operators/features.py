@@ -1,4 +1,4 @@
-"""Indicators of candles: ordered window expressions over each series, in one pass over one partitioning."""
+"""Indicators of candles: ordered window expressions over blocks of each series, in one pass over one partitioning."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, guarded_ratio
 from ..session import SERIES
+from .blocks import ROWS, in_blocks
 
 ATR, VOLATILITY, VOLUME, RETURNS, SPANS = 14, 20, 20, (1, 3, 5), (9, 20, 50)
 #: Model inputs in the order in which models take them.
@@ -45,16 +46,21 @@ def candle_shape() -> dict[str, Column]:
 BLOCK = 512
 
 
-def with_ema(df: DataFrame, spans: tuple[int, ...] = SPANS, keys: tuple[str, ...] = SERIES, into: str = "ema_{}") -> DataFrame:
-    """df with the exponential mean of the close for each span, started at the series' first close. Closes must be known.
+#: Rows before a block that its indicators look at: what lies further back weighs less in a mean than doubles can tell.
+HALO = 4 * BLOCK
+
+
+def with_ema(df: DataFrame, spans: tuple[int, ...] = SPANS, keys: tuple[str, ...] = SERIES, into: str = "ema_{}", start: Column | None = None) -> DataFrame:
+    """df with the exponential mean of the close for each span, started at the series' first close. Closes must be known. Where keys
+    name a part of a series, start is the place of its first row in the whole.
 
     The recursion is linear, so within a block a mean is a running sum of closes in falling weights, and a block hands the next
     ones its last sum, by the weight of the rows in between. That is one pass, whatever the span; the trailing blocks it looks
     at are as many as the span asks for.
     """
     w = series(keys)
-    block = Window.partitionBy(*keys, "_block").orderBy("begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_i", F.row_number().over(w) - 1).withColumns({"_block": F.floor(F.col("_i") / BLOCK), "_k": (F.col("_i") % BLOCK).cast("double")})
+    block = Window.partitionBy(*keys, "_part").orderBy("begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn("_i", F.row_number().over(w) - 1 + (F.lit(0) if start is None else start)).withColumns({"_part": F.floor(F.col("_i") / BLOCK), "_k": (F.col("_i") % BLOCK).cast("double")})
     sums, means = {}, {}
     for s in spans:
         a, q = 2 / (s + 1), 1 - 2 / (s + 1)
@@ -62,17 +68,21 @@ def with_ema(df: DataFrame, spans: tuple[int, ...] = SPANS, keys: tuple[str, ...
         sums[f"_own_{s}"] = F.sum(weight * F.col("close")).over(block) * F.pow(F.lit(q), F.col("_k"))
         carried, back = F.lit(0.0), 1
         while q ** (BLOCK * (back - 1)) > 1e-17:
-            last = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-back, -back)
+            last = Window.partitionBy(*keys).orderBy("_part").rangeBetween(-back, -back)
             carried = carried + F.coalesce(F.sum(F.when(F.col("_k") == BLOCK - 1, F.col(f"_own_{s}"))).over(last), F.lit(0.0)) * q ** (BLOCK * (back - 1))
             back += 1
         means[into.format(s)] = F.col(f"_own_{s}") + carried * F.pow(F.lit(q), F.col("_k") + 1)
-    return df.withColumns(sums).withColumns(means).drop("_i", "_block", "_k", *sums)
+    return df.withColumns(sums).withColumns(means).drop("_i", "_part", "_k", *sums)
 
 
 def with_indicators(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """All indicators of candles. Warm-up rows are null; with a split among the keys, each split warms up anew."""
+    """All indicators of candles. Warm-up rows are null; with a split among the keys, each split warms up anew. Columns that begin with
+    _ are not handed on.
+    """
+    df = in_blocks(df, keys, HALO, ROWS)
+    keys = (*keys, "_block")
     w = series(keys)
-    df = with_ema(df, SPANS, keys, "_ema_{}").withColumns({f"return_{k}": period_return(k, w) for k in RETURNS} | {"_tr": true_range(w)})
+    df = with_ema(df, SPANS, keys, "_ema_{}", F.col("_start")).withColumns({f"return_{k}": period_return(k, w) for k in RETURNS} | {"_tr": true_range(w)})
     tr, r1, vol = F.col("_tr"), F.col("return_1"), F.col("volume")
     df = df.withColumns(
         {
@@ -83,7 +93,7 @@ def with_indicators(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     )
     df = df.withColumns(candle_shape() | {f"ema_{s}_distance": F.try_divide(F.col("close") - F.col(f"_ema_{s}"), F.col(f"_ema_{s}")) for s in SPANS} | calendar("begin"))
     others = [c for c in df.columns if c not in FEATURES and not c.startswith("_")]
-    return df.select(*others, *FEATURES)
+    return df.where("_own").select(*others, *FEATURES)
 
 
 def numeric_features(df: DataFrame, columns: tuple[str, ...] | None = None) -> list[str]:

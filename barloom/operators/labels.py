@@ -26,9 +26,24 @@ def forward_return(horizon: int = 1, keys: tuple[str, ...] = SERIES) -> Column:
 
 def fit_edges(df: DataFrame, n_classes: int, move: str = "move", keys: tuple[str, ...] = ()) -> DataFrame:
     """One row (by keys) with `edges`, exact quantiles of the known moves; evenly spread ones where all moves are equal."""
-    spread = F.transform(F.sequence(F.lit(0), F.lit(n_classes)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / n_classes)
     out = exact_quantiles(df, move, tuple(k / n_classes for k in range(n_classes + 1)), keys)
-    return out.select(*keys, F.when(F.size(F.array_distinct("quantiles")) < 2, spread).otherwise(F.col("quantiles")).alias("edges"), F.col("n").alias("n_fitted"))
+    return out.select(*keys, edges_of(F.col("quantiles"), n_classes).alias("edges"), F.col("n").alias("n_fitted"))
+
+
+def edges_of(quantiles: Column, n_classes: int) -> Column:
+    """Quantiles as edges; evenly spread ones between lo and hi where all moves are equal."""
+    spread = F.transform(F.sequence(F.lit(0), F.lit(n_classes)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / n_classes)
+    return F.when(F.size(F.array_distinct(quantiles)) < 2, spread).otherwise(quantiles)
+
+
+def fit_all_edges(df: DataFrame, classes: tuple[int, ...], moves: dict[int, str]) -> dict[tuple[int, int], tuple[tuple[float, ...], int]]:
+    """(edges, known moves) for each number of classes and each horizon, whose moves are in the named columns: one pass over df."""
+    shares = sorted({k / n for n in classes for k in range(n + 1)})
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(c).alias("move")) for h, c in moves.items()])).alias("m")).select("m.*")
+    found = exact_quantiles(rows, "move", tuple(shares), ("horizon",))
+    picked = lambda n: F.array(*[F.col("quantiles")[shares.index(k / n)] for k in range(n + 1)])
+    rows = found.select("horizon", "n", *[edges_of(picked(n), n).alias(f"edges_{n}") for n in classes]).collect()
+    return {(n, r["horizon"]): (tuple(r[f"edges_{n}"] or ()), r["n"]) for r in rows for n in classes}
 
 
 def with_tokens(df: DataFrame, edges: DataFrame, n_classes: int, move: str = "move", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -56,8 +71,11 @@ class Tokenizer:
 
     def transform(self, df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
         df = df.withColumn("move", forward_move(self.horizon, keys))
-        reached = F.size(F.filter(F.array(*map(F.lit, self.edges)), lambda e: e <= F.col("move"))) - 1
-        return df.withColumn("token", F.when(F.col("move").isNull(), INVALID).otherwise(clipped_token(reached, self.n_classes)).cast("int"))
+        return df.withColumn("token", self.token(F.col("move")))
+
+    def token(self, move: Column) -> Column:
+        reached = F.size(F.filter(F.array(*map(F.lit, self.edges)), lambda e: e <= move)) - 1
+        return F.when(move.isNull(), INVALID).otherwise(clipped_token(reached, self.n_classes)).cast("int")
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return Tokenizer.fit(df, self.n_classes, self.horizon).transform(df)

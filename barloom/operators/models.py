@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -179,21 +179,61 @@ class Logistic:
         return Logistic(Scaler(**about["scaler"]), LogisticRegressionModel.load(f"{path}/model"), about["n_classes"])
 
 
+def best_round(losses: list[float], patience: int) -> int:
+    """The number of rounds up to the smallest loss before `patience` rounds in a row bring none that is smaller."""
+    best = 0
+    for k, x in enumerate(losses):
+        if x < losses[best]:
+            best = k
+        elif k - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model as it was after n rounds."""
+    java, gateway = model._java_obj, SparkSession.active().sparkContext._gateway
+    ml = gateway.jvm.org.apache.spark.ml
+    trees, weights = gateway.new_array(ml.regression.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = java.trees()[k], model.treeWeights[k]
+    return GBTClassificationModel(ml.classification.GBTClassificationModel(java.uid(), trees, weights, java.numFeatures(), 2))
+
+
+#: Rounds without a smaller loss on the validation split after which boosting stops.
+PATIENCE = 10
+
+
 @dataclass
 class Boosted:
-    """Gradient-boosted trees, one against the rest, with balanced weights; probabilities from the classes' raw scores."""
+    """Gradient-boosted trees, one against the rest, with balanced weights; probabilities from the classes' raw scores. With rows to
+    validate on, each class keeps the rounds up to its smallest loss there.
+    """
 
     scaler: Scaler
     model: object
     n_classes: int
 
     @staticmethod
-    def fit(df: DataFrame, n_classes: int, width: int, rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 42) -> Boosted:
+    def fit(df: DataFrame, n_classes: int, width: int, rounds: int = 20, depth: int = 3, rate: float = 0.1, seed: int = 42, leaf_rows: int = 1, row_share: float = 1.0, column_share: float = 1.0, val: DataFrame | None = None) -> Boosted:
         df = df.where(FITTED).select("window", "token")
         scaler = Scaler.fit(df, width)
-        ready = class_weights(df, n_classes).select(array_to_vector(scaler.filled()).alias("features"), F.col("token").cast("double").alias("label"), "weight")
-        trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-        return Boosted(scaler, OneVsRest(classifier=trees, weightCol="weight").fit(ready), n_classes)
+        vector = array_to_vector(scaler.filled()).alias("features")
+        ready = class_weights(df, n_classes).select(vector, F.col("token").cast("double").alias("label"), "weight")
+        columns = "all" if column_share >= 1 else str(column_share)
+        trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed, minInstancesPerNode=leaf_rows, subsamplingRate=row_share, featureSubsetStrategy=columns)
+        model = OneVsRest(classifier=trees, weightCol="weight").fit(ready)
+        seen = val.where(FITTED).select(vector, "token").cache() if val is not None else None
+        if seen is not None and seen.limit(1).count():
+            losses = [m.evaluateEachIteration(seen.select("features", (F.col("token") == k).cast("double").alias(m.getLabelCol()), F.lit(1.0).alias("weight"))) for k, m in enumerate(model.models)]
+            model = model.copy()
+            model.models = [first_trees(m, best_round(x, PATIENCE)) for m, x in zip(model.models, losses, strict=True)]
+        if seen is not None:
+            seen.unpersist()
+        return Boosted(scaler, model, n_classes)
+
+    def rounds(self) -> list[int]:
+        return [m.getNumTrees for m in self.model.models]
 
     def predict(self, df: DataFrame) -> DataFrame:
         scored = self.model.transform(df.withColumn("features", array_to_vector(self.scaler.filled()))).drop("features", "prediction")

@@ -13,17 +13,21 @@ ACCURACY = 10_000
 def exact_quantiles(df: DataFrame, value: str, shares: tuple[float, ...], keys: tuple[str, ...] = (), accuracy: int = ACCURACY) -> DataFrame:
     """(keys, quantiles, lo, hi, n) of the known values, interpolated between neighbours; a group without values has null quantiles.
 
-    A sketch, whose ranks are off by a share of 1 / accuracy at most, gives each quantile a lower and an upper bound. One pass
+    Groups of few values are summed up as they are. Beyond, a sketch, whose ranks are off by a share of 1 / accuracy at most, gives each quantile a lower and an upper bound. One pass
     counts the values below the bounds and, by distinct value, those within, which are some 4 / accuracy of all; only these are
     put in order. Null values count for nothing; keys must be known. Keys and values are written down once, since all of this reads them.
     """
     known = stored(df.select(*keys, F.col(value).cast("double").alias("_v")), "values")
+    # Below some number of values a share of 1 / accuracy is less than one rank: a group's distinct values are then few enough to be held.
+    most = known.groupBy(*keys).agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most < 4 * accuracy:
+        q = F.percentile("_v", F.array(*map(F.lit, shares)))
+        return known.groupBy(*keys).agg(q.alias("quantiles"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("_v").alias("n"))
     off = 2.0 / accuracy
     at = lambda move: F.array(*[F.lit(min(1.0, max(0.0, s + move))) for s in shares])
     rough = known.groupBy(*keys).agg(
         F.percentile_approx("_v", at(-off), accuracy).alias("_low"), F.percentile_approx("_v", at(off), accuracy).alias("_high"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.count("_v").alias("n")
     )
-    # Below some number of values a share of 1 / accuracy is less than one rank: then all of them are within.
     few = F.col("n") < 4 * accuracy
     rough = rough.withColumns({"_low": F.when(few, F.transform("_low", lambda _: F.col("lo"))).otherwise(F.col("_low")), "_high": F.when(few, F.transform("_high", lambda _: F.col("hi"))).otherwise(F.col("_high"))})
     met = known.where("_v is not null").join(rough.select(*keys, "_low", "_high"), list(keys)) if keys else known.where("_v is not null").join(F.broadcast(rough.select("_low", "_high")))

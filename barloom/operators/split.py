@@ -1,31 +1,32 @@
-"""Splits by time, position by position within each series."""
+"""Splits by time, position by position within each series. No task holds a series."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import SERIES
-from .features import series
+from .blocks import numbered
 
 
 def time_split(df: DataFrame, train: float = 0.7, val: float = 0.15, test: float = 0.15, least_train: int = 1000, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """df with split: train, then val, then test in order of time. Series too short for the least training size are null."""
     if abs(train + val + test - 1) >= 1e-6:
         raise ValueError(f"shares sum to {train + val + test}")
-    n, i = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(series(keys)) - 1
+    df, n, i = numbered(df, keys), F.col("_total"), F.col("_place")
     first = F.floor(n * F.lit(train))
     second = F.floor(n * F.lit(train + val))
     short = first < least_train
     second = F.when(short, least_train + F.floor((n - least_train) * F.lit(val) / F.lit(val + test))).otherwise(second)
     first = F.when(short, F.lit(least_train)).otherwise(first)
     name = F.when(i < first, "train").when(i < second, "val").otherwise("test")
-    return df.withColumn("split", F.when(n >= least_train, name))
+    return df.withColumn("split", F.when(n >= least_train, name)).drop("_place", "_total")
 
 
 def with_positions(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """df of time_split with position, a candle's place in its series from 0 on, and split_position, its place in its split."""
-    return df.withColumns({"position": F.row_number().over(series(keys)) - 1, "split_position": F.row_number().over(Window.partitionBy(*keys, "split").orderBy("begin")) - 1})
+    df = numbered(numbered(df, keys, "position"), (*keys, "split"), "split_position")
+    return df.withColumns({c: F.col(c).cast("int") for c in ("position", "split_position")}).drop("_total")
 
 
 def leaks(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -44,8 +45,7 @@ def walk_forward(df: DataFrame, n_splits: int, train_size: int, test_size: int,
     """A row for each fold and part (train, test) that a candle belongs to. Training grows by test_size from fold to fold; folds
     for which a series has too few rows are left out.
     """
-    n, i = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(series(keys)) - 1
-    df = df.withColumns({"_n": n, "_i": i}).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    df = numbered(df, keys, "_i", "_n").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
     end = F.lit(train_size) + F.col("fold") * test_size
     part = F.when(F.col("_i") < end, "train").when((F.col("_i") >= end + gap) & (F.col("_i") < end + gap + test_size), "test")
     return df.where(F.col("_n") >= end + gap + test_size).withColumn("part", part).where("part is not null").drop("_n", "_i")

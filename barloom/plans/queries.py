@@ -909,3 +909,30 @@ def q_paged_stream(spark: SparkSession, d: str) -> DataFrame:
         rows.writeStream.format("parquet").option("path", f"{out}/pages").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     pages = spark.read.schema("ticker string, page int, json string").parquet(f"{out}/pages")
     return B.decode_blocks(pages.select("ticker", "json")).select(*IDS, "end", *[r(c, 4) for c in PRICES], "volume")
+
+
+# The research grid -------------------------------------------------------------------------------------------------------
+
+CELLS = [(k, h, n) for k in (3, 5) for h in (1, 3) for n in (8, 16)]
+
+
+def cell_sql(k: int, h: int, n: int) -> str:
+    """The majority's scores for one cell; tokens by edges of all series together."""
+    name = f"{k}_{h}_{n}"
+    f1 = f"SELECT split, avg(f1) AS f1 FROM (SELECT l.split, l.c, coalesce(2.0 * count(*) FILTER (WHERE token = l.c AND best = l.c) / nullif(count(*) FILTER (WHERE token = l.c) + count(*) FILTER (WHERE best = l.c), 0), 0) AS f1 FROM (SELECT split, token AS c FROM p_{name} UNION SELECT split, best FROM p_{name}) l JOIN p_{name} p USING (split) GROUP BY l.split, l.c) GROUP BY split"
+    return f"""mv_{name} AS (SELECT *, (lead(close, {h}) OVER w - close) / CASE WHEN abs(atr) < 1e-8 THEN 1e-8 ELSE atr END AS move, lead(close, {h}) OVER w / nullif(close, 0) - 1 AS forward_return, row_number() OVER w AS i FROM ind WHERE split IS NOT NULL WINDOW w AS (PARTITION BY ticker, timeframe, split ORDER BY "begin")),
+ ed_{name} AS (SELECT quantile_cont(move, [{', '.join(repr(j / k) for j in range(k + 1))}]) AS edges FROM mv_{name} WHERE split = 'train'),
+ tk_{name} AS (SELECT mv_{name}.*, greatest(0, least({k - 1}, len(list_filter(edges, lambda e: e <= move)) - 1)) AS token FROM mv_{name} CROSS JOIN ed_{name} WHERE move IS NOT NULL AND i >= {n}),
+ best_{name} AS (SELECT token AS best FROM tk_{name} WHERE split = 'train' GROUP BY token ORDER BY count(*) DESC, token LIMIT 1), p_{name} AS (SELECT * FROM tk_{name} CROSS JOIN best_{name}), f_{name} AS ({f1}),
+ a_{name} AS (SELECT split, avg(CASE WHEN sign(best - {k // 2}) = sign(token - {k // 2}) THEN 1.0 ELSE 0.0 END) AS a FROM p_{name} WHERE forward_return IS NOT NULL GROUP BY split),
+ r_{name} AS (SELECT {k} AS n_classes, {h} AS horizon, {n} AS length, {', '.join(f"round((SELECT f1 FROM f_{name} WHERE split = '{x}'), 6) + 0.0 AS {x}_macro_f1, round((SELECT a FROM a_{name} WHERE split = '{x}'), 6) + 0.0 AS {x}_action_accuracy" for x in ('val', 'test'))})"""
+
+
+@query(f"{SPLIT}, {', '.join(cell_sql(*c) for c in CELLS)} {' UNION ALL '.join(f'SELECT * FROM r_{k}_{h}_{n}' for k, h, n in CELLS)}")
+def q_research_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of a grid that share indicators, moves, tokens and windows; half of them done before, and read from the ledger."""
+    ledger, specs = f"{scratch(spark, 'grid')}/ledger", [T.Spec("majority", k, h, n) for k, h, n in CELLS]
+    candles = stored(hourly(spark, d), "candles")
+    T.research(spark, candles, specs[: len(specs) // 2], LEAST, ledger)
+    found = T.research(spark, candles, specs, LEAST, ledger)
+    return found.select("n_classes", "horizon", "length", *[r(f"{x}_{c}") for x in ("val", "test") for c in ("macro_f1", "action_accuracy")])

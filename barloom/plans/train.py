@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+import json
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators.clean import clean_candles, enough_rows
 from ..operators.features import FEATURES, with_indicators
-from ..operators.labels import Tokenizer, forward_return
+from ..operators.labels import Tokenizer, fit_all_edges, forward_move, forward_return
 from ..operators.split import split_periods, time_split
 from ..operators.windows import last_windows, tabular_windows, token_windows
 from ..session import SERIES, read_document, stored, write_document
@@ -32,6 +33,9 @@ class Spec:
     rounds: int = 20
     depth: int = 3
     rate: float = 0.1
+    leaf_rows: int = 1
+    row_share: float = 1.0
+    column_share: float = 1.0
 
 
 def features_and_tokens(candles: DataFrame, spec: Spec, least_train: int = 1000) -> tuple[DataFrame, Tokenizer]:
@@ -59,7 +63,8 @@ def fit_and_predict(windows: DataFrame, spec: Spec, features: tuple[str, ...] =
     elif spec.model == "logistic":
         fitted = M.Logistic.fit(train, spec.n_classes, width)
     elif spec.model == "boosted":
-        fitted = M.Boosted.fit(train, spec.n_classes, width, spec.rounds, spec.depth, spec.rate)
+        shares = dict(leaf_rows=spec.leaf_rows, row_share=spec.row_share, column_share=spec.column_share)
+        fitted = M.Boosted.fit(train, spec.n_classes, width, spec.rounds, spec.depth, spec.rate, val=windows.where("split = 'val'"), **shares)
     else:
         raise ValueError(f"unknown model: {spec.model}")
     return fitted.predict(windows), fitted
@@ -89,35 +94,90 @@ def train(candles: DataFrame, spec: Spec, out: str | None = None, least_train: i
     return metrics, model, tokenizer
 
 
-def research(spark: SparkSession, candles: DataFrame, specs: list[Spec], least_train: int = 1000) -> DataFrame:
-    """A row of validation and test figures for each cell of a grid; a cell that fails has its error. Each cell is a handful of
-    distributed jobs, and what comes to the driver is its few figures.
+RESULT = "cell string, model string, n_classes int, horizon int, length int, val_macro_f1 double, val_action_accuracy double, test_macro_f1 double, test_action_accuracy double, error string"
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """What the cells of a grid share: cleaned and split candles with indicators, and for each horizon the moves and for each number of
+    classes the tokens, all as columns of one table that is written once.
+    """
+
+    frame: DataFrame
+    #: Why tokens could not be fitted.
+    errors: dict[tuple[int, int], str]
+
+    @staticmethod
+    def of(candles: DataFrame, specs: list[Spec], least_train: int) -> Prepared:
+        parts = time_split(clean_candles(candles), least_train=least_train).where("split is not null")
+        horizons, classes = sorted({s.horizon for s in specs}), tuple(sorted({s.n_classes for s in specs}))
+        frame = with_indicators(parts, SPLIT_KEYS)
+        frame = stored(frame.withColumns({f"move_{h}": forward_move(h, SPLIT_KEYS) for h in horizons} | {f"forward_return_{h}": forward_return(h, SPLIT_KEYS) for h in horizons}), "indicators")
+        edges = fit_all_edges(frame.where("split = 'train'"), classes, {h: f"move_{h}" for h in horizons})
+        tokens, errors = {}, {}
+        for (n, h), (found, known) in edges.items():
+            if known < 10 * n:
+                errors[n, h] = f"{known} known moves; {10 * n} are needed"
+            else:
+                tokens[f"token_{n}_{h}"] = Tokenizer(n, h, found).token(F.col(f"move_{h}"))
+        errors |= {(n, h): "no moves" for n in classes for h in horizons if (n, h) not in edges}
+        return Prepared(stored(frame.withColumns(tokens), "tokens"), errors)
+
+    def cell(self, rows: DataFrame, spec: Spec) -> DataFrame:
+        """rows with the token, move and forward return of a cell."""
+        if (spec.n_classes, spec.horizon) in self.errors:
+            raise ValueError(self.errors[spec.n_classes, spec.horizon])
+        return rows.withColumns({"token": F.col(f"token_{spec.n_classes}_{spec.horizon}"), "move": F.col(f"move_{spec.horizon}"), "forward_return": F.col(f"forward_return_{spec.horizon}")})
+
+
+def cell_name(spec: Spec) -> str:
+    return json.dumps(asdict(spec), sort_keys=True)
+
+
+def research(spark: SparkSession, candles: DataFrame, specs: list[Spec], least_train: int = 1000, ledger: str | None = None) -> DataFrame:
+    """A row of validation and test figures for each cell of a grid; a cell that fails has its error. What comes to the driver is a
+    cell's few figures.
+
+    Indicators, moves and tokens of all cells are made once, feature windows once for each length. With a ledger, a folder, each
+    cell's row is added there when it is done, and cells that are there without an error are not done again.
     """
-    rows = []
-    for spec in specs:
-        row = dict(model=spec.model, n_classes=spec.n_classes, horizon=spec.horizon, length=spec.length, val_macro_f1=None, val_action_accuracy=None, test_macro_f1=None, test_action_accuracy=None, error=None)
+    done = {}
+    if ledger and spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)):
+        done = {r["cell"]: r for r in spark.read.schema(RESULT).json(ledger).where("error is null").collect()}
+    left = [s for s in specs if cell_name(s) not in done]
+    shared = Prepared.of(candles, left, least_train) if left else None
+    windows: dict[int, DataFrame] = {}
+    for spec in sorted(left, key=lambda s: s.length):
+        row = dict(cell=cell_name(spec), model=spec.model, n_classes=spec.n_classes, horizon=spec.horizon, length=spec.length, val_macro_f1=None, val_action_accuracy=None, test_macro_f1=None, test_action_accuracy=None, error=None)
         try:
-            frame, _ = features_and_tokens(candles, spec, least_train)
-            predicted = fit_and_predict(windows_for(frame, spec), spec)[0].persist()
+            if spec.model == "markov":
+                rows = windows_for(shared.cell(shared.frame, spec), spec)
+            else:
+                if spec.length not in windows:
+                    windows = {spec.length: stored(tabular_windows(shared.frame, spec.length, list(FEATURES), SPLIT_KEYS, None).drop(*FEATURES), "windows")}
+                rows = shared.cell(windows[spec.length], spec).where("token <> -1")
+            predicted = stored(fit_and_predict(rows, spec)[0].drop("window"), "predicted")
             for r in evaluated(predicted).collect():
                 if r["split"] != "train":
                     row[f"{r['split']}_macro_f1"] = r["macro_f1"]
             for r in E.trading_summary(predicted, spec.n_classes, keys=("split",)).collect():
                 if r["split"] != "train":
                     row[f"{r['split']}_action_accuracy"] = r["action_accuracy"]
-            predicted.unpersist()
         except Exception as e:  # noqa: BLE001  a cell of the grid may be impossible
             row["error"] = str(e)[:500]
-        rows.append(Row(**row))
-    schema = "model string, n_classes int, horizon int, length int, val_macro_f1 double, val_action_accuracy double, test_macro_f1 double, test_action_accuracy double, error string"
-    return spark.createDataFrame(rows, schema)
+        done[row["cell"]] = Row(**row)
+        if ledger:
+            spark.createDataFrame([Row(**row)], RESULT).coalesce(1).write.mode("append").json(ledger)
+    names = [f.split()[0] for f in RESULT.split(", ")]
+    return spark.createDataFrame([tuple(done[cell_name(s)][n] for n in names) for s in specs], RESULT).drop("cell")
 
 
 def grid(full: bool = True) -> list[Spec]:
     """Three numbers of classes, horizons and lengths by six models; logistic regression is left out of the longest windows."""
-    models = [Spec("majority"), Spec("markov", order=1), Spec("markov", order=2), Spec("logistic"), Spec("boosted", rounds=160, depth=3, rate=0.04), Spec("boosted", rounds=220, depth=4, rate=0.025)]
+    boosted = [Spec("boosted", rounds=160, depth=3, rate=0.04, leaf_rows=80, row_share=0.8, column_share=0.8), Spec("boosted", rounds=220, depth=4, rate=0.025, leaf_rows=50, row_share=0.85, column_share=0.85)]
+    models = [Spec("majority"), Spec("markov", order=1), Spec("markov", order=2), Spec("logistic"), *boosted]
     shapes = [(k, h, n) for k in (3, 5, 7) for h in (1, 3, 6) for n in (16, 32, 64)] if full else [(3, 1, 16)]
-    return [Spec(m.model, k, h, n, m.order, m.rounds, m.depth, m.rate) for k, h, n in shapes for m in models if not (m.model == "logistic" and n == 64)]
+    return [replace(m, n_classes=k, horizon=h, length=n) for k, h, n in shapes for m in models if not (m.model == "logistic" and n == 64)]
 
 
 def infer(candles: DataFrame, model, n_classes: int, length: int = 32, version: str = "latest") -> DataFrame:

@@ -225,3 +225,28 @@ def test_training(spark, candles):
 def test_grid_rounds():
     """The boosted cells have the reference grid's rounds, depths and rates."""
     assert {(s.rounds, s.depth, s.rate) for s in T.grid() if s.model == "boosted"} == {(160, 3, 0.04), (220, 4, 0.025)}
+
+
+def test_grid_goes_on(spark, candles, tmp_path):
+    """Cells in the ledger are not done again; those with an error are."""
+    ledger, specs = f"file://{tmp_path}/ledger", [T.Spec("majority", length=4), T.Spec("markov", length=4), T.Spec("rnn", length=4), T.Spec("majority", n_classes=5, length=4), T.Spec("majority", n_classes=3, horizon=2, length=8)]
+    first = T.research(spark, candles, specs[:3], 60, ledger).collect()
+    assert [r["error"] is None for r in first] == [True, True, False] and spark.read.json(ledger).count() == 3
+    rows = T.research(spark, candles, specs, 60, ledger).collect()
+    assert rows[:2] == first[:2] and spark.read.json(ledger).count() == 6 and rows[3]["n_classes"] == 5 and rows[4]["error"] is None
+    alone = T.research(spark, candles, specs[4:], 60).collect()
+    assert alone == rows[4:]
+
+
+def test_boosting_stops(spark):
+    """Each class keeps the rounds up to its smallest loss on the validation split."""
+    assert M.best_round([3, 2, 1, 2, 2, 0], 2) == 3 and M.best_round([3, 2, 1, 2, 2, 0], 3) == 6 and M.best_round([1.0], 10) == 1
+    rng = np.random.default_rng(0)
+    rows = [(s, [float(x), float(y)], int((x > 0) ^ (rng.random() < 0.4))) for s in ("train", "val") for x, y in rng.normal(size=(150, 2))]
+    df = spark.createDataFrame(rows, "split string, window array<double>, token int").cache()
+    train, val = df.where("split = 'train'"), df.where("split = 'val'")
+    whole, cut = (M.Boosted.fit(train, 2, 2, 25, 3, 0.3, val=v) for v in (None, val))
+    assert whole.rounds() == [25, 25] and all(0 < n < 25 for n in cut.rounds())
+    loss = lambda m: -sum(np.log(r["probabilities"][r["token"]]) for r in m.predict(val).collect())
+    assert loss(cut) < loss(whole)
+    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 for r in cut.predict(val).collect())
