@@ -37,7 +37,11 @@ def numbered(df: DataFrame, keys: tuple[str, ...], place: str = "_place", total:
 
 
 def in_blocks(df: DataFrame, keys: tuple[str, ...], back: int, size: int = ROWS) -> DataFrame:
-    """df with _block, _own and _start: rows of a series dealt in blocks of some `size` rows, whole days each, and before each block
+    return dealt(df, keys, back, size)[0]
+
+
+def dealt(df: DataFrame, keys: tuple[str, ...], back: int, size: int = ROWS) -> tuple[DataFrame, bool]:
+    """Whether a series has many blocks, and df with _block, _own and _start: rows of a series dealt in blocks of some `size` rows, whole days each, and before each block
     copies (not _own) of the days that hold the `back` rows before it. _start is the place of a block's first row, copies included.
 
     Windows that look back at most `back` rows give within (keys, _block) what they give within keys. Rows without a begin or a
@@ -47,13 +51,32 @@ def in_blocks(df: DataFrame, keys: tuple[str, ...], back: int, size: int = ROWS)
     counts = stored(day_counts(df, keys), "days")
     if (counts.agg(F.max("_all")).first()[0] or 0) <= size:
         known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "begin")])
-        return df.withColumns({"_block": F.when(known, 0).otherwise(-1), "_own": F.lit(True), "_start": F.lit(0)})
+        return df.withColumns({"_block": F.when(known, 0).otherwise(-1), "_own": F.lit(True), "_start": F.lit(0)}), False
     days = counts.withColumn("_block", F.floor(F.col("_before") / size))
     blocks = days.groupBy(*[F.col(k).alias(f"_of{k}") for k in named], F.col("_block").alias("_to")).agg(F.min("_before").alias("_begin"))
     ends = F.col("_before") + F.col("_size")
     near = [*[F.col(k) == F.col(f"_of{k}") for k in named], ends <= F.col("_begin"), ends > F.col("_begin") - back]
     halo = days.join(blocks, near).select(*named, "_day", F.col("_to").alias("_block"), F.lit(False).alias("_own"), "_before")
-    dealt = days.select(*named, "_day", "_block", F.lit(True).alias("_own"), "_before").unionByName(halo)
-    dealt = dealt.withColumn("_start", F.min("_before").over(Window.partitionBy(*named, "_block")))
-    rows = df.join(dealt, of_day(df, keys), "left").drop(*named, "_day", "_before")
-    return rows.fillna(-1, ["_block"]).fillna(0, ["_start"]).fillna(True, ["_own"])
+    homes = days.select(*named, "_day", "_block", F.lit(True).alias("_own"), "_before").unionByName(halo)
+    homes = homes.withColumn("_start", F.min("_before").over(Window.partitionBy(*named, "_block")))
+    rows = df.join(homes, of_day(df, keys), "left").drop(*named, "_day", "_before")
+    return rows.fillna(-1, ["_block"]).fillna(0, ["_start"]).fillna(True, ["_own"]), True
+
+
+def running(df: DataFrame, keys: tuple[str, ...], how: str, value: Column, into: str, many: bool) -> DataFrame:
+    """df, dealt in blocks and without their copies, with the sum, product or max of a value over a series so far, itself included.
+
+    Each block's own is carried over the blocks, of which there are few, and met with what is so far within a block.
+    """
+    total = {"sum": F.sum, "product": F.product, "max": F.max}[how]
+    df = df.withColumn(into, total(value).over(Window.partitionBy(*keys, "_block").orderBy("begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if not many:
+        return df
+    named = [f"_{k}" for k in keys]
+    sums = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_of")).agg(total(value).alias("_sum"))
+    before = Window.partitionBy(*named).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*named, "_of", total("_sum").over(before).alias("_carry"))
+    a, b = F.col(into), F.col("_carry")
+    both = {"sum": a + b, "product": a * b, "max": F.greatest(a, b)}[how]
+    met = df.join(carried, [*[F.col(k) == F.col(f"_{k}") for k in keys], F.col("_block") == F.col("_of")], "left")
+    return met.withColumn(into, F.coalesce(both, a, b)).drop(*named, "_of", "_carry")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import class_sign
 from ..session import SERIES
+from .blocks import ROWS, dealt, running
 from .features import series
 
 
@@ -48,14 +49,14 @@ def backtest_curve(df: DataFrame, capital: float = 100_000.0, commission: float
     The signal of a bar earns the return into that bar; lag moves signals later by so many bars, for a test that does not look
     ahead. A change of the signal costs commission by its size.
     """
-    w = series(keys)
+    df, many = dealt(df, keys, abs(lag) + 1, ROWS)
+    w = series((*keys, "_block"))
     signal = F.lag("signal", lag, 0).over(w) if lag else F.col("signal")
     df = df.withColumn("_s", signal).withColumns({"bar_return": F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1, F.lit(0.0)), "traded": F.abs(F.col("_s") - F.lag("_s", 1, 0).over(w))})
-    df = df.withColumn("strategy_return", F.col("_s") * F.col("bar_return") - F.col("traded") * commission)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("equity", F.product(1 + F.col("strategy_return")).over(so_far) * capital)
-    peak = F.max("equity").over(so_far)
-    return df.withColumn("drawdown", F.try_divide(peak - F.col("equity"), peak)).drop("_s")
+    df = df.withColumn("strategy_return", F.col("_s") * F.col("bar_return") - F.col("traded") * commission).where("_own")
+    df = running(df, keys, "product", 1 + F.col("strategy_return"), "equity", many).withColumn("equity", F.col("equity") * capital)
+    df = running(df, keys, "max", F.col("equity"), "_peak", many)
+    return df.withColumn("drawdown", F.try_divide(F.col("_peak") - F.col("equity"), F.col("_peak"))).drop("_s", "_peak", "_block", "_own", "_start")
 
 
 def sharpe(x: str) -> Column:
@@ -75,12 +76,13 @@ def backtest_summary(curve: DataFrame, capital: float = 100_000.0, keys: tuple[s
 
 def trading_summary(df: DataFrame, n_classes: int, commission: float = 0.0005, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """What predicted tokens earn on forward returns (forward_return), which overlap for horizons over 1."""
-    df = df.where("forward_return is not null").withColumns({"_p": class_sign("prediction", n_classes), "_t": class_sign("token", n_classes)})
-    w = series(keys)
+    df, many = dealt(df.where("forward_return is not null"), keys, 1, ROWS)
+    df = df.withColumns({"_p": class_sign("prediction", n_classes), "_t": class_sign("token", n_classes)})
+    w = series((*keys, "_block"))
     df = df.withColumn("_d", F.abs(F.col("_p") - F.lag("_p", 1, 0).over(w))).withColumn("_r", F.col("_p") * F.col("forward_return") - F.col("_d") * commission)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.withColumn("_e", F.product(1 + F.col("_r")).over(so_far))
-    df = df.withColumn("_dd", F.try_divide(F.max("_e").over(so_far) - F.col("_e"), F.max("_e").over(so_far)))
+    df = running(df.where("_own"), keys, "product", 1 + F.col("_r"), "_e", many)
+    df = running(df, keys, "max", F.col("_e"), "_peak", many)
+    df = df.withColumn("_dd", F.try_divide(F.col("_peak") - F.col("_e"), F.col("_peak")))
     active = F.col("_p") != 0
     share = lambda a, b: F.coalesce(F.try_divide(F.count_if(a), b), F.lit(0.0))
     return df.groupBy(*keys).agg(
@@ -92,21 +94,25 @@ def trading_summary(df: DataFrame, n_classes: int, commission: float = 0.0005, k
 def simple_trading_metrics(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Buys where the prediction is above half the number of distinct predictions; drawdown of the running sum, in units of return."""
     kinds = df.groupBy(*keys).agg(F.countDistinct("prediction").alias("_k"))
-    w = series(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    df = df.join(kinds, list(keys)).withColumn("_r", F.when(F.col("prediction") > F.floor(F.col("_k") / 2), F.col("forward_return")).otherwise(F.lit(0.0)))
-    df = df.withColumn("_c", F.sum("_r").over(w)).withColumn("_d", F.max("_c").over(w) - F.col("_c"))
+    df, many = dealt(df.join(kinds, list(keys)), keys, 0, ROWS)
+    df = df.where("_own").withColumn("_r", F.when(F.col("prediction") > F.floor(F.col("_k") / 2), F.col("forward_return")).otherwise(F.lit(0.0)))
+    df = running(df, keys, "sum", F.col("_r"), "_c", many)
+    df = running(df, keys, "max", F.col("_c"), "_peak", many).withColumn("_d", F.col("_peak") - F.col("_c"))
     return df.groupBy(*keys).agg(F.sum("_r").alias("total_pnl"), (F.count_if(F.col("_r") > 0) / F.count("*")).alias("win_rate"), sharpe("_r").alias("sharpe_ratio"), F.max("_d").alias("max_drawdown"))
 
 
-def outcomes(predictions: DataFrame, candles: DataFrame, hours: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
+def outcomes(predictions: DataFrame, candles: DataFrame, hours: int, keys: tuple[str, ...] = SERIES, strict: bool = False) -> DataFrame:
     """Predictions (keys, timestamp, prediction) whose candle `hours` later is there, with the return until then. Candles are
-    unique by begin. The horizon counts hours whatever the timeframe.
+    unique by begin. The horizon counts hours whatever the timeframe. One whose own candle is missing is left out, or if strict an error.
     """
     then = predictions.withColumn("_due", F.col("timestamp") + F.make_dt_interval(hours=F.lit(hours)))
-    now = candles.select(*keys, F.col("begin").alias("timestamp"), F.col("close").alias("_now"))
+    now = candles.select(*keys, F.col("begin").alias("timestamp"), F.col("close").alias("_now"), F.lit(True).alias("_there"))
     later = candles.select(*keys, F.col("begin").alias("_due"), F.col("close").alias("_later"))
-    joined = then.join(later, [*keys, "_due"]).join(now, [*keys, "timestamp"])
-    return joined.withColumn("actual_return", F.try_divide(F.col("_later") - F.col("_now"), F.col("_now"))).drop("_due", "_now", "_later")
+    joined = then.join(later, [*keys, "_due"]).join(now, [*keys, "timestamp"], "left" if strict else "inner")
+    gain = F.try_divide(F.col("_later") - F.col("_now"), F.col("_now"))
+    if strict:
+        gain = F.when(F.col("_there"), gain).otherwise(F.raise_error(F.concat(F.lit("no candle at "), F.col("timestamp").cast("string"))))
+    return joined.withColumn("actual_return", gain).drop("_due", "_now", "_later", "_there")
 
 
 def online_report(found: DataFrame, above: int = 3, keys: tuple[str, ...] = SERIES) -> DataFrame:

@@ -123,13 +123,28 @@ def q_candle_defaults(spark: SparkSession, d: str) -> DataFrame:
     return C.with_defaults(blank).select("ticker", "timeframe", "begin", "end", "source", r("value", 2))
 
 
-@query(f"""WITH {BARS}, t AS (SELECT unnest(['15M', '1h', ' 2D ', '0H', '1W', '', '10m']) AS timeframe), b AS (SELECT min("begin") AS "begin" FROM bars)
- SELECT timeframe, CASE trim(timeframe) WHEN '15M' THEN "begin" + INTERVAL 15 MINUTE WHEN '1h' THEN "begin" + INTERVAL 1 HOUR WHEN '2D' THEN "begin" + INTERVAL 2 DAY WHEN '10m' THEN "begin" + INTERVAL 10 MINUTE END AS "end",
- CAST(CASE trim(timeframe) WHEN '1h' THEN 60 WHEN '10m' THEN 10 END AS INT) AS code FROM t, b""")
+#: Texts that bars are given by their hour.
+TIMEFRAMES = ("15M", "1h", " 2D ", "0H", "1W", "", "10m")
+
+
+def by_hour(values: tuple, every: int | None = None) -> Column:
+    """One of some values, columns or constants, by a bar's hour."""
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    out = F.when(F.hour("begin") % len(values) == 0, as_column(values[0]))
+    for k, v in enumerate(values[1:], 1):
+        out = out.when(F.hour("begin") % len(values) == k, as_column(v))
+    return out
+
+
+def hour_sql(*values: str) -> str:
+    return f"CASE hour(\"begin\") % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@query(f"""WITH {BARS} SELECT {SQL_IDS}, {hour_sql(*[f"'{t}'" for t in TIMEFRAMES])} AS timeframe, {hour_sql('"begin" + INTERVAL 15 MINUTE', '"begin" + INTERVAL 1 HOUR', '"begin" + INTERVAL 2 DAY', 'NULL', 'NULL', 'NULL', '"begin" + INTERVAL 10 MINUTE')} AS "end",
+ CAST({hour_sql('NULL', '60', 'NULL', 'NULL', 'NULL', 'NULL', '10')} AS INT) AS code FROM bars""")
 def q_timeframes(spark: SparkSession, d: str) -> DataFrame:
-    names = spark.createDataFrame([(x,) for x in ("15M", "1h", " 2D ", "0H", "1W", "", "10m")], "timeframe string")
-    first = bars_hourly(spark, d).agg(F.min("begin").alias("begin"))
-    return names.join(F.broadcast(first)).select("timeframe", (F.col("begin") + X.timeframe_interval("timeframe")).alias("end"), X.interval_code("timeframe").alias("code"))
+    rows = bars_hourly(spark, d).withColumn("timeframe", by_hour(TIMEFRAMES))
+    return rows.select(*IDS, "timeframe", (F.col("begin") + X.timeframe_interval("timeframe")).alias("end"), X.interval_code("timeframe").alias("code"))
 
 
 @query(f"""WITH {BARS}, b2 AS (SELECT ticker, "begin", close, 0 AS extra FROM bars UNION ALL SELECT ticker, "begin", close, 1 FROM bars WHERE hour("begin") < 6) SELECT ticker, count(*) AS n, CAST(sum(extra) AS BIGINT) AS extra FROM b2 GROUP BY ticker""")
@@ -279,9 +294,15 @@ def q_split_periods(spark: SparkSession, d: str) -> DataFrame:
     return S.split_periods(S.time_split(daily(spark, d)))
 
 
-@query(f"WITH {split_sql(1000, DAYS)} SELECT ticker, timeframe FROM sp GROUP BY ticker, timeframe HAVING max(\"begin\") FILTER (WHERE split = 'train') >= min(\"begin\") FILTER (WHERE split = 'val')")
+MIXED_UP = "CASE WHEN split = 'test' AND left(ticker, 1) IN ('1', '4') AND dayofmonth(\"begin\") = 1 THEN 'train' WHEN split = 'val' AND left(ticker, 1) = '2' AND dayofmonth(\"begin\") = 15 THEN 'test' ELSE split END"
+
+
+@query(f"""WITH {split_sql(1000, DAYS)}, mixed AS (SELECT * REPLACE ({MIXED_UP} AS split) FROM sp), e AS (SELECT ticker, timeframe, {', '.join(f"{f}(\"begin\") FILTER (WHERE split = '{x}') AS {x}_{f}" for x in ('train', 'val', 'test') for f in ('min', 'max'))} FROM mixed GROUP BY ticker, timeframe)
+ SELECT ticker, timeframe FROM e WHERE train_max >= val_min OR val_max >= test_min OR train_max >= test_min""")
 def q_split_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return S.leaks(S.time_split(daily(spark, d))).select("ticker", "timeframe")
+    """Splits of some series are mixed up; the others are found clean."""
+    split = S.time_split(daily(spark, d))
+    return S.leaks(split.withColumn("split", F.expr(MIXED_UP.replace('"begin"', "begin")))).select("ticker", "timeframe")
 
 
 @query(f"""WITH {BARS}, {GOOD}, n0 AS (SELECT *, count(*) OVER (PARTITION BY ticker, timeframe) AS n, row_number() OVER ({OWN}) - 1 AS i FROM c), f AS (SELECT *, unnest([0, 1, 2]) AS fold FROM n0),
@@ -587,15 +608,21 @@ def q_block_decode(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ticker", "begin", "end", *[r(c, 4) for c in PRICES], "volume")
 
 
-@query("""SELECT * FROM (VALUES ('2024-01-02T03:04:05Z', TIMESTAMP '2024-01-02 03:04:05'), ('2024-01-02T03:04:05+03:00', TIMESTAMP '2024-01-02 00:04:05'), (' 2024-01-02 03:04:05 ', TIMESTAMP '2024-01-02 03:04:05'), ('2024-01-02', TIMESTAMP '2024-01-02 00:00:00'), ('2024-01-02T03:04', TIMESTAMP '2024-01-02 03:04:00'), ('02.01.2024', NULL), ('', NULL)) t(text, time)""")
+@query(f"""WITH {BARS} SELECT {SQL_IDS}, {hour_sql('"begin"', '"begin"', '"begin"', 'CAST("begin" AS DATE)::TIMESTAMP', '"begin"', 'NULL', 'NULL', '"begin" + INTERVAL 125 MILLISECOND')} AS time FROM bars""")
 def q_flexible_time(spark: SparkSession, d: str) -> DataFrame:
-    texts = ("2024-01-02T03:04:05Z", "2024-01-02T03:04:05+03:00", " 2024-01-02 03:04:05 ", "2024-01-02", "2024-01-02T03:04", "02.01.2024", "")
-    return spark.createDataFrame([(x,) for x in texts], "text string").select("text", X.flexible_time("text").alias("time"))
+    """Begins as texts in several layouts, with and without a zone, and in two that are none."""
+    text = lambda layout, t="begin": F.date_format(t, layout)
+    later = F.col("begin") + F.expr("interval 3 hours")
+    texts = (text("yyyy-MM-dd'T'HH:mm:ss'Z'"), text("yyyy-MM-dd'T'HH:mm:ss'+03:00'", later), text("' 'yyyy-MM-dd HH:mm:ss' '"), text("yyyy-MM-dd"), text("yyyy-MM-dd'T'HH:mm"), text("dd.MM.yyyy"), "", text("yyyy-MM-dd'T'HH:mm:ss'.125'"))
+    return bars_hourly(spark, d).select(*IDS, X.flexible_time(by_hour(texts)).alias("time"))
 
 
-@query("SELECT * FROM (VALUES ('1.5', 1.5::DOUBLE), (' -2e3 ', -2000.0), ('3.25abc', 3.25), ('abc', 0.0), ('', 0.0), (NULL, 0.0)) t(text, number)")
+@query(f"WITH {BARS} SELECT {SQL_IDS}, {rr(hour_sql('close', '-close * 100', 'close', '0', '0', '0'), 4, 'number')} FROM bars")
 def q_lenient_float(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in ("1.5", " -2e3 ", "3.25abc", "abc", "", None)], "text string").select("text", X.lenient_double("text").alias("number"))
+    """Closes as texts: plain, with an exponent and spaces, with letters behind, with letters before, and none."""
+    close = F.col("close").cast("string")
+    texts = (close, F.concat(F.lit(" -"), close, F.lit("e2 ")), F.concat(close, F.lit("abc")), F.concat(F.lit("abc"), close), "", F.lit(None).cast("string"))
+    return bars_hourly(spark, d).select(*IDS, r(X.lenient_double(by_hour(texts)), 4, "number"))
 
 
 @query(f"""WITH {BARS} SELECT {SQL_IDS}, {rr('least(1.0, greatest(-1.0, (close - open) / 10))', 6, 'clamped')}, {rr('CASE WHEN high - low > 0 THEN (close - open) / (high - low) ELSE 0 END', 6, 'guarded')},
@@ -605,11 +632,18 @@ def q_number_functions(spark: SparkSession, d: str) -> DataFrame:
     return bars_hourly(spark, d).select(*IDS, r(X.clamp(move / 10, -1.0, 1.0), 6, "clamped"), r(X.guarded_ratio(move, span), 6, "guarded"), r(X.nonzero(span), 8, "nonzero"), X.class_sign(h % 4, 4).alias("sign4"), X.class_action(h % 5, 5).alias("action5"), X.clipped_token(h % 7 - 2, 3).cast("int").alias("clipped"))
 
 
-@query("""SELECT * FROM (VALUES (' buy ', 'BUY', 0.0, 1, 'x'), ('Sell', 'SELL', 0.0, 0, 'oops'), ('bullish', 'HOLD', 1.0, -1, '{"a": 1}'), ('BEARISH ', 'HOLD', -1.0, 1, 'y'), ('', 'HOLD', 0.0, 0, NULL)) t(text, action, direction, news, message)""")
+OBJECT_SQL = """concat('{"a": "', ticker, '"}')"""
+
+
+@query(f"""WITH {BARS} SELECT {SQL_IDS}, {hour_sql("'BUY'", "'SELL'", "'HOLD'", "'HOLD'", "'HOLD'")} AS action, {hour_sql('0.0', '0.0', '1.0', '-1.0', '0.0')}::DOUBLE AS direction, CAST({hour_sql('1', '0', '-1', '1', '0')} AS INT) AS news,
+ {hour_sql("concat('no ', ticker)", "concat('oops ', ticker)", OBJECT_SQL, "concat('late ', ticker)", 'NULL')} AS message FROM bars""")
 def q_text_functions(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(" buy ", "Profits BEAT", "", '{"detail": "x", "error": "z"}'), ("Sell", "nothing", None, " oops "), ("bullish", "trading halt", "", '{"a": 1}'), ("BEARISH ", None, "рост и суд", '{"detail": "", "error": "y"}'), ("", "", "", None)]
-    df = spark.createDataFrame(rows, "text string, title string, summary string, body string")
-    return df.select("text", X.known_action("text").alias("action"), X.direction_of("text").alias("direction"), X.keyword_class(F.col("title"), F.col("summary")).alias("news"), X.error_message("body").alias("message"))
+    """Actions, directions, news and answers of a service, as texts about each bar."""
+    of = lambda *parts: F.concat(*[F.col("ticker") if p == "t" else F.lit(p) for p in parts])
+    text = by_hour((" buy ", "Sell", "bullish", "BEARISH ", ""))
+    title, summary = by_hour((of("t", " profits BEAT"), of("nothing on ", "t"), of("trading halt of ", "t"), F.lit(None).cast("string"), "")), by_hour(("", F.lit(None).cast("string"), "", "рост и суд", ""))
+    body = by_hour((of('{"detail": "no ', "t", '", "error": "z"}'), of(" oops ", "t", " "), of('{"a": "', "t", '"}'), of('{"detail": "", "error": "late ', "t", '"}'), F.lit(None).cast("string")))
+    return bars_hourly(spark, d).select(*IDS, X.known_action(text).alias("action"), X.direction_of(text).alias("direction"), X.keyword_class(title, summary).cast("int").alias("news"), X.error_message(body).alias("message"))
 
 
 @query(f"""WITH {BARS}, a AS (SELECT {SQL_IDS}, [(hour("begin") % 3)::DOUBLE, 1.0, (hour("begin") % 4)::DOUBLE] AS p, list_transform(range(0, 8), lambda i: (i * hour("begin")) % 5) AS t FROM bars)

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import blocks, features, split
+from barloom.operators import blocks, evaluate, features, split
 from barloom.session import SERIES
 
 
@@ -53,3 +54,27 @@ def test_no_task_holds_a_series(spark):
     plan = features.with_indicators(df)._jdf.queryExecution().executedPlan().toString()
     parts = [x for x in plan.splitlines() if "Window" in x and "_block" in x]
     assert parts and split.time_split(df).groupBy("split").count().count() == 3
+
+
+def test_curves_by_blocks(spark, monkeypatch):
+    """Equity, drawdown and running sums are carried over blocks of 60 rows."""
+    df = candles(spark, 500).withColumns({"signal": F.pmod(F.xxhash64("begin"), F.lit(3)).cast("int") - 1, "prediction": F.pmod(F.xxhash64("close"), F.lit(3)).cast("int"), "token": F.lit(1), "forward_return": F.col("high") / F.col("low") - 1.02})
+    def found():
+        curve = evaluate.backtest_curve(df, lag=2).toPandas().set_index(["ticker", "begin"]).sort_index()
+        return curve, *[f.toPandas().set_index("ticker").sort_index() for f in (evaluate.trading_summary(df, 3), evaluate.simple_trading_metrics(df))]
+    whole = found()
+    monkeypatch.setattr(evaluate, "ROWS", 60)
+    for a, b in zip(whole, found(), strict=True):
+        pd.testing.assert_frame_equal(a, b[a.columns], rtol=1e-9, atol=1e-12)
+
+
+def test_strict_outcomes(spark):
+    """A prediction without a candle of its own is left out, or an error."""
+    c = candles(spark, 30, gaps=False).select(*SERIES, "begin", "close")
+    said = c.select(*SERIES, F.col("begin").alias("timestamp"), F.lit(1).alias("prediction"))
+    n = evaluate.outcomes(said, c, 2).count()
+    assert evaluate.outcomes(said, c, 2, strict=True).count() == n == 28 + 5
+    lost = c.where("ticker <> 'A' or hour(begin) <> 7")
+    assert evaluate.outcomes(said, lost, 2).count() < n
+    with pytest.raises(Exception, match="no candle at"):
+        evaluate.outcomes(said, lost, 2, strict=True).collect()
