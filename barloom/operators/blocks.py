@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
+#: The columns of rows dealt in blocks.
+DEALT = ("_block", "_own", "_start")
 #: Rows of a block, but for its last day.
 ROWS = 1 << 16
 

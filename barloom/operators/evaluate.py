@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import class_sign
 from ..session import SERIES
-from .blocks import ROWS, dealt, running
+from .blocks import DEALT, ROWS, dealt, running
 from .features import series
 
 
@@ -56,7 +56,7 @@ def backtest_curve(df: DataFrame, capital: float = 100_000.0, commission: float
     df = df.withColumn("strategy_return", F.col("_s") * F.col("bar_return") - F.col("traded") * commission).where("_own")
     df = running(df, keys, "product", 1 + F.col("strategy_return"), "equity", many).withColumn("equity", F.col("equity") * capital)
     df = running(df, keys, "max", F.col("equity"), "_peak", many)
-    return df.withColumn("drawdown", F.try_divide(F.col("_peak") - F.col("equity"), F.col("_peak"))).drop("_s", "_peak", "_block", "_own", "_start")
+    return df.withColumn("drawdown", F.try_divide(F.col("_peak") - F.col("equity"), F.col("_peak"))).drop("_s", "_peak", *DEALT)
 
 
 def sharpe(x: str) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import blocks, evaluate, features, split
+from barloom.operators import blocks, evaluate, features, split, windows
 from barloom.session import SERIES
 
 
@@ -78,3 +78,14 @@ def test_strict_outcomes(spark):
     assert evaluate.outcomes(said, lost, 2).count() < n
     with pytest.raises(Exception, match="no candle at"):
         evaluate.outcomes(said, lost, 2, strict=True).collect()
+
+
+def test_windows_by_blocks(spark, monkeypatch):
+    """Windows and contexts reach back over the ends of blocks."""
+    df = candles(spark, 400).withColumn("token", F.pmod(F.xxhash64("begin"), F.lit(4)).cast("int") - F.when(F.hour("begin") == 3, 2).otherwise(0)).withColumn("token", F.greatest("token", F.lit(-1)))
+    def found():
+        made = (windows.sequence_windows(df, 12, ["close", "volume"]), windows.tabular_windows(df, 5, ["close"], token=None), windows.token_windows(df, 4, 3), windows.last_windows(df, 6, ["close"]))
+        return [(sorted(m.columns), sorted(map(str, m.select(*sorted(m.columns)).collect()))) for m in made]
+    whole = found()
+    monkeypatch.setattr(windows, "ROWS", 50)
+    assert found() == whole and [len(rows) for _, rows in whole][3] == 2
