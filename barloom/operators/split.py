@@ -25,8 +25,9 @@ def time_split(df: DataFrame, train: float = 0.7, val: float = 0.15, test: float
 
 def with_positions(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """df of time_split with position, a candle's place in its series from 0 on, and split_position, its place in its split."""
-    df = numbered(numbered(df, keys, "position"), (*keys, "split"), "split_position")
-    return df.withColumns({c: F.col(c).cast("int") for c in ("position", "split_position")}).drop("_total")
+    df = numbered(df, keys, "position").withColumn("_part", F.coalesce("split", F.lit("")))
+    df = numbered(df, (*keys, "_part"), "split_position")
+    return df.withColumns({c: F.col(c).cast("int") for c in ("position", "split_position")}).drop("_total", "_part")
 
 
 def leaks(df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:

@@ -324,14 +324,15 @@ TOKENS = f"{EDGES}, tk AS (SELECT mv.*, CASE WHEN move IS NULL OR edges IS NULL
 
 def moved(spark: SparkSession, d: str) -> DataFrame:
     keys = T.SPLIT_KEYS
-    frame = stored(W.with_indicators(S.time_split(hourly(spark, d), least_train=LEAST).where("split is not null"), keys), "indicators")
+    parts = stored(S.time_split(hourly(spark, d), least_train=LEAST).where("split is not null"), "split")
+    frame = stored(W.with_indicators(parts, keys), "indicators")
     return frame.withColumns({"move": L.forward_move(1, keys), "forward_return": L.forward_return(1, keys)})
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each series by edges of its own training split."""
     frame = moved(spark, d)
-    return L.with_tokens(frame, L.fit_edges(frame.where("split = 'train'"), K, keys=KEYED), K, keys=KEYED)
+    return stored(L.with_tokens(frame, L.fit_edges(frame.where("split = 'train'"), K, keys=KEYED), K, keys=KEYED), "tokens")
 
 
 @query(f"{MOVED} SELECT {SQL_IDS}, split, {rr('move')}, {rr('forward_return')} FROM mv")

@@ -40,7 +40,7 @@ class Spec:
 
 def features_and_tokens(candles: DataFrame, spec: Spec, least_train: int = 1000) -> tuple[DataFrame, Tokenizer]:
     """Clean, split by time, then features and moves within each split; tokens are fitted on the training split alone."""
-    parts = time_split(clean_candles(candles), least_train=least_train).where("split is not null")
+    parts = stored(time_split(clean_candles(candles), least_train=least_train).where("split is not null"), "split")
     frame = stored(with_indicators(parts, SPLIT_KEYS), "indicators")
     tokenizer = Tokenizer.fit(frame.where("split = 'train'"), spec.n_classes, spec.horizon, SPLIT_KEYS)
     return tokenizer.transform(frame, SPLIT_KEYS).withColumn("forward_return", forward_return(spec.horizon, SPLIT_KEYS)), tokenizer
@@ -109,7 +109,7 @@ class Prepared:
 
     @staticmethod
     def of(candles: DataFrame, specs: list[Spec], least_train: int) -> Prepared:
-        parts = time_split(clean_candles(candles), least_train=least_train).where("split is not null")
+        parts = stored(time_split(clean_candles(candles), least_train=least_train).where("split is not null"), "split")
         horizons, classes = sorted({s.horizon for s in specs}), tuple(sorted({s.n_classes for s in specs}))
         frame = with_indicators(parts, SPLIT_KEYS)
         frame = stored(frame.withColumns({f"move_{h}": forward_move(h, SPLIT_KEYS) for h in horizons} | {f"forward_return_{h}": forward_return(h, SPLIT_KEYS) for h in horizons}), "indicators")
