@@ -94,6 +94,7 @@ RULES = (
     Rule("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
     Rule("digits", "20 * n_digits <= n_letters + n_digits", "10 * n_digits > 3 * (n_letters + n_digits)"),
     Rule("capitals", "10 * n_capitals <= n_letters", "10 * n_capitals > 3 * n_letters"),
+    Rule("letters", "10 * n_letters >= 9 * word_chars", "10 * n_letters < 7 * word_chars"),
     Rule("repetition", "10 * n_repeat_words <= n_words and 10 * n_dup_lines <= n_lines", "10 * n_repeat_words > 3 * n_words or 10 * n_dup_lines > 3 * n_lines"),
 )
 #: Texts for which the verdict is settled beforehand; the rules learn nothing from them.
@@ -105,37 +106,64 @@ def votes(rules: tuple[Rule, ...]) -> Column:
     return F.concat(*[F.when(F.expr(r.bad), "b").when(F.expr(r.good), "g").otherwise("-") for r in rules])
 
 
-#: Beliefs about a rule's answers (good, bad, abstains), each worth as much as all rows: of good texts, and of texts with its own fault.
-#: Other faults' texts answer as the data say, but for small pseudo-counts.
-OF_GOOD, OF_FAULT, OF_OTHERS = np.array([0.9, 0.0001, 0.0999]), np.array([0.005, 0.99, 0.005]), np.array([0.01, 0.0002, 0.005])
+#: Beliefs about a rule's answers (good, bad, abstains) in rows of each class: in good texts, in texts with its own fault, and in texts
+#: with another one.
+OF_GOOD, OF_FAULT, OF_OTHERS = np.array([27.0, 1.0, 2.0]), np.array([0.5, 29.0, 0.5]), np.array([1.0, 0.1, 0.5])
+
+
+def estimated(n: np.ndarray, one: np.ndarray, faults: list[int], rounds: int) -> tuple[np.ndarray, float]:
+    """Posterior of each class (good, then each of the faults) by pattern, and the log-likelihood of all rows.
+
+    Expectation-maximisation. A pattern without a bad vote is good, whatever the rules' rates; the others start half good, half
+    of the faults whose rules say bad.
+    """
+    fired = one[:, faults, 1]
+    clean = ~one[:, :, 1].any(1)
+    some = fired.sum(1, keepdims=True)
+    share = np.column_stack([np.where(some[:, 0] > 0, 0.5, 1.0), 0.5 * fired / np.maximum(1, some)])
+    prior = np.tile(OF_OTHERS, (1 + len(faults), one.shape[1], 1))
+    prior[0] = OF_GOOD
+    prior[1 + np.arange(len(faults)), faults] = OF_FAULT
+    for _ in range(rounds):
+        answers = np.einsum("p,pc,pra->cra", n, share, one) + prior
+        size = np.einsum("p,pc->c", n, share) + 1
+        log = np.log(size / size.sum()) + np.einsum("pra,cra->pc", one, np.log(answers / answers.sum(2, keepdims=True)))
+        log[clean, 1:] = -np.inf
+        most = log.max(1, keepdims=True)
+        share = np.exp(log - most)
+        total = share.sum(1, keepdims=True)
+        share /= total
+    return share, float(n @ (most + np.log(total))[:, 0])
 
 
 def fit(patterns: dict[str, int], n_rules: int, rounds: int = 100) -> dict[str, float]:
     """Posterior probability of good by pattern of votes.
 
-    A hidden class is good or one rule's fault: faulty texts mostly have one fault and look fine to the other rules, so with a
-    single class of bad texts the other rules' good votes, which are not independent evidence then, would outvote the one that
-    saw it. In each class each rule has probabilities of its three answers; expectation-maximisation estimates them and the
-    classes' shares. It starts from good where no rule says bad, and pseudo-counts tie each fault to its rule.
+    A hidden class is good or one rule's fault: faulty texts mostly have one fault and look fine to many rules, so with a single
+    class of bad texts those rules' good votes, which are not independent evidence then, would outvote the ones that saw it. In
+    each class each rule has probabilities of its three answers; expectation-maximisation estimates them and the classes' shares.
+
+    A rule is trusted as far as others bear it out. Faults become classes one after the other, each time the one that explains the
+    rows best, as long as it adds more log-likelihood than the class has free parameters (Akaike's criterion). It does if texts
+    that the rule calls bad are answered otherwise by the other rules too. Bad votes that go with nothing else are taken for false alarms
+    among good texts. So a noisy rule is outvoted, whether it speaks up often or rarely, and a fault that one rule
+    alone can see needs a second rule. A pattern without a bad vote is good. In a table of few rows nothing is borne out, and all
+    are kept. Ties go to the earlier rule.
     """
     names = sorted(patterns)
     if not names:
         return {}
     n = np.array([patterns[p] for p in names], float)
-    code = np.array([["gb-".index(c) for c in p] for p in names]).reshape(len(names), n_rules)
-    one = np.eye(3)[code]
-    fired = one[:, :, 1]
-    bad = np.where(fired.any(1), 0.9, 0.1)
-    kinds = np.where(fired.any(1)[:, None], fired / np.maximum(1, fired.sum(1, keepdims=True)), 1 / n_rules)
-    share = np.column_stack([1 - bad, bad[:, None] * kinds])
-    prior = np.tile(OF_OTHERS, (1 + n_rules, n_rules, 1))
-    prior[0] = OF_GOOD
-    prior[1 + np.arange(n_rules), np.arange(n_rules)] = OF_FAULT
-    for _ in range(rounds):
-        answers = np.einsum("p,pc,pra->cra", n, share, one) + n.sum() * prior
-        log = np.log(np.einsum("p,pc->c", n, share) + 1) + np.einsum("pra,cra->pc", one, np.log(answers / answers.sum(2, keepdims=True)))
-        share = np.exp(log - log.max(1, keepdims=True))
-        share /= share.sum(1, keepdims=True)
+    one = np.eye(3)[np.array([["gb-".index(c) for c in p] for p in names]).reshape(len(names), n_rules)]
+    faults: list[int] = []
+    share, known = estimated(n, one, faults, rounds)
+    while left := [r for r in range(n_rules) if r not in faults and one[:, r, 1].any()]:
+        tried = {r: estimated(n, one, [*faults, r], rounds) for r in left}
+        best = max(left, key=lambda r: tried[r][1])
+        if tried[best][1] - known <= 2 * n_rules + 1:
+            break
+        faults.append(best)
+        share, known = tried[best]
     return dict(zip(names, share[:, 0].tolist(), strict=True))
 
 
