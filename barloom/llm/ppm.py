@@ -3,8 +3,8 @@
 A text is its words, each ended by a space, and a line feed at the end; letters A-Z are lowered. A byte is predicted from at
 most `order` bytes before it in its text, across the spaces between words. The trie of contexts is kept as counts of grams
 (context and byte) and dealt in bounded parts by the context's last three bytes, so that a context and all its suffixes of three
-bytes or more are in one part; of shorter ones there are at most 2^24 counts, and these go everywhere. A part holds the trie level
-by level as sorted arrays. Shorter contexts count contexts, not occurrences (update exclusion). Escapes are estimated by method D (half a count of each distinct symbol goes to the escape) and symbols
+bytes or more are in one part; of shorter ones there are at most 2^24 counts, of six bytes each (100 MB at the most), and these
+go everywhere. A part holds the trie level by level as sorted arrays, is made once, and what is asked of it streams through. Shorter contexts count contexts, not occurrences (update exclusion). Escapes are estimated by method D (half a count of each distinct symbol goes to the escape) and symbols
 of longer contexts are excluded: they all occur in the shorter ones too, so what a level has left is its sum less theirs.
 
 Beside the bytes, a word seen in training has its share of all, and the escape from whole words to bytes is the share of words seen
@@ -33,8 +33,8 @@ from .words import coded, plain, raw, slices, split, sums
 ORDER, SPACE, END = 5, 0x20, 0x0A
 #: The escape from a text's own words after n of them: 1 - n / (2 * (n + SETTLES)).
 SETTLES = 300
-#: Bytes of texts, and words, whose grams are laid out at once; grams of a part of the trie, and chunks that ask a copy of a part.
-SLICE, WORDS, PART, ASKING = 2 << 20, 1 << 18, 500_000, 64
+#: Bytes of texts, and words, whose grams are laid out at once; grams of a part of the trie, and of the lists that are answered at once.
+SLICE, WORDS, PART, ASKED = 2 << 20, 1 << 18, 500_000, 1 << 22
 #: Multiplier that spreads the last three bytes of contexts over parts.
 SPREAD = 0x9E3779B1
 #: So many of the most frequent words, of at most so many bytes, go to all tasks (9 MB at the most) and are not asked for by chunk.
@@ -133,7 +133,7 @@ def trie(grams: np.ndarray, counts: np.ndarray, low: tuple[np.ndarray, np.ndarra
         if k == order:
             of, n = grams, counts
         elif k == 2:
-            of, n = low
+            of, n = (x.astype(np.int64) for x in low)
         else:
             of, n = tables[-1][0] & ((1 << 8 * (k + 1)) - 1), np.ones(len(tables[-1][0]), np.int64)
         tables.append(summed(of, n))
@@ -260,13 +260,14 @@ def part_of(gram: np.ndarray, n_parts: int) -> np.ndarray:
     return ((((gram >> 8) & 0xFFFFFF) * SPREAD & 0xFFFFFFFF) >> 8) % n_parts
 
 
-def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text", order: int = ORDER, chunk_bytes: int = 24 << 20, asked: int = ASKED) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row's whole text; null texts count as empty.
 
     learns: the rows to learn from. Tokens are words and one end per text. base_score: add-one unigrams over tokens. score:
     log10 probability by partial matching, learned and adaptive. Words and grams are counted over all rows to learn from; each chunk of texts is
     given the counts of its own words and the probabilities of its own grams, whatever the size of the whole vocabulary. Grams and
-    their probabilities travel as one list for each chunk and part of the trie; a part is copied for every ASKING chunks.
+    their probabilities travel as one list for each chunk and part of the trie. Each part is made once, whatever the number of
+    chunks, from its grams, which come before the lists; about `asked` grams of lists are held and answered at a time.
     """
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
     rows = written(chunked(rows, chunk_bytes), "texts")
@@ -304,10 +305,9 @@ def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text
 
     grams = written(rows.where("learns").select("text").mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     longer = grams.select(F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("g")).distinct()
-    got = longer.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF)).alias("g")).agg(F.count("*").alias("n")).toArrow()
-    low = (got.column("g").to_numpy().astype(np.int64), got.column("n").to_numpy().astype(np.int64))
+    got = longer.groupBy(F.col("g").bitwiseAND(F.lit(0xFFFFFF)).cast("int").alias("g")).agg(F.count("*").cast("short").alias("n")).toArrow()
+    low = (got.column("g").to_numpy(), got.column("n").to_numpy())
     n_parts = int(grams.count() // PART) + 1
-    copies = rows.select("chunk").distinct().count() // ASKING + 1
 
     def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked(chunk: int, words: list[pa.Array], own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -339,18 +339,54 @@ def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text
 
     needs = written(rows.select("chunk", "text").mapInArrow(need, "chunk long, word binary, part int, grams binary"), "needs")
 
-    def predict(wanted: pa.Table, learned: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x.as_py(), np.int64) for x in wanted.column("grams")]
-        needed = distinct_of(np.concatenate([np.zeros(0, np.int64), *lists]))
-        of = lambda c: learned.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        p = predicted(needed, trie(of("gram"), of("n"), low, order)).astype(np.float32) if len(needed) else np.zeros(0, np.float32)
-        return pa.table([wanted.column("chunk"), wanted.column("grams"), pa.array([p[np.searchsorted(needed, x)].tobytes() for x in lists], pa.binary())], names=["chunk", "grams", "p"])
+    def answered(chunks: list[pa.Array], lists: list[pa.Array], levels: list[Level]) -> pa.RecordBatch:
+        chunk, packed = pa.concat_arrays(chunks), pa.concat_arrays(lists)
+        own = [np.frombuffer(x.as_py(), np.int64) for x in packed]
+        needed = distinct_of(np.concatenate(own))
+        p = predicted(needed, levels).astype(np.float32)
+        return pa.RecordBatch.from_arrays([chunk, packed, pa.array([p[np.searchsorted(needed, x)].tobytes() for x in own], pa.binary())], ["chunk", "grams", "p"])
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by part, in each the grams learned before the lists asked for."""
+        last, learned, levels = None, [], None
+        chunks, lists, held = [], [], 0
+        for batch in batches:
+            part, is_list = (x.to_numpy(zero_copy_only=False) for x in (batch.column("part"), pc.is_valid(batch.column("grams"))))
+            starts = np.flatnonzero(np.diff(2 * part.astype(np.int64) + is_list, prepend=-1))
+            for at, to in zip(starts, np.append(starts[1:], len(part)), strict=True):
+                if part[at] != last:
+                    if lists:
+                        yield answered(chunks, lists, levels)
+                    last, learned, levels = part[at], [], None
+                    chunks, lists, held = [], [], 0
+                run = batch.slice(at, to - at)
+                if not is_list[at]:
+                    learned.append([run.column(c).to_numpy(zero_copy_only=False).copy() for c in ("gram", "n")])
+                    continue
+                if levels is None:
+                    none = np.zeros(0, np.int64)
+                    levels = trie(*(np.concatenate([none, *x]) for x in (zip(*learned, strict=True) if learned else ([], []))), low, order)
+                    learned = []
+                sizes = np.cumsum(pc.binary_length(run.column("grams")).to_numpy(zero_copy_only=False).astype(np.int64)) // 8
+                cuts = np.flatnonzero(np.diff((held + sizes) // asked, prepend=held // asked))
+                for k, (a, b) in enumerate(zip(np.append(0, cuts), np.append(cuts, to - at), strict=True)):
+                    if k and lists:
+                        yield answered(chunks, lists, levels)
+                        chunks, lists = [], []
+                    if b > a:
+                        chunks.append(run.column("chunk").slice(a, b - a))
+                        lists.append(run.column("grams").slice(a, b - a))
+                held = int(held + sizes[-1])
+        if lists:
+            yield answered(chunks, lists, levels)
 
     tail = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFFFF))
     own_part = (F.shiftright((tail * SPREAD).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % n_parts).cast("int")
-    there = grams.select("gram", "n", own_part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    wanted = needs.where("grams is not null").select("chunk", "grams", "part", F.pmod(F.xxhash64("chunk"), F.lit(copies)).cast("int").alias("copy"))
-    chance = wanted.groupBy("part", "copy").cogroup(there.groupBy("part", "copy")).applyInArrow(predict, "chunk long, grams binary, p binary")
+    nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    there = grams.select(own_part.alias("part"), "gram", "n", *nothing("long", "chunk"), *nothing("binary", "grams"))
+    wanted = needs.where("grams is not null").select("part", *nothing("long", "gram", "n"), "chunk", "grams")
+    by_part = there.unionByName(wanted).repartition(n_parts, "part").sortWithinPartitions("part", F.col("grams").isNotNull())
+    chance = by_part.mapInArrow(predict, "chunk long, grams binary, p binary")
     known = needs.where("word is not null").select("chunk", "word").join(counts, "word")
     facts = known.select("chunk", "word", "n", *[F.lit(None).cast("binary").alias(c) for c in ("grams", "p")]).unionByName(chance.select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"), "grams", "p"))
     names = ["_id", "n_tokens", "n_known", "base_score", "score"]

@@ -345,9 +345,9 @@ def test_ppm_adapts():
     assert np.isfinite(ppm.blended(np.array([-5000.0]), np.array([9]), np.array([1]))).all()
 
 
-@pytest.mark.parametrize("chunk", [60, 12 << 20])
-def test_ppm_scores(docs, empty, chunk):
-    got = {r["doc_id"]: r for r in ppm.score(docs, ~held_out("doc_id", 7), chunk_bytes=chunk).collect()}
+@pytest.mark.parametrize(("chunk", "asked"), [(60, ppm.ASKED), (60, 40), (12 << 20, ppm.ASKED), (12 << 20, 1)])
+def test_ppm_scores(docs, empty, chunk, asked):
+    got = {r["doc_id"]: r for r in ppm.score(docs, ~held_out("doc_id", 7), chunk_bytes=chunk, asked=asked).collect()}
     lower = lambda t: re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())
     split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", lower(t))
     rows = [*enumerate(TEXTS), (None, "no id")]
