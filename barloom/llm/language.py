@@ -113,13 +113,14 @@ class LanguageModel:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_language: int = 2000, rounds: int = 2, path: str = P.VOCABULARY) -> LanguageModel:
     """Piece probabilities by expectation-maximisation over all segmentations.
 
-    The classifier is fitted on a sample of about rows_per_language labelled rows of each language, drawn by a hash of the
-    text and written down; a language with fewer rows uses them all. Rows with a null language or text teach nothing; words over
-    P.LONG bytes teach in parts. What reaches the driver is one count per language and, each round, one expected count per
+    The classifier is fitted on a sample of about rows_per_language distinct labelled texts of each language, drawn by a hash of
+    the text and written down; a language with fewer uses them all. A text teaches a language once, however often it is repeated, so
+    copies neither fill the sample nor leave it empty; how many distinct texts there are is told by a sketch, within some 5 %.
+    Rows with a null language or text teach nothing; words over P.LONG bytes teach in parts. What reaches the driver is one count per language and, each round, one expected count per
     language and piece.
     """
     labelled = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
     langs = tuple(sorted(counts))
     vocabulary, tree = P.vocabulary(path), P.trie(path)
     byte_ids, widths = np.array(vocabulary.byte_ids), np.array([len(p) or 1 for p in vocabulary.pieces])
@@ -130,8 +131,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", rows_per_lang
     if not langs:
         return LanguageModel((), chance, path)
     parts = 1_000_000
-    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(-(-parts * rows_per_language // counts[k])))])
-    sample = written(labelled.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < share[F.col("lang")]), "language-sample")
+    share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(-(-parts * rows_per_language // max(1, counts[k]))))])
+    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(parts)) < share[F.col("lang")])
+    sample = written(drawn.distinct(), "language-sample")
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, len(langs)))

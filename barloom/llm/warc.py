@@ -150,7 +150,9 @@ def frame_end(data: memoryview, at: int) -> int:
 
 
 def unpacked(content: bytes, most: int = MOST_BYTES) -> Iterator[bytes | ValueError]:
-    """Each record's bytes, one frame at a time; an error ends the archive, and so does a record of more than most bytes."""
+    """Each record's bytes, one frame at a time. A frame that cannot be decoded, or to more than most bytes only, is an error, and the
+    next frame follows; where no frame can be told from the next one, the archive ends.
+    """
     data, at, decompressor = memoryview(content), 0, zstandard.ZstdDecompressor()
     first = True
     while at < len(data):
@@ -166,7 +168,11 @@ def unpacked(content: bytes, most: int = MOST_BYTES) -> Iterator[bytes | ValueEr
                 at += 8 + size
             else:
                 end = frame_end(data, at)
-                yield within(decompressor, data[at:end], most)
+                try:
+                    out = within(decompressor, data[at:end], most)
+                except (zstandard.ZstdError, ValueError) as e:
+                    out = ValueError(f"at byte {at}: {e}")
+                yield out
                 at = end
             first = False
         except (zstandard.ZstdError, struct.error, ValueError) as e:

@@ -136,6 +136,12 @@ def test_language(spark, docs, empty, sf_dir):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got) and all(0 <= r["score"] <= 1 for r in got)
     odd = {r["doc_id"]: r["language"]["lang_pred"] for r in language.identify(docs, model).collect()}
     assert odd[1] == odd[2] == odd[3] == "und" and odd[0] in model.langs
+    copies = spark.createDataFrame([("eins zwei drei", "de")] * 300 + [(f"one two three {i}", "en") for i in range(40)], "text string, lang string")
+    few = language.learn(copies, rows_per_language=10)
+    told = language.identify(copies.distinct(), few).select("lang", "language.lang_pred").collect()
+    assert few.langs == ("de", "en") and all(x[0] == x[1] for x in told)
+    once = language.learn(copies.distinct(), rows_per_language=10)
+    assert np.allclose(few.chance, once.chance), "copies weigh nothing"
     nothing = language.learn(empty)
     assert {r["language"]["lang_pred"] for r in language.identify(docs, nothing).collect()} == {"und"}
 
@@ -519,8 +525,10 @@ def test_damaged_archives(spark):
     assert [warc.parsed(x)["page_id"] for x in warc.unpacked(head + b"".join(frames))] == [str(i) for i in range(60)]
     cut = list(warc.unpacked(head + frames[0] + frames[1][:-3]))
     assert isinstance(cut[-1], ValueError) and len(cut) == 2
-    large = list(warc.unpacked(head + frames[0] + compressor.compress(b"0" * 5000), most=1000))
-    assert len(large) == 2 and "more than 1000" in str(large[1])
+    large = list(warc.unpacked(head + frames[0] + compressor.compress(b"0" * 5000) + frames[1], most=1000))
+    assert len(large) == 3 and "more than 1000" in str(large[1]) and large[2] == r[1]
+    whole, other = compressor.compress(r[4]), list(warc.unpacked(head + frames[0] + frames[4][:-1] + bytes([frames[4][-1] ^ 1]) + frames[1]))
+    assert whole == frames[4] and other[0] == r[0] and other[-1] == r[1]
     assert isinstance(list(warc.unpacked(b"GIF89a...."))[0], ValueError) and list(warc.unpacked(b"")) == []
     assert warc.parsed(r[3].replace(b"Content-Length: 150\r\n", b"Content-Length: 150\r\n", 1))["problem"] is None
     assert warc.parsed(r[3][:-5])["problem"] == "bad Content-Length" and warc.parsed(b"WARC/0.9\r\n\r\n")["problem"] == "bad head"
