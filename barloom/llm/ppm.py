@@ -34,7 +34,7 @@ ORDER, SPACE, END = 5, 0x20, 0x0A
 #: The escape from a text's own words after n of them: 1 - n / (2 * (n + SETTLES)).
 SETTLES = 300
 #: Bytes of texts, and words, whose grams are laid out at once; grams of a part of the trie, and of the lists that are answered at once.
-SLICE, WORDS, PART, ASKED = 2 << 20, 1 << 18, 500_000, 1 << 22
+SLICE, WORDS, PART, ASKED = 2 << 20, 1 << 18, 500_000, 1 << 20
 #: Multiplier that spreads the last three bytes of contexts over parts.
 SPREAD = 0x9E3779B1
 #: So many of the most frequent words, of at most so many bytes, go to all tasks (9 MB at the most) and are not asked for by chunk.
@@ -385,7 +385,7 @@ def score(docs: DataFrame, learns: Column, id: str = "doc_id", text: str = "text
     nothing = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
     there = grams.select(own_part.alias("part"), "gram", "n", *nothing("long", "chunk"), *nothing("binary", "grams"))
     wanted = needs.where("grams is not null").select("part", *nothing("long", "gram", "n"), "chunk", "grams")
-    by_part = there.unionByName(wanted).repartition(n_parts, "part").sortWithinPartitions("part", F.col("grams").isNotNull())
+    by_part = there.unionByName(wanted).repartition(4 * n_parts, "part").sortWithinPartitions("part", F.col("grams").isNotNull())
     chance = by_part.mapInArrow(predict, "chunk long, grams binary, p binary")
     known = needs.where("word is not null").select("chunk", "word").join(counts, "word")
     facts = known.select("chunk", "word", "n", *[F.lit(None).cast("binary").alias(c) for c in ("grams", "p")]).unionByName(chance.select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("n"), "grams", "p"))
