@@ -26,6 +26,7 @@ from ..session import CANDLE_COLUMNS, PRICES, SERIES, scratch, stored
 from ..sources import blocks as B
 from ..sources.files import bars_daily, bars_hourly, load_candles, load_predictions, union_by_name
 from ..sources.sinks import append_predictions, probability_columns, save_candles, save_pages, write_csv
+from ..streaming.features import feature_stream
 from . import routes as R
 from . import train as T
 
@@ -811,6 +812,49 @@ def q_stream_ema(spark: SparkSession, d: str) -> DataFrame:
     return finished(ST.ema_stream(rows, 20), at, "ema").select("ticker", F.col("begin").cast("timestamp_ntz").alias("begin"), r("ema"))
 
 
+def in_two_parts(spark: SparkSession, d: str, rows_of: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """What a stream gives for cleaned bars that come out of order: first the earlier half without the odd hours of its last twelve, but
+    with the even hours of the twelve after it, then the rest, by a query that goes on from its checkpoint.
+    """
+    at, candles = scratch(spark, "parts"), stored(hourly(spark, d).select(*CANDLE_COLUMNS), "candles")
+    ends = candles.agg(F.min("begin").alias("a"), F.max("begin").alias("b")).first()
+    half, near, begin = ends["a"] + (ends["b"] - ends["a"]) / 2, dt.timedelta(hours=12), F.col("begin")
+    early = (begin < F.lit(half - near)) | ((begin < F.lit(half + near)) & (F.hour("begin") % 2 == 0))
+    for part in (early, ~early):
+        candles.where(part).write.mode("append").parquet(f"{at}/in")
+        found = finished(rows_of(ST.candle_stream(spark, f"{at}/in")), at, name)
+    return found.withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+
+
+SETTLED = '"begin" < (SELECT max("begin") - INTERVAL 2 DAY FROM c)'
+
+
+@query(f"""{IND} SELECT {SQL_IDS}, {', '.join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in REAL)}, "hour", day_of_week, "month" FROM ind WHERE {SETTLED}""")
+def q_stream_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """Indicators from kept state, of bars out of order and a stream that was stopped in between: those of all bars at once."""
+    return in_two_parts(spark, d, lambda rows: feature_stream(rows, "2 days"), "features").select(*IDS, *[r(c) for c in REAL], "hour", "day_of_week", "month")
+
+
+WIDTH = len(W.FEATURES)
+
+
+def place_in_window(name: str) -> Column:
+    """A feature's values in a flattened window, from the first row to the last."""
+    return F.filter("window", lambda x, i: i % WIDTH == W.FEATURES.index(name))
+
+
+@query(f"""{IND}, w0 AS (SELECT {SQL_IDS}, list(close) OVER fr AS closes, list(coalesce(volume_ratio, 0)) OVER fr AS ratios, count(*) OVER fr AS n FROM ind WINDOW fr AS ({OWN} ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW))
+ SELECT {SQL_IDS}, {LENGTH} AS steps, {rr('list_sum(closes)', 4, 'sum_close')}, {rr(f'list_sum(list_transform(range(1, {LENGTH + 1}), lambda i: i * closes[i]))', 3, 'weighed_close')}, {rr('list_sum(ratios)', 5, 'sum_ratio')} FROM w0 WHERE n = {LENGTH} AND {SETTLED}""")
+def q_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Model windows from kept state, one for each bar that the watermark has passed."""
+    rows = in_two_parts(spark, d, lambda x: feature_stream(x, "2 days", LENGTH), "windows").where("window is not null")
+    summed = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    closes = place_in_window("close")
+    steps = (F.size("window") / WIDTH).cast("int").alias("steps")
+    return rows.select(*IDS, steps, r(summed(closes), 4, "sum_close"), r(summed(F.transform(closes, lambda x, i: x * (i + 1))), 3, "weighed_close"), r(summed(place_in_window("volume_ratio")), 5, "sum_ratio"))
+
+
+
 @query(f"WITH {BARS}, {GOOD} SELECT {SQL_IDS} FROM c")
 def q_stream_copies(spark: SparkSession, d: str) -> DataFrame:
     """Each bar comes twice, in two files; one is kept."""

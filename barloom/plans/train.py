@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import class_action, top_probability
@@ -17,6 +17,7 @@ from ..operators.labels import Tokenizer, fit_all_edges, forward_move, forward_r
 from ..operators.split import split_periods, time_split
 from ..operators.windows import last_windows, tabular_windows, token_windows
 from ..session import SERIES, read_document, stored, write_document
+from ..streaming.features import feature_stream
 
 SPLIT_KEYS = (*SERIES, "split")
 
@@ -189,7 +190,22 @@ def infer(candles: DataFrame, model, n_classes: int, length: int = 32, version:
     w = last_windows(with_indicators(candles), length, list(FEATURES))
     counts = candles.groupBy(*SERIES).agg(F.count("*").alias("n_candles_used"))
     scored = model.predict(w.withColumn("window", F.flatten("window"))).join(counts, list(SERIES))
-    return scored.select(*SERIES, F.col("last_begin").alias("timestamp"), F.col("prediction").alias("predicted_token"), "probabilities", class_action("prediction", n_classes).alias("action"), top_probability("probabilities").alias("confidence"), F.lit(version).alias("model_version"), "n_candles_used")
+    return scored.select(*SERIES, F.col("last_begin").alias("timestamp"), *answer(n_classes, version), "n_candles_used")
+
+
+def infer_stream(candles: DataFrame, model, n_classes: int, length: int = 32, late: str = "1 day", version: str = "latest") -> DataFrame:
+    """An answer for each candle of a stream when the watermark has passed it, from the last `length` rows that are kept of its series;
+    while there are fewer, none.
+    """
+    if isinstance(model, M.Markov):
+        raise ValueError("a Markov model has no features to answer from")
+    scored = model.predict(feature_stream(candles, late, length).where("window is not null"))
+    return scored.select(*SERIES, F.col("begin").alias("timestamp"), *answer(n_classes, version))
+
+
+def answer(n_classes: int, version: str) -> list[Column]:
+    """What is said of a prediction."""
+    return [F.col("prediction").alias("predicted_token"), F.col("probabilities"), class_action("prediction", n_classes).alias("action"), top_probability("probabilities").alias("confidence"), F.lit(version).alias("model_version")]
 
 
 def infer_stored(candles: DataFrame, path: str) -> DataFrame:
