@@ -42,12 +42,14 @@ def in_blocks(df: DataFrame, keys: tuple[str, ...], back: int, size: int = ROWS)
     return dealt(df, keys, back, size)[0]
 
 
-def dealt(df: DataFrame, keys: tuple[str, ...], back: int, size: int = ROWS) -> tuple[DataFrame, bool]:
-    """Whether a series has many blocks, and df with _block, _own and _start: rows of a series dealt in blocks of some `size` rows, whole days each, and before each block
-    copies (not _own) of the days that hold the `back` rows before it. _start is the place of a block's first row, copies included.
-
-    Windows that look back at most `back` rows give within (keys, _block) what they give within keys. Rows without a begin or a
-    key have a block of their own. Days are counted at once; where no series has more rows than a block, that is all there is to do.
+def dealt(df: DataFrame, keys: tuple[str, ...], back: int, size: int = ROWS, ahead: int = 0) -> tuple[DataFrame, bool]:
+    """Whether a series has many blocks, and df with _block, _own and _start: rows of a series dealt in blocks of some `size` rows, whole
+    days each, and around each block copies (not _own) of the days that hold the `back` rows before it and the `ahead` rows after it.
+    _start is the place of a block's first row, copies included.
+
+    Windows that look back at most `back` rows and forward at most `ahead` give within (keys, _block) what they give within keys. Rows
+    without a begin or a key have a block of their own. Days are counted at once; where no series has more rows than a block, that
+    is all there is to do.
     """
     named = [f"_{k}" for k in keys]
     counts = stored(day_counts(df, keys), "days")
@@ -55,10 +57,11 @@ def dealt(df: DataFrame, keys: tuple[str, ...], back: int, size: int = ROWS) ->
         known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, "begin")])
         return df.withColumns({"_block": F.when(known, 0).otherwise(-1), "_own": F.lit(True), "_start": F.lit(0)}), False
     days = counts.withColumn("_block", F.floor(F.col("_before") / size))
-    blocks = days.groupBy(*[F.col(k).alias(f"_of{k}") for k in named], F.col("_block").alias("_to")).agg(F.min("_before").alias("_begin"))
-    ends = F.col("_before") + F.col("_size")
-    near = [*[F.col(k) == F.col(f"_of{k}") for k in named], ends <= F.col("_begin"), ends > F.col("_begin") - back]
-    halo = days.join(blocks, near).select(*named, "_day", F.col("_to").alias("_block"), F.lit(False).alias("_own"), "_before")
+    blocks = days.groupBy(*[F.col(k).alias(f"_of{k}") for k in named], F.col("_block").alias("_to")).agg(F.min("_before").alias("_begin"), F.max(F.col("_before") + F.col("_size")).alias("_finish"))
+    starts, ends = F.col("_before"), F.col("_before") + F.col("_size")
+    earlier = (ends <= F.col("_begin")) & (ends > F.col("_begin") - back)
+    later = (starts >= F.col("_finish")) & (starts < F.col("_finish") + ahead)
+    halo = days.join(blocks, [*[F.col(k) == F.col(f"_of{k}") for k in named], earlier | later]).select(*named, "_day", F.col("_to").alias("_block"), F.lit(False).alias("_own"), "_before")
     homes = days.select(*named, "_day", "_block", F.lit(True).alias("_own"), "_before").unionByName(halo)
     homes = homes.withColumn("_start", F.min("_before").over(Window.partitionBy(*named, "_block")))
     rows = df.join(homes, of_day(df, keys), "left").drop(*named, "_day", "_before")

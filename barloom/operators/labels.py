@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clipped_token, nonzero
 from ..session import SERIES, read_document, write_document
+from .blocks import DEALT, ROWS, dealt
 from .features import series
 from .quantiles import exact_quantiles
 
@@ -24,6 +25,16 @@ def forward_return(horizon: int = 1, keys: tuple[str, ...] = SERIES) -> Column:
     return F.try_divide(F.lead("close", horizon).over(series(keys)), F.col("close")) - 1
 
 
+def with_forward(df: DataFrame, horizons: dict[int, tuple[str, str]], keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """df with the forward move and the forward return over each horizon, in the two columns named for it. They look from blocks of series
+    into the rows after each block, so that no task holds a series.
+    """
+    parts, _ = dealt(df, keys, 0, ROWS, max(horizons))
+    own = (*keys, "_block")
+    found = {move: forward_move(h, own) for h, (move, _) in horizons.items()} | {back: forward_return(h, own) for h, (_, back) in horizons.items()}
+    return parts.withColumns(found).where("_own").drop(*DEALT)
+
+
 def fit_edges(df: DataFrame, n_classes: int, move: str = "move", keys: tuple[str, ...] = ()) -> DataFrame:
     """One row (by keys) with `edges`, exact quantiles of the known moves; evenly spread ones where all moves are equal."""
     out = exact_quantiles(df, move, tuple(k / n_classes for k in range(n_classes + 1)), keys)
@@ -64,13 +75,19 @@ class Tokenizer:
     @staticmethod
     def fit(df: DataFrame, n_classes: int = 3, horizon: int = 1, keys: tuple[str, ...] = SERIES) -> Tokenizer:
         """Needs ten rows for each class."""
-        row = fit_edges(df.withColumn("move", forward_move(horizon, keys)), n_classes).first()
+        return Tokenizer.of_moves(with_forward(df, {horizon: ("move", "forward_return")}, keys), n_classes, horizon)
+
+    @staticmethod
+    def of_moves(df: DataFrame, n_classes: int = 3, horizon: int = 1) -> Tokenizer:
+        """The same from known moves over the horizon (column move)."""
+        row = fit_edges(df, n_classes).first()
         if row is None or row["n_fitted"] < 10 * n_classes:
             raise ValueError(f"{row['n_fitted'] if row else 0} known moves; {10 * n_classes} are needed")
         return Tokenizer(n_classes, horizon, tuple(row["edges"]))
 
     def transform(self, df: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
-        df = df.withColumn("move", forward_move(self.horizon, keys))
+        """df with move, forward_return and token."""
+        df = with_forward(df, {self.horizon: ("move", "forward_return")}, keys)
         return df.withColumn("token", self.token(F.col("move")))
 
     def token(self, move: Column) -> Column:

@@ -327,7 +327,7 @@ def moved(spark: SparkSession, d: str) -> DataFrame:
     keys = T.SPLIT_KEYS
     parts = stored(S.time_split(hourly(spark, d), least_train=LEAST).where("split is not null"), "split")
     frame = stored(W.with_indicators(parts, keys), "indicators")
-    return frame.withColumns({"move": L.forward_move(1, keys), "forward_return": L.forward_return(1, keys)})
+    return L.with_forward(frame, {1: ("move", "forward_return")}, keys)
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:

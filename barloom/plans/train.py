@@ -13,7 +13,7 @@ from ..operators import evaluate as E
 from ..operators import models as M
 from ..operators.clean import clean_candles, enough_rows
 from ..operators.features import FEATURES, with_indicators
-from ..operators.labels import Tokenizer, fit_all_edges, forward_move, forward_return
+from ..operators.labels import Tokenizer, fit_all_edges, with_forward
 from ..operators.split import split_periods, time_split
 from ..operators.windows import last_windows, tabular_windows, token_windows
 from ..session import SERIES, read_document, stored, write_document
@@ -42,9 +42,9 @@ class Spec:
 def features_and_tokens(candles: DataFrame, spec: Spec, least_train: int = 1000) -> tuple[DataFrame, Tokenizer]:
     """Clean, split by time, then features and moves within each split; tokens are fitted on the training split alone."""
     parts = stored(time_split(clean_candles(candles), least_train=least_train).where("split is not null"), "split")
-    frame = stored(with_indicators(parts, SPLIT_KEYS), "indicators")
-    tokenizer = Tokenizer.fit(frame.where("split = 'train'"), spec.n_classes, spec.horizon, SPLIT_KEYS)
-    return tokenizer.transform(frame, SPLIT_KEYS).withColumn("forward_return", forward_return(spec.horizon, SPLIT_KEYS)), tokenizer
+    frame = stored(with_forward(with_indicators(parts, SPLIT_KEYS), {spec.horizon: ("move", "forward_return")}, SPLIT_KEYS), "moves")
+    tokenizer = Tokenizer.of_moves(frame.where("split = 'train'"), spec.n_classes, spec.horizon)
+    return frame.withColumn("token", tokenizer.token(F.col("move"))), tokenizer
 
 
 def windows_for(frame: DataFrame, spec: Spec, features: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -84,7 +84,6 @@ def train(candles: DataFrame, spec: Spec, out: str | None = None, least_train: i
     spark = candles.sparkSession
     enough_rows(candles, spec.length, spec.horizon)
     frame, tokenizer = features_and_tokens(candles, spec, least_train)
-    frame = stored(frame, "features")
     predicted, model = fit_and_predict(windows_for(frame, spec), spec)
     metrics = evaluated(stored(predicted.select("split", "token", "prediction", "probabilities"), "predicted"))
     if out:
@@ -112,8 +111,7 @@ class Prepared:
     def of(candles: DataFrame, specs: list[Spec], least_train: int) -> Prepared:
         parts = stored(time_split(clean_candles(candles), least_train=least_train).where("split is not null"), "split")
         horizons, classes = sorted({s.horizon for s in specs}), tuple(sorted({s.n_classes for s in specs}))
-        frame = with_indicators(parts, SPLIT_KEYS)
-        frame = stored(frame.withColumns({f"move_{h}": forward_move(h, SPLIT_KEYS) for h in horizons} | {f"forward_return_{h}": forward_return(h, SPLIT_KEYS) for h in horizons}), "indicators")
+        frame = stored(with_forward(with_indicators(parts, SPLIT_KEYS), {h: (f"move_{h}", f"forward_return_{h}") for h in horizons}, SPLIT_KEYS), "moves")
         edges = fit_all_edges(frame.where("split = 'train'"), classes, {h: f"move_{h}" for h in horizons})
         tokens, errors = {}, {}
         for (n, h), (found, known) in edges.items():

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.operators import blocks, evaluate, features, split, windows
+from barloom.operators import blocks, evaluate, features, labels, split, windows
 from barloom.session import SERIES
 
 
@@ -89,3 +89,21 @@ def test_windows_by_blocks(spark, monkeypatch):
     whole = found()
     monkeypatch.setattr(windows, "ROWS", 50)
     assert found() == whole and [len(rows) for _, rows in whole][3] == 2
+
+
+def test_forward_moves_by_blocks(spark, monkeypatch):
+    """Moves and returns look into the rows after a block, over days with few rows too; the rows of a series' end have none."""
+    df = candles(spark, 500).withColumns({"atr": F.col("high") - F.col("low"), "extra": F.col("volume")})
+    horizons = {1: ("m1", "r1"), 30: ("m30", "r30")}
+    w = Window.partitionBy(*SERIES).orderBy("begin")
+    want = df.withColumns({m: labels.forward_move(h) for h, (m, _) in horizons.items()} | {x: labels.forward_return(h) for h, (_, x) in horizons.items()})
+    want = want.withColumn("left", F.count("*").over(w.rowsBetween(1, Window.unboundedFollowing))).toPandas().set_index(["ticker", "begin"]).sort_index()
+    monkeypatch.setattr(labels, "ROWS", 40)
+    got = labels.with_forward(df, horizons)
+    assert got.columns == [*df.columns, "m1", "m30", "r1", "r30"]
+    pd.testing.assert_frame_equal(got.toPandas().set_index(["ticker", "begin"]).sort_index(), want[[c for c in got.columns if c not in ("ticker", "begin")]])
+    assert (want.m30.isna() == (want.left < 30)).all()
+    empty = labels.with_forward(df.limit(0), horizons)
+    assert empty.count() == 0
+    parts = blocks.dealt(df, SERIES, 0, 40, 30)[0]
+    assert parts.where("_own").count() == 508 and parts.where("not _own").count() > 0
