@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import no_nan
 from barloom.operators.features import FEATURES, with_indicators
-from barloom.operators.models import Majority, Markov
+from barloom.operators.models import Logistic, Majority, Markov
 from barloom.operators.windows import tabular_windows
 from barloom.plans.train import infer_stream
 from barloom.session import CANDLES
@@ -108,3 +108,15 @@ def test_answers(spark, tmp_path):
     assert len(got) == 23 + 8 - 8 and {(r["predicted_token"], r["action"], r["confidence"], r["model_version"]) for r in got} == {(2, "buy", 0.5, "v1")}
     with pytest.raises(ValueError, match="Markov"):
         infer_stream(candle_stream(spark, f"{tmp_path}/in"), Markov(None, [], 1, 3), 3)
+
+
+def test_answers_of_a_fitted_model(spark, tmp_path):
+    """Windows from state, with missing values in them, are scored as windows of all candles at once."""
+    whole = with_indicators(frame(spark, candles())).withColumn("token", F.pmod(F.hour("begin"), F.lit(3)))
+    windows = tabular_windows(whole, 4, list(FEATURES)).select("ticker", "begin", "window", "token")
+    model = Logistic.fit(windows, 3, 4 * len(FEATURES), max_iter=5)
+    run = Run(spark, tmp_path, lambda x: infer_stream(x, model, 3, 4, LATE).withColumnRenamed("timestamp", "begin"))
+    got = sorted_pandas(run.add(candles()).found())
+    want = sorted_pandas(model.predict(windows)).loc[got.index]
+    assert len(got) == 83 + 8 - 6
+    np.testing.assert_allclose(np.array(list(got["probabilities"])), np.array(list(want["probabilities"])), rtol=1e-6, atol=1e-9)
