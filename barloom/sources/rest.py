@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from ..functions.times import INTERVAL_CODES
+from .blocks import BLOCK_COLUMNS
 
 #: Rows of a full page, and names, paths and boards of the service's resources (here and in resource_path).
 PAGE = 500
@@ -92,9 +93,9 @@ def fetched(url: str, options: dict[str, str], pause: Callable[[float], None] =
 
 
 def mirrored(url: str) -> str:
-    """The page that `save_pages` keeps in a folder; one that is not there has no rows."""
+    """The page that `save_pages` keeps in a folder; one that is not there, as after a last page that is full, has all columns and no rows."""
     parts = sorted(Path(urllib.request.url2pathname(urllib.parse.urlparse(url).path)).glob("part-*"))
-    return parts[0].read_text(encoding="utf-8").rstrip("\n") if parts else '{"candles": {"columns": [], "data": []}}'
+    return parts[0].read_text(encoding="utf-8").rstrip("\n") if parts else json.dumps({"candles": {"columns": BLOCK_COLUMNS, "data": []}})
 
 
 def fetch(url: str, options: dict[str, str]) -> str:

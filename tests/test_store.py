@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import flexible_time
 from barloom.operators.clean import clean_candles, gated
+from barloom.plans import routes
 from barloom.session import CANDLE_COLUMNS, INGESTED
 from barloom.sources import files, rest, sinks
 
@@ -161,6 +162,16 @@ def test_stream_goes_on(spark, tmp_path):
     assert sum(len(json.loads(j)["candles"]["data"]) for *_, j in again) == 6 and reader.partitions({"until": "2024-01-02"}, {"until": "2024-01-02"}) == []
 
 
+def test_full_last_page(spark, tmp_path):
+    """Ranges whose last page is full, and one of a ticker without rows, as hours without a gap give them: all candles, no error."""
+    page = [[1, 2, 3, 0.5, 10, 5, f"2024-01-01 {h:02d}:00:00", f"2024-01-01 {h:02d}:59:59"] for h in range(4)]
+    body = lambda rows: json.dumps({"candles": {"columns": ["open", "close", "high", "low", "value", "volume", "begin", "end"], "data": rows}})
+    at = f"file://{tmp_path}/pages"
+    sinks.save_pages(spark.createDataFrame([("A", "2024-01-01", 0, body(page[:2])), ("A", "2024-01-01", 2, body(page[2:]))], "ticker string, begin string, start int, json string"), at)
+    found = routes.fetch_candles(spark, at, ["A", "B"], "1H", "2024-01-01", "2024-01-02", range_days="1", page="2", mirror="yes")
+    assert sorted((r["ticker"], r["begin"].hour) for r in found.collect()) == [("A", h) for h in range(4)]
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
 def test_times_in_any_zone(spark, zone):
     texts = ["2024-01-02T03:04:05Z", "2024-03-10T02:30:00", "2024-11-03 01:30:00", "2024-11-03T05:30:00Z", "2024-11-03T06:30:00Z", "2024-01-02T03:04:05.125+03:00", "2024-01-02", " 2024-01-02 03:04 ", "2024-01-02T03:04:05.123456", "1965-01-02", "never"]
