@@ -24,7 +24,7 @@ from ..operators import split as S
 from ..operators import windows as V
 from ..session import CANDLE_COLUMNS, PRICES, SERIES, scratch, stored
 from ..sources import blocks as B
-from ..sources.files import bars_daily, bars_hourly, load_candles, load_predictions, union_by_name
+from ..sources.files import bars_daily, bars_hourly, load_candles, load_predictions, stored_candles, union_by_name
 from ..sources.sinks import append_predictions, probability_columns, save_candles, save_pages, write_csv
 from ..streaming.features import feature_stream
 from . import routes as R
@@ -941,7 +941,7 @@ def q_gated_store(spark: SparkSession, d: str) -> DataFrame:
     rows.repartition("batch", "day").write.parquet(f"{at}/in")
     for run in range(2):
         ST.store_stream(spark.readStream.schema(rows.schema).parquet(f"{at}/in"), f"{at}/store", f"{at}/rejects", f"{at}/state-{run}", ("batch", "day"), "nr").awaitTermination()
-    return load_candles(spark, f"{at}/store").select(*IDS, r("close", 4), "volume")
+    return stored_candles(spark, f"{at}/store").select(*IDS, r("close", 4), "volume")
 
 
 # The paged source, from a mirror of pages made of bars ------------------------------------------------------------------

@@ -16,17 +16,22 @@ from ..session import CANDLES, INGESTED, SERIES
 FORMATS = ("parquet", "csv")
 #: The partition column that tells stored batches apart.
 BATCH = "stored_batch"
+#: What `with_provenance` tells of a row.
+PROVENANCE = "struct<stored: timestamp, file: string, block: bigint, row: bigint>"
+
+
+def holds(spark: SparkSession, path: str, pattern: str) -> bool:
+    """Whether a folder has paths of a pattern, in any store that Spark reaches."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return len(fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, pattern)) or ()) > 0
 
 
 def suffix_of(spark: SparkSession, path: str) -> str:
     """parquet or csv: by the path's own ending, else parquet if the folder, or one of its partitions' folders, has such a file, else csv."""
     if (ending := path.rsplit(".", 1)[-1].lower()) in FORMATS:
         return ending
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = lambda depth: fs.globStatus(jvm.org.apache.hadoop.fs.Path(folder, "*=*/" * depth + "*.parquet"))
-    return "parquet" if any(len(found(depth) or ()) for depth in range(4)) else "csv"
+    return "parquet" if any(holds(spark, path, "*=*/" * depth + "*.parquet") for depth in range(4)) else "csv"
 
 
 def read_file(spark: SparkSession, path: str, format: str | None = None) -> DataFrame:
@@ -97,6 +102,15 @@ def load_candles(spark: SparkSession, path: str, ticker: str | None = None, time
     return normalize_times(df).drop(BATCH)
 
 
+def stored_candles(spark: SparkSession, path: str) -> DataFrame:
+    """All candles of a folder of `save_candles`, as `load_candles` gives them. Where it stored no batch, as when a gate let none pass, there
+    are none; a folder that is not there is an error.
+    """
+    if is_folder(spark, path) and not holds(spark, path, "*=*/" * len((*SERIES, BATCH)) + "*.parquet"):
+        return spark.createDataFrame([], CANDLES).withColumn(INGESTED, F.lit(None).cast(PROVENANCE))
+    return load_candles(spark, path)
+
+
 def union_by_name(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name; columns that one lacks are null there."""
     out = frames[0]

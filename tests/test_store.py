@@ -5,12 +5,14 @@ import http.server
 import json
 import threading
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import flexible_time
 from barloom.operators.clean import clean_candles, gated
 from barloom.plans import routes
+from barloom.registry import ORACLE_SQL, QUERIES
 from barloom.session import CANDLE_COLUMNS, INGESTED
 from barloom.sources import files, rest, sinks
 
@@ -57,6 +59,31 @@ def test_ledger(spark, tmp_path):
         assert files.load_candles(spark, str(tmp_path)).count() == 30
 
 
+@pytest.mark.parametrize("price", [0.0, 1.0])
+def test_gate_that_lets_none_pass(spark, tmp_path, price):
+    """Where all batches are unfit the store has no candles, as in SQL, and no error; where some are fit they are there."""
+    at = str(tmp_path / "events.parquet")
+    hours = spark.range(48).select(F.lit("A").alias("event_type"), (F.expr("timestamp_ntz'2024-01-07'") + F.expr("interval 1 hour") * F.col("id")).alias("ts"), F.lit(price).alias("value"))
+    hours.coalesce(1).write.parquet(at)
+    got = QUERIES["gated_store"](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{at}/*.parquet'")
+    want = duck.execute(ORACLE_SQL["gated_store"]).fetchall()
+    assert got.columns == ["ticker", "begin", "close", "volume"] and sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 24 * price
+    with pytest.raises(ValueError, match="no candles"):
+        files.stored_candles(spark, str(tmp_path / "nowhere"))
+
+
+def test_empty_store(spark, tmp_path):
+    """A store without a batch has the columns of one with batches, and they can be cleaned."""
+    c = files.mock_candles(spark, 5)
+    for name, rows in (("some", c), ("none", c.limit(0))):
+        sinks.save_candles(rows, str(tmp_path / name))
+    some, none = (files.stored_candles(spark, str(tmp_path / x)) for x in ("some", "none"))
+    assert some.count() == 5 and none.count() == 0 and clean_candles(none).count() == 0
+    assert {(f.name, f.dataType.simpleString()) for f in some.schema} <= {(f.name, f.dataType.simpleString()) for f in none.schema}
+
+
 def test_gate(spark):
     """Rows in the order they came first, then the batch by time; nulls are faults; a fit batch has no verdict."""
     c = [x.asDict() for x in files.mock_candles(spark, 3).collect()]
